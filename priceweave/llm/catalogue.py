@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, pii
+from . import chat_format, pii, topk
 
-MODULES = (chat_format, pii)
+MODULES = (chat_format, pii, topk)
 
 
 def queries() -> dict:
