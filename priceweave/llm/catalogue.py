@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, packing, pii, topk
+from . import chat_format, decontaminate, packing, pii, quality, topk
 
-MODULES = (chat_format, decontaminate, packing, pii, topk)
+MODULES = (chat_format, decontaminate, packing, pii, quality, topk)
 
 
 def queries() -> dict:
