@@ -16,6 +16,7 @@ Defined results
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -34,6 +35,9 @@ LEXICON_CANDIDATES = 2000
 #: Paths up to which their posteriors are sent to every task; beyond, they are joined by a shuffle.
 BROADCAST_PATHS = 50_000
 
+#: Lengths of the beginnings of words that may tell toxicity.
+BEGINNINGS = (3, 4, 5, 6, 7)
+
 _WORD = re.compile(r"[^\W\d_]+")
 _SYMBOLS = b"%#$&*|!<>{}[]=~^\\/@+_"
 
@@ -59,6 +63,16 @@ def features(texts: pa.Array, words: list[list[str]]) -> np.ndarray:
     return out
 
 
+def terms(words: set[str], lengths: Iterable[int]) -> set[str]:
+    """The words, and the beginnings of these lengths that one, two or three of them share, as ^beginning#number:
+    where compounds tell, a text holds several of a kind."""
+    out = set(words)
+    for k in lengths:
+        shared = Counter(w[:k] for w in words if len(w) > k)
+        out.update(f"^{p}#{m}" for p, n in shared.items() for m in range(1, min(n, 3) + 1))
+    return out
+
+
 @dataclass
 class Model:
     quality: BoostedTrees
@@ -70,14 +84,15 @@ class Model:
         # log-odds of good quality need words as written; the lower-cased ones serve both
         quality = self.quality.logit(features(texts, lowered)) if lowered else np.zeros(0)
         toxic = np.full(len(lowered), self.toxic_base)
+        lengths = sorted({len(w) - 3 for w in self.lexicon if w[0] == "^"})
         for i, words in enumerate(lowered):
-            told = self.lexicon.keys() & words if len(words) < 64 else self.lexicon.keys() & set(words)
+            told = self.lexicon.keys() & terms(set(words), lengths)
             if told:
                 toxic[i] = max(self.lexicon[w] for w in told)
         return quality, toxic
 
 
-def decision_list(there: list[set[int]], toxic: np.ndarray, shrink: float = 10.0, support: int = 5, least: float = 0.7) -> dict[int, float]:
+def decision_list(there: list[set[int]], toxic: np.ndarray, shrink: float = 10.0, support: int = 2, least: float = 0.7) -> dict[int, float]:
     """Word -> shrunk log-odds of toxicity; greedy: each word must explain toxic documents that none before explains,
     so the other words of a document with many copies stay out."""
     rate = (toxic.sum() + 0.5) / (len(toxic) + 1)
@@ -89,11 +104,12 @@ def decision_list(there: list[set[int]], toxic: np.ndarray, shrink: float = 10.0
     done: set[int] = set()
     bad = set(np.flatnonzero(toxic).tolist())
     while open_:
-        best = max(open_, key=lambda w: (len((open_[w] & bad) - done), -len(open_[w]), -w))
-        rows = open_.pop(best)
-        new = (rows & bad) - done
-        if len(new) < support:
+        # a wrongly caught document outweighs several caught ones
+        gain = {w: len((rows & bad) - done) - 4 * len(rows - bad - done) for w, rows in open_.items()}
+        best = max(gain, key=lambda w: (gain[w], -len(open_[w]), -w))
+        if gain[best] < support:
             break
+        rows = open_.pop(best)
         p = (len(rows & bad) + shrink * rate) / (len(rows) + shrink)
         if p >= least:
             out[best] = float(np.log(p / (1 - p)))
@@ -108,19 +124,24 @@ def fit_model(docs: DataFrame, labels: DataFrame) -> Model:
     # the sample has a fixed bound
     rows = cut(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"))
 
-    def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [sorted(set(_WORD.findall((t or "").lower()))) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch["toxic"].cast(pa.int64())], names=["words", "toxic"])
-
-    counted = rows.mapInArrow(words, "words array<string>, toxic long").select(F.explode("words").alias("word"), "toxic").groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad"))
-    told = [r["word"] for r in counted.where((F.col("bad") >= 5) & (F.col("bad") >= 0.6 * F.col("n"))).orderBy(F.desc("bad"), "word").limit(LEXICON_CANDIDATES).collect()]
+            n, bad = Counter(), Counter()
+            for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
+                found = terms(set(_WORD.findall((text or "").lower())), BEGINNINGS)
+                n.update(found)
+                if toxic:
+                    bad.update(found)
+            yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64()), pa.array([bad[w] for w in n], pa.int64())], names=["word", "n", "bad"])
+
+    counted = rows.mapInArrow(counts, "word string, n long, bad long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    told = [r["word"] for r in counted.where((F.col("bad") >= 5) & (F.col("bad") >= 0.75 * F.col("n"))).orderBy(F.desc("bad"), "word").limit(LEXICON_CANDIDATES).collect()]
     place = {w: i for i, w in enumerate(told)}
 
     def evidence(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             lowered = [_WORD.findall((t or "").lower()) for t in batch["text"].to_pylist()]
-            there = [sorted(place[w] for w in place.keys() & set(x)) for x in lowered]
+            there = [sorted(place[w] for w in place.keys() & terms(set(x), BEGINNINGS)) for x in lowered]
             yield pa.RecordBatch.from_arrays([pa.array(list(features(batch["text"], lowered)), pa.list_(pa.float64())), pa.array(there, pa.list_(pa.int32())), batch["quality"].cast(pa.int32()), batch["toxic"].cast(pa.int32())], names=["x", "there", "quality", "toxic"])
 
     got = rows.mapInArrow(evidence, "x array<double>, there array<int>, quality int, toxic int").toPandas()
