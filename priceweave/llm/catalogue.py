@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, packing, pii, quality, topk
+from . import chat_format, decontaminate, line_dedup, packing, pii, quality, topk
 
-MODULES = (chat_format, decontaminate, packing, pii, quality, topk)
+MODULES = (decontaminate, quality, topk, chat_format, pii, line_dedup, packing)
 
 
 def queries() -> dict:
