@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, extract, jaccard, line_dedup, packing, pii, quality, topk
+from . import chat_format, decontaminate, extract, jaccard, line_dedup, packing, pii, quality, suffix_dedup, topk
 
-MODULES = (decontaminate, jaccard, quality, extract, topk, chat_format, pii, line_dedup, packing)
+MODULES = (decontaminate, suffix_dedup, jaccard, quality, extract, topk, chat_format, pii, line_dedup, packing)
 
 
 def queries() -> dict:
