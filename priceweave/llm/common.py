@@ -7,6 +7,7 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Arrow rows that one step of a Python operator holds at most.
 BATCH_ROWS = 2000
@@ -57,3 +58,16 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     data = col.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     return raw[offs[0] : offs[-1]], offs - offs[0]
+
+
+def without(df: DataFrame, names) -> DataFrame:
+    """df without the extra columns that an operator's results of these names would clash with."""
+    taken = {n.lower() for n in names}
+    return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
+def shielded(df: DataFrame, names) -> tuple[DataFrame, list]:
+    """df with clashing columns renamed, and the columns that give it back from a frame that still has them."""
+    taken = {n.lower() for n in names}
+    new = [f"__own{i}_{c}" if c.lower() in taken else c for i, c in enumerate(df.columns)]
+    return df.toDF(*new), [F.col(n).alias(c) for n, c in zip(new, df.columns)]

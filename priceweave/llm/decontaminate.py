@@ -12,7 +12,8 @@ block is a further pass over the rows.
 Defined results
 - null or empty text: no words, no hits; null or empty items: no window, never found; null item_id: ignored.
 - repeated rows and ids: each row is judged by itself; items of the same words are all reported.
-- an item's window is parameter n of its words, or the whole item if it has fewer. Extra columns: kept as they are.
+- an item's window is parameter n of its words, or the whole item if it has fewer. Extra columns: kept as they are; in
+  find_hits those with a result's name give way.
 - empty tables: no rows, or nothing hit.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, slices
+from .common import read, shielded, slices, without
 
 #: Words of a lower-cased UTF-8 text: digits, letters and all that is not ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -266,6 +267,7 @@ def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, shard_bytes: int = 8 << 20, block_bytes: int = 16 << 20) -> DataFrame:
     """docs' columns (text among them) and HITS: word spans inside occurrences, merged, and items found."""
+    docs = without(docs, ("n_words", "spans", "items"))
     out, names = docs, docs.columns
     for k, block in enumerate(blocks_of(benchmark, block_bytes)):
         phrases = docs.sparkSession.sparkContext.broadcast(Phrases(block, n))
@@ -306,22 +308,24 @@ def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """docs with the contaminated spans cut out of the texts; no row goes."""
+    docs, back = shielded(docs, ("n_words", "spans", "items"))
     hits = find_hits(docs, benchmark, **parameters)
-    at = docs.columns.index("text")
+    names, schema = docs.columns, docs.schema
+    at = names.index("text")
 
     def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = batch["spans"].to_pylist()
             hit = [i for i, s in enumerate(spans) if s]
-            columns = [batch[c] for c in docs.columns]
+            columns = [batch[c] for c in names]
             if hit:
                 texts = batch["text"].to_pylist()
                 for i in hit:
                     texts[i] = remove_spans(texts[i], [(s["start"], s["end"]) for s in spans[i]])
                 columns[at] = pa.array(texts, batch["text"].type)
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return hits.mapInArrow(clean, docs.schema)
+    return hits.mapInArrow(clean, schema).select(*back)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

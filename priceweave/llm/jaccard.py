@@ -365,6 +365,13 @@ def _sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc long, shingles array<long>")
 
 
+def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """docs without the rows whose component has a smaller id."""
+    found = jaccard_components(docs, n, percent)
+    later = cut(found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__later")).distinct())
+    return docs.join(later, docs["doc_id"] == later["__later"], "left_anti")
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 

@@ -14,7 +14,8 @@ Defined results
 - null or empty text: no lines; kept as it is. Lines shorter than min_chars stay.
 - a document that loses lines keeps the others, joined by \\n; one that loses all has the empty text.
 - repeated rows and ties: rows of one doc_id are one place, so an equal line at the same number stays in all of them;
-  null ids are one place before all others. Extra columns are kept as they are. Empty tables: no rows.
+  null ids are one place before all others. Extra columns are kept; in dedup_lines
+  those with a result's name give way. Empty tables: no rows.
 - lines are told apart by 64-bit hashes.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, read, slices
+from .common import cut, read, shielded, slices, without
 from .graph import components
 from .hashing import Rolling, mix
 
@@ -209,6 +210,7 @@ def near_pairs(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS)
 
 def dedup_lines(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the repeated lines gone, and n_lines, n_removed."""
+    docs = without(docs, ("n_lines", "n_removed"))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), "text")
     where = places(keyed, min_chars)
     # first place of each line; partial minima before the shuffle keep a hot line small
@@ -247,6 +249,13 @@ def dedup_lines(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS)
     return joined.mapInArrow(rebuild, schema)
 
 
+def clean_lines(docs: DataFrame) -> DataFrame:
+    """docs without repeated lines, and without the rows of which every line is a repeated one."""
+    docs, back = shielded(docs, ("n_lines", "n_removed"))
+    out = dedup_lines(docs)
+    return out.where((F.col("n_lines") == 0) | (F.col("n_removed") < F.col("n_lines"))).select(*back)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -10,7 +10,8 @@ Defined results
 - null or empty text: features of no words; null source or language: groups of their own; null ids: ordinary rows.
 - repeated rows: each is judged; labels of one document twice: both are evidence; labels without a document: unused.
 - no labels, or one class only: the model is the base rate, and everything of good quality stays.
-- ties: a document of exactly even odds stays. Extra columns are kept as they are. Empty tables: no rows.
+- ties: a document of exactly even odds stays. Extra columns are kept; in classify those
+  with a result's name give way. Empty tables: no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .boosted import BoostedTrees, fit
-from .common import cut, read, slices, utf8
+from .common import cut, read, shielded, slices, utf8, without
 
 #: The bound of the labelled sample that the classifier is fitted on, and of the words that may tell toxicity.
 SAMPLE_ROWS = 8000
@@ -155,6 +156,8 @@ def fit_model(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(fit(x, got["quality"].to_numpy(np.float64) if len(got) else np.ones(0)), lexicon, float(np.log(base / (1 - base))))
 
 
+#: The columns that classify adds.
+JUDGED = ("quality", "toxic", "site_quality", "site_toxic", "keep")
 EVIDENCE = [("quality_logit", pa.float64(), T.DoubleType()), ("toxic_logit", pa.float64(), T.DoubleType())]
 
 
@@ -204,6 +207,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
     weight: share of a path's shift that a document takes. The texts are read by the classifier twice, for the sums
     and for the decisions, and are never shuffled while the paths can be broadcast."""
+    docs = without(docs, JUDGED)
     model = fit_model(docs, labels)
     site = [F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path")]
     sites = cut(site_posteriors(with_evidence(docs.select("text", *site), model).drop("text")))
@@ -221,6 +225,12 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     return out.withColumn("keep", (F.col("quality") >= 0.5) & (F.col("toxic") <= 0.5))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that classify keeps, with docs' columns."""
+    docs, back = shielded(docs, JUDGED)
+    return classify(docs, labels).where("keep").select(*back)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     return classify(docs, read(spark, sf_dir, "labels")).select("doc_id", "quality", "toxic", "site_quality", "site_toxic", "keep")
