@@ -39,4 +39,4 @@ def case(row: Column, supplier: Column, description: Column, candidates: Column)
 
 def composition(pairs: Column) -> Column:
     """Of array<struct<identifier, quantity>>, in any order."""
-    return F.sha2(F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat_ws(":", p[0].cast("string"), p[1].cast("string"))), _MARK), 256)
+    return F.sha2(F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat_ws(":", p["identifier"].cast("string"), p["quantity"].cast("string"))), _MARK), 256)

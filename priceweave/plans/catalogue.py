@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_matching  # noqa: F401
+from . import queries_matching, queries_state  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

@@ -66,9 +66,9 @@ def match_audit(spark, sf):
     return aggregates.match_audit(_matrix(spark, sf))
 
 
-@query(f"{_BASE} SELECT source_row FROM matrix GROUP BY source_row HAVING bool_and(status = 'ABSENT')")
+@query(f"{_BASE} SELECT source_row FROM matrix WHERE supplier IN ('NATION_1', 'NATION_2') GROUP BY source_row HAVING bool_and(status = 'ABSENT')")
 def missing_everywhere(spark, sf):
-    return aggregates.missing_everywhere(_matrix(spark, sf))
+    return aggregates.missing_everywhere(_matrix(spark, sf).where("supplier in ('NATION_1', 'NATION_2')"))
 
 
 @query(f"""WITH {SQL_PRICE_LIST}, c AS (SELECT supplier, ean, count(*) AS n FROM price_list GROUP BY ALL)
@@ -88,12 +88,12 @@ def unusable_reasons(spark, sf):
     return aggregates.unusable_reasons(price_list(spark, sf), reason)
 
 
-_RULES = "CASE WHEN p_type LIKE '%BRASS%' THEN 'brass' WHEN p_size > 40 THEN 'large' WHEN p_brand = 'Brand#11' THEN 'brand' ELSE 'kept' END"
+_RULES = "CASE WHEN p_type LIKE 'ECON%' THEN 'economy' WHEN p_size > 40 THEN 'large' WHEN p_brand = 'Brand#11' THEN 'brand' ELSE 'kept' END"
 
 
 @query(f"SELECT {_RULES} AS label, count(*) AS n FROM part GROUP BY label")
 def row_filter_exclude(spark, sf):
-    rules = [("brass", F.col("p_type").contains("BRASS")), ("large", F.col("p_size") > 40), ("brand", F.col("p_brand") == "Brand#11")]
+    rules = [("economy", F.col("p_type").startswith("ECON")), ("large", F.col("p_size") > 40), ("brand", F.col("p_brand") == "Brand#11")]
     return aggregates.excluded_counts(read(spark, sf, "part"), rules)
 
 
@@ -266,10 +266,10 @@ def price_against_last(spark, sf):
     return doubles(offers.against_last(best, reorder(spark, sf)).select("source_row", "unit_price", "difference"))
 
 
-@query(f"""{_BASE}, {_OFFERS}, lower AS (SELECT * REPLACE (CASE WHEN supplier IN ('FRANCE', 'CHINA') THEN CAST(unit_price * CAST(0.85 AS DECIMAL(9,4)) AS DECIMAL(18,4)) ELSE unit_price END AS unit_price, CASE WHEN supplier IN ('FRANCE', 'CHINA') THEN CAST(order_price * CAST(0.85 AS DECIMAL(9,4)) AS DECIMAL(18,4)) ELSE order_price END AS order_price) FROM offers),
+@query(f"""{_BASE}, {_OFFERS}, lower AS (SELECT * REPLACE (CASE WHEN supplier IN ('NATION_3', 'NATION_8') THEN CAST(unit_price * CAST(0.85 AS DECIMAL(9,4)) AS DECIMAL(18,4)) ELSE unit_price END AS unit_price, CASE WHEN supplier IN ('NATION_3', 'NATION_8') THEN CAST(order_price * CAST(0.85 AS DECIMAL(9,4)) AS DECIMAL(18,4)) ELSE order_price END AS order_price) FROM offers),
 {_CHEAPEST.replace('FROM offers', 'FROM lower')} SELECT source_row, supplier, {_D.format('unit_price')}, n_offers FROM cheapest""")
 def supplier_discount_reassign(spark, sf):
-    rates = spark.createDataFrame([("FRANCE", "0.15"), ("CHINA", "0.15")], "supplier string, r string").select("supplier", F.col("r").cast("decimal(9,4)").alias("rate"))
+    rates = spark.createDataFrame([("NATION_3", "0.15"), ("NATION_8", "0.15")], "supplier string, r string").select("supplier", F.col("r").cast("decimal(9,4)").alias("rate"))
     return doubles(offers.cheapest(offers.discounted(_offers(spark, sf), rates)).select("source_row", "supplier", "unit_price", "n_offers"))
 
 
@@ -288,24 +288,24 @@ def order_summary_rounding(spark, sf):
     return doubles(offers.order_summary(_lines(spark, sf)))
 
 
-@query(f"""{_BASE}, {_OFFERS}, {_CHEAPEST}, {_LINES}, t AS (SELECT supplier, sum({_TOTAL}) AS total FROM lines GROUP BY supplier), m AS (SELECT n_name AS supplier, CAST(n_nationkey * 1000000 AS DECIMAL(18,4)) AS minimum FROM nation)
+@query(f"""{_BASE}, {_OFFERS}, {_CHEAPEST}, {_LINES}, t AS (SELECT supplier, sum({_TOTAL}) AS total FROM lines GROUP BY supplier), m AS (SELECT n_name AS supplier, CAST(CAST(n_nationkey AS BIGINT) * 100000000 AS DECIMAL(18,4)) AS minimum FROM nation)
 SELECT supplier, CAST(total AS DOUBLE) AS total, CAST(minimum AS DOUBLE) AS minimum, CAST(minimum - total AS DOUBLE) AS missing FROM t JOIN m USING (supplier) WHERE total > 0 AND total < minimum""")
 def below_minimum_order(spark, sf):
-    minimum = read(spark, sf, "nation").select(F.col("n_name").alias("supplier"), (F.col("n_nationkey") * 1000000).cast(numbers.MONEY).alias("minimum"))
+    minimum = read(spark, sf, "nation").select(F.col("n_name").alias("supplier"), (F.col("n_nationkey").cast("long") * 100000000).cast(numbers.MONEY).alias("minimum"))
     return doubles(offers.below_minimum(offers.order_summary(_lines(spark, sf)), minimum))
 
 
-@query(f"""{_BASE}, {_OFFERS}, {_CHEAPEST}, {_LINES}, mv AS (SELECT source_row, quantity, order_price AS old_price FROM lines WHERE supplier = 'FRANCE')
+@query(f"""{_BASE}, {_OFFERS}, {_CHEAPEST}, {_LINES}, mv AS (SELECT source_row, quantity, order_price AS old_price FROM lines WHERE supplier = 'NATION_3')
 SELECT o.supplier, count(*) AS n_moved, (SELECT count(*) FROM mv) - count(*) AS n_left, CAST(sum(CAST(quantity * old_price AS DECIMAL(18,4))) AS DOUBLE) AS old_cost, CAST(sum({_TOTAL}) AS DOUBLE) AS new_cost,
-  CAST(sum({_TOTAL}) - sum(CAST(quantity * old_price AS DECIMAL(18,4))) AS DOUBLE) AS difference FROM mv JOIN offers o USING (source_row) WHERE o.supplier <> 'FRANCE' GROUP BY o.supplier""")
+  CAST(sum({_TOTAL}) - sum(CAST(quantity * old_price AS DECIMAL(18,4))) AS DOUBLE) AS difference FROM mv JOIN offers o USING (source_row) WHERE o.supplier <> 'NATION_3' GROUP BY o.supplier""")
 def move_preview_by_supplier(spark, sf):
-    return doubles(offers.move_preview(_lines(spark, sf), _offers(spark, sf), "FRANCE"))
+    return doubles(offers.move_preview(_lines(spark, sf), _offers(spark, sf), "NATION_3"))
 
 
-@query(f"""{_BASE}, {_OFFERS}, {_CHEAPEST}, {_LINES}, b AS (SELECT *, row_number() OVER (PARTITION BY source_row ORDER BY unit_price, supplier, order_price) AS k FROM offers WHERE supplier <> 'FRANCE')
-SELECT l.source_row, l.quantity, b.supplier AS to_supplier, CAST(b.unit_price AS DOUBLE) AS unit_price, CAST(b.order_price AS DOUBLE) AS order_price FROM lines l LEFT JOIN b ON b.k = 1 AND b.source_row = l.source_row WHERE l.supplier = 'FRANCE'""")
+@query(f"""{_BASE}, {_OFFERS}, {_CHEAPEST}, {_LINES}, b AS (SELECT *, row_number() OVER (PARTITION BY source_row ORDER BY unit_price, supplier, order_price) AS k FROM offers WHERE supplier <> 'NATION_3')
+SELECT l.source_row, l.quantity, b.supplier AS to_supplier, CAST(b.unit_price AS DOUBLE) AS unit_price, CAST(b.order_price AS DOUBLE) AS order_price FROM lines l LEFT JOIN b ON b.k = 1 AND b.source_row = l.source_row WHERE l.supplier = 'NATION_3'""")
 def move_preview_best(spark, sf):
-    return doubles(offers.move_to_best(_lines(spark, sf), _offers(spark, sf), "FRANCE"))
+    return doubles(offers.move_to_best(_lines(spark, sf), _offers(spark, sf), "NATION_3"))
 
 
 @query("SELECT l_suppkey AS supplier, l_partkey AS offer_row, count(*) AS n, count(DISTINCT l_quantity) AS n_factors FROM lineitem GROUP BY ALL HAVING count(*) > 1 AND count(DISTINCT l_quantity) > 1")
@@ -314,10 +314,10 @@ def contested_rows(spark, sf):
     return offers.contested_rows(lines)
 
 
-@query(f"""{_BASE}, s AS (SELECT source_row, n_usable > 0 AS usable, status, source_row % 50 = 0 AS rejected FROM matrix)
+@query(f"""{_BASE}, s AS (SELECT source_row, n_usable > 0 AS usable, status, source_row % 50 = 0 AS rejected FROM matrix WHERE supplier IN ('NATION_1', 'NATION_2'))
 SELECT source_row, CASE WHEN bool_or(rejected) THEN 'rejected' WHEN bool_and(status = 'ABSENT') THEN 'not listed' ELSE 'unavailable' END AS reason FROM s GROUP BY source_row HAVING NOT bool_or(usable)""")
 def to_source_list(spark, sf):
-    m = _matrix(spark, sf).select("source_row", (F.col("n_usable") > 0).alias("usable"), "status", (F.col("source_row") % 50 == 0).alias("rejected"))
+    m = _matrix(spark, sf).where("supplier in ('NATION_1', 'NATION_2')").select("source_row", (F.col("n_usable") > 0).alias("usable"), "status", (F.col("source_row") % 50 == 0).alias("rejected"))
     return aggregates.why_missing(m)
 
 
