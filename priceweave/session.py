@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,3 +19,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder, so that later steps neither recompute nor depend on one executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def table(df: DataFrame) -> DataFrame:
+    """Like cut, as a Parquet table in the same folder: for many narrow rows, which a checkpoint would not compress. The
+    folder is the session's, and goes with it when the application ends."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
