@@ -6,19 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import MONEY, cents, order_price
-from .matching import small
+from .matching import small, status_of
 
 
 def available(price: Column, pieces: Column, usable: Column) -> Column:
     return F.coalesce((price > 0) & (pieces > 0) & usable, F.lit(False))
 
 
-def offers_of(matrix: DataFrame, prices: DataFrame) -> DataFrame:
-    """A row per product and supplier with a usable row: the cheapest one per piece."""
-    usable = prices.where(available(F.col("unit_price_net"), F.col("pieces_per_carton"), F.col("usable")))
-    best = usable.groupBy("supplier", "ean").agg(F.min(F.struct("unit_price_net", "pieces_per_carton", "source_row")).alias("best"))
-    out = matrix.where("n_usable > 0").select("source_row", "ean", "supplier", "status").join(best, ["supplier", "ean"])
-    return out.select("source_row", "ean", "supplier", "status", F.col("best.unit_price_net").alias("unit_price"), F.col("best.pieces_per_carton").alias("pieces"), order_price(F.col("best.unit_price_net"), F.col("best.pieces_per_carton")).alias("order_price"), F.col("best.source_row").alias("offer_row"))
+def offers_of(reorder: DataFrame, prices: DataFrame) -> DataFrame:
+    """A row per product and supplier with a usable row: the cheapest one per piece, and the pair's status.
+
+    One pass over the price lists: counts and the cheapest row come from the same grouped aggregation, whose result (a
+    row per supplier and code) is all that meets the products."""
+    ok = available(F.col("unit_price_net"), F.col("pieces_per_carton"), F.col("usable"))
+    best = F.min(F.when(ok, F.struct("unit_price_net", "pieces_per_carton", "source_row"))).alias("best")
+    by_code = prices.groupBy("supplier", "ean").agg(F.count("*").alias("n"), F.count_if("usable").alias("n_usable"), best).where("best is not null")
+    out = reorder.select(F.col("source_row").alias("product"), "ean").join(by_code, "ean")
+    return out.select(F.col("product").alias("source_row"), "ean", "supplier", status_of(F.col("n"), F.col("n_usable")).alias("status"), F.col("best.unit_price_net").alias("unit_price"), F.col("best.pieces_per_carton").alias("pieces"), order_price(F.col("best.unit_price_net"), F.col("best.pieces_per_carton")).alias("order_price"), F.col("best.source_row").alias("offer_row"))
 
 
 def cheapest(offers: DataFrame, preference: list[str] | None = None) -> DataFrame:

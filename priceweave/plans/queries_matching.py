@@ -42,7 +42,7 @@ def _matrix(spark, sf):
 
 
 def _offers(spark, sf):
-    return offers.offers_of(_matrix(spark, sf), price_list(spark, sf))
+    return offers.offers_of(reorder(spark, sf), price_list(spark, sf))
 
 
 @query(f"{_BASE}, {_OFFERS}, {_CHEAPEST} SELECT source_row, supplier, {_D.format('unit_price')}, {_D.format('pieces')}, {_D.format('order_price')}, n_offers FROM cheapest")
