@@ -42,7 +42,8 @@ BEGINNINGS = (3, 4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+")
 _SYMBOLS = b"%#$&*|!<>{}[]=~^\\/@+_"
 
-_CLASS = np.zeros((256, 7), np.float32)
+_CLASS = np.zeros((256, 7))
+FEATURES = 7 + 4
 for _b in range(256):
     _c = bytes([_b])
     _CLASS[_b] = (_c.isalpha() or _b >= 128, _c.isupper(), _c.isdigit(), _c in _SYMBOLS, _c == b"|", _c == b"\n", _c in b".,;:!?")
@@ -52,24 +53,28 @@ def features(texts: pa.Array, words: list[list[str]]) -> np.ndarray:
     """A row for each text: shares of character classes, and how words are spread and repeated."""
     raw, offsets = utf8(texts)
     length = np.diff(offsets).astype(np.float64)
-    out = np.zeros((len(words), _CLASS.shape[1] + 6))
-    for j in range(_CLASS.shape[1]):
-        sums = np.r_[0, np.cumsum(_CLASS[raw, j], dtype=np.float64)]
-        out[:, j] = (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(length, 1)
+    out = np.zeros((len(words), FEATURES))
+    # bytes counted by text and value; a bounded slice of texts at a time
+    for s in range(0, len(words), 512):
+        e = min(s + 512, len(words))
+        part = raw[offsets[s] : offsets[e]]
+        of = np.repeat(np.arange(e - s, dtype=np.int32) << 8, np.diff(offsets[s : e + 1]))
+        counts = np.bincount(of + part, minlength=(e - s) << 8).reshape(e - s, 256)
+        out[s:e, : _CLASS.shape[1]] = counts @ _CLASS / np.maximum(length[s:e, None], 1)
     for i, w in enumerate(words):
         n = len(w)
         if n:
-            repeats = sum(map(str.__eq__, w, w[1:]))
-            out[i, -6:] = np.log1p(n), len(set(w)) / n, repeats / n, sum(map(len, w)) / n, max(map(len, w)), length[i] / n
+            out[i, -4:] = np.log1p(n), len(set(w)) / n, sum(map(str.__eq__, w, w[1:])) / n, length[i] / n
     return out
 
 
-def terms(words: set[str], lengths: Iterable[int]) -> set[str]:
+def terms(words: set[str], lengths: Iterable[int], told: dict[int, set[str]] | None = None) -> set[str]:
     """The words, and the beginnings of these lengths that one, two or three of them share, as ^beginning#number:
-    where compounds tell, a text holds several of a kind."""
+    where compounds tell, a text holds several of a kind. told: the only beginnings that matter, by length."""
     out = set(words)
     for k in lengths:
-        shared = Counter(w[:k] for w in words if len(w) > k)
+        heads = [w[:k] for w in words if len(w) > k]
+        shared = Counter(heads if told is None else [h for h in heads if h in told[k]])
         out.update(f"^{p}#{m}" for p, n in shared.items() for m in range(1, min(n, 3) + 1))
     return out
 
@@ -85,9 +90,12 @@ class Model:
         # log-odds of good quality need words as written; the lower-cased ones serve both
         quality = self.quality.logit(features(texts, lowered)) if lowered else np.zeros(0)
         toxic = np.full(len(lowered), self.toxic_base)
-        lengths = sorted({len(w) - 3 for w in self.lexicon if w[0] == "^"})
+        heads: dict[int, set[str]] = {}
+        for w in self.lexicon:
+            if w[0] == "^":
+                heads.setdefault(len(w) - 3, set()).add(w[1:-2])
         for i, words in enumerate(lowered):
-            told = self.lexicon.keys() & terms(set(words), lengths)
+            told = self.lexicon.keys() & terms(set(words), heads, heads)
             if told:
                 toxic[i] = max(self.lexicon[w] for w in told)
         return quality, toxic
@@ -146,8 +154,7 @@ def fit_model(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(list(features(batch["text"], lowered)), pa.list_(pa.float64())), pa.array(there, pa.list_(pa.int32())), batch["quality"].cast(pa.int32()), batch["toxic"].cast(pa.int32())], names=["x", "there", "quality", "toxic"])
 
     got = rows.mapInArrow(evidence, "x array<double>, there array<int>, quality int, toxic int").toPandas()
-    width = _CLASS.shape[1] + 6
-    x = np.array(got["x"].tolist()) if len(got) else np.zeros((0, width))
+    x = np.array(got["x"].tolist()) if len(got) else np.zeros((0, FEATURES))
     toxic = got["toxic"].to_numpy(np.float64)
     listed = decision_list([set(t) for t in got["there"]], toxic)
     lexicon = {told[i]: v for i, v in listed.items()}
@@ -189,6 +196,7 @@ def site_posteriors(evidence: DataFrame) -> DataFrame:
     evidence: host, path, quality_logit, toxic_logit. Only sums are shuffled, a row for each path and task."""
     kinds = ("quality", "toxic")
     paths = evidence.groupBy("host", "path").agg(F.count("*").alias("n"), *[F.sum(_probability(F.col(f"{k}_logit"))).alias(k) for k in kinds])
+    paths = cut(paths)  # the texts are read once for the sums, whatever is derived from them
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), *[F.sum(k).alias(f"host_{k}") for k in kinds])
     total = hosts.agg(F.sum("host_n").alias("n"), F.count("*").alias("m"), *[F.sum(f"host_{k}").alias(k) for k in kinds], *[F.var_pop(F.col(f"host_{k}") / F.col("host_n")).alias(f"var_{k}") for k in kinds]).first()
     for k in kinds:
