@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut, table  # noqa: F401
+
 #: Arrow rows that one step of a Python operator holds at most.
 BATCH_ROWS = 2000
 
@@ -17,19 +17,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names; only a session without one (tests) gets its own."""
-    if not spark.sparkContext.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder, so that later steps neither recompute nor depend on one executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def slices(batches, rows: int = BATCH_ROWS, byte_limit: int = 16 << 20):
     """Split Arrow batches so that one slice has few rows and few bytes (one long row may exceed it)."""
     for batch in batches:

@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import cut, read, slices, utf8
-from .graph import components
 from .hashing import Rolling, mix
 
 #: Parts beyond what pigeonholes need: sets with up to so many empty parts need no key for these.
@@ -309,17 +309,19 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     sets = cut(_sets(docs, members, n))
 
     # chunks by themselves
-    dealt = _cells(members)
+    dealt = cut(_cells(members))
     links = cut(tree_links(dealt.select(F.xxhash64("bucket", "chunk").alias("cell"), "doc", "class"), sets, percent))
-    # buckets of several chunks: one set of each component
-    for step in ("leads", "rest"):
-        members = cut(_classed(members.drop("class"), links))
-        several = _cells(members)
-        many = several.groupBy("bucket").agg(F.max("chunk").alias("chunks"), F.min("class").alias("low"), F.max("class").alias("high"))
-        several = several.join(many.where((F.col("chunks") > 0) & (F.col("low") != F.col("high"))).select("bucket"), "bucket")
-        if step == "leads":
-            several = _cells(several.where(F.col("doc") == F.col("class")).drop("chunk"))
-        links = links.unionByName(cut(tree_links(_chunk_pairs(several), sets, percent)))
+    # buckets of several chunks: one set of each component, then the chunks that hold different ones
+    large = dealt.groupBy("bucket").agg(F.max("chunk").alias("last")).where("last > 0").select("bucket")
+    members = cut(members.join(large, "bucket"))
+    if members.limit(1).count():
+        for step in ("leads", "rest"):
+            held = cut(_classed(members.drop("class"), links))
+            mixed = held.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("bucket")
+            held = held.join(mixed, "bucket")
+            if step == "leads":
+                held = held.where(F.col("doc") == F.col("class"))
+            links = links.unionByName(cut(tree_links(_chunk_pairs(cut(_cells(held))), sets, percent)))
     classes = components(links)
     of_print = lead.join(classes, lead["doc"] == classes["node"], "left").select("print", F.coalesce("component", "doc").alias("component"))
     out = rows.join(of_print, "print", "left")

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import components
 from .common import cut, read, shielded, slices, without
-from .graph import components
 from .hashing import Rolling, mix
 
 THRESHOLD, MIN_CHARS = 2, 20
