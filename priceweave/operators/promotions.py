@@ -14,7 +14,7 @@ _UNIT_WORDS = "|".join(sorted(UNITS, key=len, reverse=True))
 THRESHOLD = rf"\b(?:{VERBS})\s+(?:ALMENO\s+)?(\d+)\s*({_UNIT_WORDS})\b"
 REWARD = rf"\b(?:IN OMAGGIO|OMAGGIO|RICEVI|RICEVERAI)\s*:?\s*(\d+)\s*({_UNIT_WORDS})\b"
 REWARD_TEXT = rf"(?:IN OMAGGIO|OMAGGIO|RICEVI|RICEVERAI)\s*:?\s*\d+\s*(?:{_UNIT_WORDS})\b\s*(?:\([^)]*\)\s*)?DI\s+(.+)$"
-INCLUDED = r"(?<![\d.,])(\d{1,4})\s*\+\s*(\d{1,4})(?!\s*(?:ML|LT|L|KG|GR|G)\b)(?=.*\b(?:GRATIS|OMAGGIO)\b)"
+INCLUDED = r"(?<![\d.,])(\d{1,4})\s*\+\s*(\d{1,4}+)(?!\d|\s*(?:ML|LT|L|KG|GR|G)\b)(?=.*\b(?:GRATIS|OMAGGIO)\b)"
 MARKERS = r"\b(?:OMAGGIO|GRATIS|PROMO(?:ZIONE)?|OFFERTA|SCONTO)\b"
 
 
