@@ -28,14 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, slices, utf8
+from .common import cut, read, slices, table, utf8
 from .hashing import Rolling, mix
 
-LENGTH, GRAM = 100, 16
+LENGTH, GRAM = 100, 32
 #: Strings that a collection holds, and different segments from which an anchor is dealt into several.
 COLLECTION, WIDE = 1024, 4096
 #: Anchors, segments and documents up to which a sorted list of them is sent to every task; beyond, a shuffle joins them.
 BROADCAST_ROWS = 3_000_000
+#: Low bits of a segment's place that hold its number of windows; the rest is its start.
+PLACE_BITS = 10
 NULL_ID = -(1 << 63)
 
 
@@ -81,6 +83,11 @@ class Segments:
         self.content = mix(rolling.of(begin, begin + self.windows + length - 1) + self.windows.astype(np.uint64)).view(np.int64)
 
 
+#: Rows that are counted together for ranks.
+BLOCK = 128
+_IN_BLOCK = np.arange(BLOCK, dtype=np.int16)
+
+
 class Collection:
     """The transform of a growing collection of strings, and where common prefixes reach a limit.
 
@@ -95,53 +102,68 @@ class Collection:
         table = np.zeros(256, np.uint8 if len(codes) < 256 else np.uint16)
         table[codes] = np.arange(1, len(codes) + 1)
         self.flat = table[flat]
+        self.sigma = len(codes) + 1
+        self.block_base = np.arange(len(flat) + len(strings) + 1) // BLOCK * self.sigma
         # hash of the limit bytes from each place: tells whether two suffixes share a prefix of that length
         self.prefix = Rolling(flat).windows(limit) if len(flat) >= limit else np.zeros(0, np.uint64)
 
     def build(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(string, size, reaches) of all rows; reaches: the common prefix with the row before has the limit."""
-        n = len(self.sizes)
-        string = np.arange(n, dtype=np.int32)
-        size = np.zeros(n, np.int16 if self.sizes.max(initial=0) < 1 << 15 else np.int32)
-        reaches = np.zeros(n, bool)
-        symbol = np.where(self.sizes > 0, self.flat[np.maximum(self.starts + self.sizes - 1, 0)], 0).astype(self.flat.dtype)
-        latest = np.arange(n)  # row of each active string's newest suffix
+        n, longest = len(self.sizes), int(self.sizes.max(initial=0))
+        # a row's suffix as one number: its string and its size
+        self.step = longest + 1
+        code = np.arange(n, dtype=np.int32 if n * self.step < 1 << 31 else np.int64) * self.step
+        reaches = None
+        ends = self.starts + self.sizes
+        symbol = np.where(self.sizes > 0, self.flat[np.maximum(ends - 1, 0)], 0).astype(self.flat.dtype)
         active = np.flatnonzero(self.sizes > 0)
-        latest = latest[active]
-        for round_ in range(1, int(self.sizes.max(initial=0)) + 1):
-            # the row of symbol + suffix is the rank of its symbol among all, after the empty suffixes
-            order = np.argsort(symbol, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            whole = len(symbol) - int(np.count_nonzero(symbol))
-            row = n + rank[latest] - whole
+        latest = active  # row of each active string's newest suffix
+        for round_ in range(1, longest + 1):
+            # the row of symbol + suffix: after the empty suffixes, by the symbol's rank among all
+            row = n + self._rank(symbol, latest)
             by_row = np.argsort(row)
             row, owner = row[by_row], active[by_row]
             old = np.ones(len(symbol) + len(row), bool)
             old[row] = False
-            before = self.starts[owner] + self.sizes[owner] - round_
-            next_symbol = np.where(self.sizes[owner] > round_, self.flat[np.maximum(before - 1, 0)], 0)
-            symbol = _merged(old, symbol, row, next_symbol)
-            string = _merged(old, string, row, owner)
-            size = _merged(old, size, row, round_)
-            reaches = _merged(old, reaches, row, False)
-            if round_ >= self.limit:
-                self._compare(row, string, size, reaches)
             going = self.sizes[owner] > round_
+            symbol = _merged(old, symbol, row, np.where(going, self.flat[np.maximum(ends[owner] - round_ - 1, 0)], 0))
+            code = _merged(old, code, row, owner * self.step + round_)
+            # shorter suffixes cannot share a prefix of the limit
+            if round_ >= self.limit:
+                reaches = np.zeros(len(old), bool) if reaches is None else _merged(old, reaches, row, False)
+                self._compare(row, code, reaches)
             active, latest = owner[going], row[going]
-        return string, size, reaches
-
-    def _compare(self, row: np.ndarray, string: np.ndarray, size: np.ndarray, reaches: np.ndarray) -> None:
+        string, size = np.divmod(code.astype(np.int64), self.step)
+        return string, size, np.zeros(len(code), bool) if reaches is None else reaches
+
+    def _rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """For each row at: how many symbols are smaller than its own, or equal and before it; 0 is no symbol. Counts by
+        block, then inside the row's block: one pass over the symbols, without sorting them."""
+        blocks = len(symbol) // BLOCK + 1
+        key = self.block_base[: len(symbol)] + symbol
+        counts = np.bincount(key, minlength=blocks * self.sigma).reshape(blocks, self.sigma)
+        before = np.cumsum(counts, axis=0) - counts
+        total = counts.sum(axis=0)
+        total[0] = 0
+        smaller = np.cumsum(total) - total
+        own, block = symbol[at], at // BLOCK
+        padded = np.zeros(blocks * BLOCK, symbol.dtype)
+        padded[: len(symbol)] = symbol
+        inside = (padded.reshape(blocks, BLOCK)[block] == own[:, None]) & (_IN_BLOCK[None, :] < (at % BLOCK).astype(np.int16)[:, None])
+        return smaller[own] + before[block, own] + np.count_nonzero(inside, axis=1)
+
+    def _compare(self, row: np.ndarray, code: np.ndarray, reaches: np.ndarray) -> None:
         """Common prefixes of the new rows and of those that follow them."""
-        for at in (row, row[row + 1 < len(string)] + 1):
+        for at in (row, row[row + 1 < len(code)] + 1):
             above = at - 1
-            long = (size[at] >= self.limit) & (size[above] >= self.limit) & (above >= 0)
             reaches[at] = False
+            long = (code[at] % self.step >= self.limit) & (code[above] % self.step >= self.limit) & (above >= 0)
             at, above = at[long], above[long]
-            reaches[at] = self.prefix[self._place(at, string, size)] == self.prefix[self._place(above, string, size)]
+            reaches[at] = self.prefix[self._place(code[at])] == self.prefix[self._place(code[above])]
 
-    def _place(self, at: np.ndarray, string: np.ndarray, size: np.ndarray) -> np.ndarray:
-        return self.starts[string[at]] + self.sizes[string[at]] - size[at]
+    def _place(self, code: np.ndarray) -> np.ndarray:
+        string, size = np.divmod(code.astype(np.int64), self.step)
+        return self.starts[string] + self.sizes[string] - size
 
 
 def _merged(old: np.ndarray, values: np.ndarray, row: np.ndarray, new) -> np.ndarray:
@@ -211,18 +233,19 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
             s = Segments(batch["text"], length, gram)
             keep = np.flatnonzero(_member(sent.value, s.anchor)) if sent is not None else np.arange(len(s.anchor))
             doc = batch["doc"].to_numpy()[s.text[keep]]
-            yield _batch("anchor content doc start windows", s.anchor[keep], s.content[keep], doc, s.start[keep], s.windows[keep])
+            yield _batch("anchor content doc place", s.anchor[keep], s.content[keep], doc, s.start[keep] << PLACE_BITS | s.windows[keep])
 
-    found = docs.mapInArrow(segments, "anchor long, content long, doc long, start long, windows long")
-    found = cut(found if few else found.join(repeated.select("anchor"), "anchor"))
-    firsts = cut(found.groupBy("anchor", "content").agg(F.min(F.struct("doc", "start")).alias("first"), F.first("windows").alias("windows"), F.count("*").alias("n")))
+    found = docs.mapInArrow(segments, "anchor long, content long, doc long, place long")
+    found = table(found if few else found.join(repeated.select("anchor"), "anchor"))
+    firsts = cut(found.groupBy("anchor", "content").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")))
+    start, windows = lambda c: F.shiftright(c, PLACE_BITS), lambda c: c.bitwiseAND((1 << PLACE_BITS) - 1)
 
     # later copies of equal segments
-    copies = found.join(firsts.where(F.col("n") > 1).select("anchor", "content", "first"), ["anchor", "content"]).where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
-    copies = copies.select("doc", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("end"))
+    copies = found.join(firsts.where(F.col("n") > 1).select("anchor", "content", "first"), ["anchor", "content"]).where((F.col("doc") != F.col("first.doc")) | (F.col("place") != F.col("first.place")))
+    copies = copies.select("doc", start(F.col("place")).alias("start"), (start(F.col("place")) + windows(F.col("place")) + (length - 1)).alias("end"))
 
     # the collections: different segments of equal anchors
-    mixed = firsts.join(repeated.where("mixed").select("anchor"), "anchor").select("anchor", F.col("first.doc").alias("doc"), F.col("first.start").alias("start"), "windows")
+    mixed = firsts.join(repeated.where("mixed").select("anchor"), "anchor").select("anchor", F.col("first.doc").alias("doc"), start(F.col("first.place")).alias("start"), windows(F.col("first.place")).alias("windows"))
     spread = mixed.groupBy("anchor").agg(F.count("*").alias("strings"))
     mixed = mixed.join(spread, "anchor").withColumn("deal", F.when(F.col("strings") > WIDE, F.pmod(F.xxhash64("doc", "start"), F.ceil(F.col("strings") / COLLECTION))).otherwise(F.lit(0)))
     mixed = cut(mixed.select("anchor", "deal", (F.col("strings") > WIDE).alias("wide"), "doc", "start", "windows"))
@@ -265,13 +288,14 @@ def _strings(docs: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
 
     def rows(texts, doc_rows, anchor, deal, wide, doc, start, windows):
         parts = [texts[r][s : s + w + length - 1] for r, s, w in zip(doc_rows, start.tolist(), windows.tolist())]
-        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(deal), pa.array(wide), pa.array(doc), pa.array(start), pa.array(parts, pa.binary())], names=["anchor", "deal", "wide", "doc", "start", "bytes"])
-
-    if mixed.count() <= BROADCAST_ROWS // 2:
-        table = mixed.toArrow()  # a checked number
-        order = np.argsort(table["doc"].to_numpy(), kind="stable")
-        names = ("anchor", "deal", "wide", "doc", "start", "windows")
-        sent = docs.sparkSession.sparkContext.broadcast([table[c].to_numpy()[order] for c in names])
+        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(deal.astype(np.int64)), pa.array(wide), pa.array(doc), pa.array(start.astype(np.int64)), pa.array(parts, pa.binary())], names=["anchor", "deal", "wide", "doc", "start", "bytes"])
+
+    if mixed.count() <= BROADCAST_ROWS:
+        rows_ = mixed.toArrow()  # a checked number
+        order = np.argsort(rows_["doc"].to_numpy(), kind="stable")
+        kinds = {"anchor": np.int64, "deal": np.int32, "wide": bool, "doc": np.int64, "start": np.int32, "windows": np.int16}
+        sent = docs.sparkSession.sparkContext.broadcast([rows_[c].to_numpy()[order].astype(k) for c, k in kinds.items()])
+        del rows_
 
         def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns = sent.value
