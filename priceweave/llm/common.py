@@ -11,6 +11,9 @@ from ..session import cut, table  # noqa: F401
 
 #: Arrow rows that one step of a Python operator holds at most.
 BATCH_ROWS = 2000
+#: Bytes of text that a step holds whose arrays take many times the text: two such steps share an executor's memory, and
+#: tables of powers stay at two million entries.
+SLICE_BYTES = 1_900_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

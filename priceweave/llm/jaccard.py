@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import cut, read, slices, utf8
+from .common import SLICE_BYTES, cut, read, slices, utf8
 from .hashing import Rolling, mix
 
 #: Parts beyond what pigeonholes need: sets with up to so many empty parts need no key for these.
@@ -273,12 +273,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def sizes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4000, 8 << 20):
+        for batch in slices(batches, 4000, SLICE_BYTES):
             sets = shingle_sets(batch["text"], n)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fingerprints(sets)), pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "print", "n_shingles"])
 
     def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4000, 8 << 20):
+        for batch in slices(batches, 4000, SLICE_BYTES):
             sets = shingle_sets(batch["text"], n)
             prints, first = np.unique(fingerprints(sets), return_index=True)
             for rows, key in part_keys([sets[i] for i in first], percent):
@@ -355,7 +355,7 @@ def _sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
         docs, sent = docs.join(wanted, docs["doc_id"] == wanted["doc"], "left_semi"), None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4000, 8 << 20):
+        for batch in slices(batches, 4000, SLICE_BYTES):
             if sent is not None:
                 ids = sent.value
                 doc = batch["doc_id"].to_numpy(zero_copy_only=False)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, slices, table, utf8
+from .common import SLICE_BYTES, cut, read, slices, table, utf8
 from .hashing import Rolling, mix
 
 LENGTH, GRAM = 100, 32
@@ -213,7 +213,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     context = docs.sparkSession.sparkContext
 
     def anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4000, 4 << 20):
+        for batch in slices(batches, 4000, SLICE_BYTES):
             s = Segments(batch["text"], length, gram)
             if not len(s.anchor):
                 continue
@@ -229,7 +229,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     sent = context.broadcast(np.sort(repeated.select("anchor").toArrow()["anchor"].to_numpy())) if few else None  # a checked number
 
     def segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4000, 4 << 20):
+        for batch in slices(batches, 4000, SLICE_BYTES):
             s = Segments(batch["text"], length, gram)
             keep = np.flatnonzero(_member(sent.value, s.anchor)) if sent is not None else np.arange(len(s.anchor))
             doc = batch["doc"].to_numpy()[s.text[keep]]
@@ -299,7 +299,7 @@ def _strings(docs: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
 
         def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns = sent.value
-            for batch in slices(batches, 4000, 8 << 20):
+            for batch in slices(batches, 4000, SLICE_BYTES):
                 doc = batch["doc"].to_numpy()
                 low, high = np.searchsorted(columns[3], doc), np.searchsorted(columns[3], doc, side="right")
                 hit = np.flatnonzero(low < high)
@@ -325,7 +325,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def keep(batches: Iterable[pa.RecordBatch], ids=None, hit: bool = True) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2000, 8 << 20):
+        for batch in slices(batches, 2000, 4 << 20):
             if ids is not None:
                 there = _member(ids.value, batch["doc"].to_numpy())
                 batch = batch.filter(pa.array(there == hit))
