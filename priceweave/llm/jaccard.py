@@ -229,9 +229,10 @@ def _cells(members: DataFrame) -> DataFrame:
     return members.withColumn("chunk", F.floor(F.sum(F.col("size") + 1).over(order) / CHUNK_SHINGLES))
 
 
-def tree_links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b of the links that the trees of cells (cell, doc, class) find."""
-    there = cells.join(sets, "doc").repartition(F.col("cell")).sortWithinPartitions("cell", "doc")
+def tree_links(cells: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """a, b of the links that the trees of cells (cell, doc, class) find. The sets are made from the texts where these
+    are read, and shuffled once, to their cells."""
+    there = _sets(docs, cells, n).repartition(F.col("cell")).sortWithinPartitions("cell", "doc")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, docs, classes, held = None, [], [], []
@@ -306,11 +307,10 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     met = docs.where(F.col("doc_id").isNotNull()).mapInArrow(keys, "key long, print long").repartition(F.col("key")).sortWithinPartitions("key", "print").mapInArrow(meetings, "a long, b long")
     buckets = components(met).select(F.col("node").alias("print"), F.col("component").alias("bucket"))
     members = cut(lead.join(buckets, "print").select("bucket", "doc", "size", F.col("doc").alias("class")))
-    sets = cut(_sets(docs, members, n))
 
     # chunks by themselves
     dealt = cut(_cells(members))
-    links = cut(tree_links(dealt.select(F.xxhash64("bucket", "chunk").alias("cell"), "doc", "class"), sets, percent))
+    links = cut(tree_links(dealt.select(F.xxhash64("bucket", "chunk").alias("cell"), "doc", "class"), docs, n, percent))
     # buckets of several chunks: one set of each component, then the chunks that hold different ones
     large = dealt.groupBy("bucket").agg(F.max("chunk").alias("last")).where("last > 0").select("bucket")
     members = cut(members.join(large, "bucket"))
@@ -321,7 +321,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
             held = held.join(mixed, "bucket")
             if step == "leads":
                 held = held.where(F.col("doc") == F.col("class"))
-            links = links.unionByName(cut(tree_links(_chunk_pairs(cut(_cells(held))), sets, percent)))
+            links = links.unionByName(cut(tree_links(_chunk_pairs(cut(_cells(held))), docs, n, percent)))
     classes = components(links)
     of_print = lead.join(classes, lead["doc"] == classes["node"], "left").select("print", F.coalesce("component", "doc").alias("component"))
     out = rows.join(of_print, "print", "left")
@@ -345,26 +345,38 @@ def _chunk_pairs(dealt: DataFrame) -> DataFrame:
     return sides.join(dealt, ["bucket", "chunk"]).select("cell", "doc", "class")
 
 
-def _sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
-    """doc, shingles of the buckets' documents."""
-    wanted = members.select("doc")
-    if wanted.count() <= BROADCAST_DOCS:
-        # a checked number of ids
-        sent = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["doc"].to_numpy()))
+def _sets(docs: DataFrame, cells: DataFrame, n: int) -> DataFrame:
+    """cells (cell, doc, class) with the shingles of each document."""
+    cells = cut(cells.select("cell", "doc", "class"))
+    docs = docs.where(F.col("doc_id").isNotNull())
+    if cells.count() <= BROADCAST_DOCS:
+        rows = cells.toArrow()  # a checked number
+        order = np.argsort(rows["doc"].to_numpy(), kind="stable")
+        sent = docs.sparkSession.sparkContext.broadcast([rows[c].to_numpy()[order] for c in ("doc", "cell", "class")])
     else:
-        docs, sent = docs.join(wanted, docs["doc_id"] == wanted["doc"], "left_semi"), None
+        dealt = cells.groupBy("doc").agg(F.collect_list("cell").alias("cells"), F.collect_list("class").alias("classes"))
+        docs, sent = docs.join(dealt, docs["doc_id"] == dealt["doc"]).select("doc_id", "text", "cells", "classes"), None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4000, SLICE_BYTES):
-            if sent is not None:
-                ids = sent.value
+            if sent is None:
+                sizes = batch["cells"].value_lengths().to_numpy(zero_copy_only=False)
+                at = np.repeat(np.arange(batch.num_rows), sizes)
+                cell, cls = (batch[c].flatten().to_numpy() for c in ("cells", "classes"))
+            else:
+                ids, of_cell, of_class = sent.value
                 doc = batch["doc_id"].to_numpy(zero_copy_only=False)
-                slot = np.minimum(np.searchsorted(ids, doc), max(0, len(ids) - 1))
-                batch = batch.filter(pa.array(ids[slot] == doc if len(ids) else np.zeros(len(doc), bool)))
+                low, high = np.searchsorted(ids, doc), np.searchsorted(ids, doc, side="right")
+                batch = batch.filter(pa.array(high > low))
+                low, sizes = low[high > low], (high - low)[high > low]
+                at = np.repeat(np.arange(len(sizes)), sizes)
+                place = np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+                cell, cls = of_cell[place], of_class[place]
             sets = shingle_sets(batch["text"], n)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc", "shingles"])
+            shingles = pa.array([sets[i].view(np.int64) for i in at], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(cell), batch["doc_id"].take(pa.array(at)), pa.array(cls), shingles], names=["cell", "doc", "class", "shingles"])
 
-    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc long, shingles array<long>")
+    return docs.mapInArrow(run, "cell long, doc long, class long, shingles array<long>")
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -148,8 +148,9 @@ def plain_components(rows, n, percent):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("n,percent,chunk", [(3, 90, 250_000), (5, 80, 250_000), (3, 90, 300)])
-def test_jaccard_equals_all_pairs(spark, monkeypatch, n, percent, chunk):
+@pytest.mark.parametrize("n,percent,chunk,few", [(3, 90, 250_000, 1_000_000), (5, 80, 250_000, 0), (3, 90, 300, 1_000_000)])
+def test_jaccard_equals_all_pairs(spark, monkeypatch, n, percent, chunk, few):
+    monkeypatch.setattr(jaccard, "BROADCAST_DOCS", few)
     monkeypatch.setattr(jaccard, "CHUNK_SHINGLES", chunk)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(frame(spark), n, percent).collect()}
     assert got == plain_components(awkward(), n, percent)
