@@ -32,7 +32,7 @@ KINDS = [*PATTERNS, "ctx"]
 #: What may be an identifier: a run without white space or quotes that holds a digit. The look-behind keeps starts at
 #: the head of a run; its possessive head without digits keeps the time linear.
 CANDIDATE = r"(?<![^\s\x22\x27<>()\[\]{},;|])[^\s\x22\x27<>()\[\]{},;|0-9]*+[0-9][^\s\x22\x27<>()\[\]{},;|]*+"
-_BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_BYTE = r"(?:0++(?![0-9])|0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?))"
 
 SPAN = "struct<kind:string,start:long,end:long>"
 

@@ -313,6 +313,12 @@ def test_pii_base_equals_regex(spark):
         assert [tuple(s) for s in r["base"]] == want
 
 
+def test_pii_ip_with_zero_parts(spark):
+    texts = ["10.0.0.1", "0.0.0.0", "00.1.2.3", "192.168.000.007", "1.2.3.0", "256.0.0.1", "0.0.0.256", "1.2.3.000300"]
+    got = {r["doc_id"]: [tuple(s) for s in r["base"]] for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: [("ip", 0, len(t))] if i < 5 else [] for i, t in enumerate(texts)}
+
+
 def test_pii_contexts_discover(spark):
     rows = [(i, f"please write to box {i}@mail.org soon") for i in range(12)] + [(20, "please write to box a1b2c3-77 soon"), (21, "we sold 123456 pieces of it"), (22, "we sold 223456 pieces of it")]
     found = {r["doc_id"]: r["added"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
