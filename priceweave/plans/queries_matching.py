@@ -197,7 +197,7 @@ def ean_forced_shortlist(spark, sf):
 def semantic_score(spark, sf):
     """Words, matching blocks and pack sizes of pairs that share the brand and a word."""
     w = _described(spark, sf)
-    q = w.where("source_row % 20 = 0").select(F.col("source_row").alias("qid"), "brand", F.col("description").alias("a"), F.col("tokens").alias("ta"))
+    q = w.select(F.col("source_row").alias("qid"), "brand", F.col("description").alias("a"), F.col("tokens").alias("ta"))
     i = w.select(F.col("source_row").alias("iid"), "brand", F.col("description").alias("b"), F.col("tokens").alias("tb"))
     pairs = q.join(i, "brand").where(F.arrays_overlap("ta", "tb") & (F.col("qid") != F.col("iid")))
     sizes = size_comparison(F.col("xa"), F.col("xb"))
