@@ -36,7 +36,10 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}, "body": set()}
 CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "li", "dd", "dt", "summary", "noscript"} | {"li", "dd", "dt"}
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]{0,4096}+"|'[^']{0,4096}+')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_START = re.compile(r"<(?:!--|[!?]|/?([a-zA-Z][^\s/>]*+))")
+# quotes stand only around a whole value, as browsers read it
+_REST = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))*+)>""")
+_NEXT = re.compile(r"""=\s*+(?:(["'])|[^\s>]*+)|>""")
 _NAMED = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -59,6 +62,56 @@ _TAG = {t: i for i, group in enumerate(TAGS) for t in group}
 N_TELLS, N_TAGS = len(TELLS), len(TAGS)
 
 
+class Markup:
+    """The tags and comments of a page, each from a given position on; time is linear in the page, however broken."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.endless = len(html) + 1  # from here on there is no >
+        self.broken = False  # a tag whose end is not found may be tried at each later <: from then on what failed is kept
+        self.dead: set[int] = set()
+        self.gap = (0, -1)
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """start, end, name of a closing tag, name of an opening tag, its attributes."""
+        html = self.html
+        while m := _START.search(html, at):
+            start, at = m.span()
+            if m[0] == "<!--":
+                end = html.find("-->", at)
+                return start, end + 3 if end >= 0 else len(html), "", "", ""
+            first = html.find(">", at) if at < self.endless else -1
+            if first < 0:
+                self.endless = min(self.endless, at)
+                continue
+            if not m[1]:
+                return start, first + 1, "", "", ""
+            if html[start + 1] == "/":
+                return start, first + 1, m[1], "", ""
+            if not self.broken and (rest := _REST.match(html, at)):
+                return start, rest.end(), "", m[1], rest[1]
+            self.broken = True
+            end = self._end(at)
+            end = first if end < 0 else end
+            return start, end + 1, "", m[1], html[at:end]
+        return None
+
+    def _end(self, at: int) -> int:
+        """Place of the > that ends an opening tag, or -1 if quotes hold all of them."""
+        html, seen = self.html, []
+        low, high = self.gap
+        m = _NEXT.search(html, high if low <= at <= high else at)
+        self.gap = (low if low <= at <= high else at, m.start() if m else len(html))
+        while m and m.start() not in self.dead:
+            if m[0] == ">":
+                return m.start()
+            seen.append(m.start())
+            after = html.find(m[1], m.end()) + 1 if m[1] else m.end()
+            m = _NEXT.search(html, after) if after else None
+        self.dead.update(seen)
+        return -1
+
+
 class Tree:
     """Block nodes of a page, and its text blocks with the node that each stands in."""
 
@@ -98,13 +151,12 @@ class Tree:
                 links -= tag == "a"
                 stack.pop()
 
-        for m in _TOKEN.finditer(html):
-            if m.start() < at:
-                continue
-            if m.start() > at:
-                add(html[at : m.start()])
-            at = m.end()
-            closing = m[1]
+        markup = Markup(html)
+        while found := markup.next(at):
+            start, end, closing, opening, attributes = found
+            if start > at:
+                add(html[at:start])
+            at = end
             if closing:
                 tag = closing.lower()
                 if tag in ("body", "html", "br"):
@@ -118,13 +170,13 @@ class Tree:
                     if tag not in BLOCKS and stack[k][0] in BLOCKS:
                         break
                 continue
-            opening = m[2] or m[4]
             if not opening:
                 continue
-            tag, attributes = opening.lower(), m[3] or m[5] or ""
+            tag = opening.lower()
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
+                m = re.compile(rf"</{re.escape(tag)}", re.I).search(html, at)
+                at = html.find(">", m.end()) + 1 if m else 0
+                at = at or len(html)
                 continue
             if tag == "html" or tag == "body" and any(t == "body" for t, _ in stack):
                 continue

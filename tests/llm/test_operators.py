@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -241,6 +242,28 @@ def test_extract_held_out_and_awkward(spark):
     assert all(r["text"] == "" for r in got if r["page_id"] in (2, 3, 5)) and len(got) == 7
 
 
+def test_extract_scripts_and_long_values():
+    texts = lambda html: [t for _, t in extract.Tree(html).blocks]
+    page = "<script>for(i=0;i<n;i++){ /* don't */ }</script><p>Real text isn't here.</p><p>Next.</p>"
+    assert texts(page) == ["Real text isn't here.", "Next."] and extract.Tree(page).tag == ["html", "p", "p"]
+    for q in "'\"":
+        held = "<p>no text</p> > " * 1000
+        assert texts(f"<div data-props={q}{held}{q}><p>Inner text.</p></div>") == ["Inner text."]
+    assert texts("<p class=don't>one</p><p title='a>b' id = \"c>d\">two</p><p x=>three</p>") == ["one", "two", "three"]
+    assert texts("<p title='open>one</p><p>two</p>") == ["one", "two"]
+
+
+def test_extract_time_is_linear():
+    n = 100_000
+    for broken in ("<a x='>'", "<a", "<a x=", "</a", "<!a", "<a x=\"'>'", "<a '", "<script></script", "<script></script x>"):
+        started = time.process_time()
+        for html in (broken * n, broken * n + "\"", "<a x='" + broken * n):
+            markup, at = extract.Markup(html), 0
+            while found := markup.next(at):
+                at = found[1]
+        assert time.process_time() - started < 20, broken
+
+
 def test_extract_choice_is_consistent():
     tree = extract.Tree("<div><nav><p>a</p><p>b</p></nav><article><p>c</p></article></div>")
     chosen = tree.decode(np.random.default_rng(0).normal(size=len(tree.tag)) * 3)
