@@ -29,9 +29,11 @@ PATTERNS = {
 }
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 KINDS = [*PATTERNS, "ctx"]
-#: What may be an identifier: a run without white space or quotes that holds a digit. The look-behind keeps starts at
-#: the head of a run; its possessive head without digits keeps the time linear.
-CANDIDATE = r"(?<![^\s\x22\x27<>()\[\]{},;|])[^\s\x22\x27<>()\[\]{},;|0-9]*+[0-9][^\s\x22\x27<>()\[\]{},;|]*+"
+_RUN = r"[^\s\x22\x27<>()\[\]{},;|]"
+#: What may be an identifier: a run without white space or quotes that holds a digit, a sign between letters or a capital
+#: behind a letter, of any length; a run with a digit goes on with the groups of digits behind it. The look-behind keeps
+#: starts at the head of a run, so the time is linear.
+CANDIDATE = rf"(?<!{_RUN})(?:(?={_RUN}*?[0-9]){_RUN}++(?:\x20[0-9][0-9\x20.-]*[0-9])?|(?={_RUN}*?\p{{L}}(?:[^\s\p{{L}}]++\p{{L}}|\p{{Lu}})){_RUN}++)"
 _BYTE = r"(?:0++(?![0-9])|0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?))"
 
 SPAN = "struct<kind:string,start:long,end:long>"
@@ -94,32 +96,37 @@ def base_spans(df: DataFrame) -> DataFrame:
 
 
 def candidates(df: DataFrame) -> DataFrame:
-    """base_spans without the text, plus cand: array<struct<value,start,end,left>> of identifier-like strings."""
-    none = F.array().cast("array<struct<value:string,start:long,end:long>>")
-    out = df.withColumn("tokens", F.when(F.col("digit"), F.filter(located(F.col("text"), CANDIDATE), lambda x: F.char_length(x["value"]).between(6, 64))).otherwise(none))
+    """base_spans without the text, plus seeds, the base spans, and cand, identifier-like strings that touch none:
+    array<struct<value,start,end,left>>."""
     left = lambda x: F.lower(F.regexp_extract(F.substring(F.col("text"), F.greatest(x["start"] - 40, F.lit(0)).cast("int") + 1, F.least(x["start"], F.lit(40)).cast("int")), r"(\S+\s+\S*\s*\S{0,2})$", 1))
-    return out.withColumn("cand", F.transform("tokens", lambda x: F.struct(x["value"].alias("value"), x["start"].alias("start"), x["end"].alias("end"), left(x).alias("left")))).drop("tokens", "text", "digit")
+    placed = lambda x: F.struct(x["value"].alias("value"), x["start"].alias("start"), x["end"].alias("end"), left(x).alias("left"))
+    free = lambda c: ~F.exists("spans", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
+    out = df.withColumn("spans", F.array_distinct(F.flatten(F.array(*[F.col(k) for k in PATTERNS]))))
+    out = out.withColumn("seeds", F.transform("spans", placed)).withColumn("cand", F.transform(F.filter(located(F.col("text"), CANDIDATE), free), placed))
+    return out.drop("spans", "text", "digit")
 
 
 def discover(base: DataFrame, rounds: int = 3, shrink: float = 2.0, least: float = 0.7, support: int = 3) -> DataFrame:
     """row_id, array of SPANs that patterns of the base spans' contexts add.
 
-    base: row_id, the kinds and cand. shrink: unseen failures that a pattern is charged with; least: the score from
+    base: row_id, seeds and cand. shrink: unseen failures that a pattern is charged with; least: the score from
     which patterns and instances are believed; support: distinct seeds that a pattern needs.
     """
-    seeds = F.flatten(F.array(*[F.col(k) for k in PATTERNS]))
-    touching = lambda c: F.exists("seeds", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
-    occ = base.withColumn("seeds", seeds).select("row_id", F.explode(F.transform("cand", lambda c: F.struct(c["value"].alias("value"), c["start"].alias("start"), c["end"].alias("end"), c["left"].alias("pattern"), touching(c).alias("seed")))).alias("c")).select("row_id", "c.*")
-    occ = cut(occ.where(F.length("pattern") > 2))
+    of = lambda name: base.select("row_id", F.explode(name).alias("c")).select("row_id", "c.value", "c.start", "c.end", F.col("c.left").alias("pattern"), F.lit(name == "seeds").alias("seed")).where(F.length("pattern") > 2)
+    # patterns under the support are never believed, so what else stands in them has no part
+    seeds = cut(of("seeds").groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
+    supported = seeds.groupBy("pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= support).select("pattern")
+    occ = cut(of("cand").join(supported, "pattern", "left_semi"))
     # the graph: an edge for each pattern and instance, with what makes the instance a seed
-    graph = cut(occ.groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
+    edges = seeds.unionByName(occ.groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
+    graph = cut(edges.groupBy("pattern", "value").agg(F.sum("n").alias("n"), F.max("seed").alias("seed")))
     scores = graph.select("value", F.col("seed").cast("double").alias("score")).groupBy("value").agg(F.max("score").alias("score"))
     for _ in range(rounds):
         patterns = graph.join(scores, "value").groupBy("pattern").agg((F.sum("score") / (F.count("*") + shrink)).alias("trust"), F.sum(F.col("seed").cast("long")).alias("seeds"))
         patterns = patterns.where(F.col("seeds") >= support)
         scores = cut(graph.join(patterns, "pattern", "left").groupBy("value").agg(F.greatest(F.max(F.col("seed").cast("double")), F.coalesce(F.max("trust"), F.lit(0.0))).alias("score")))
     believed = patterns.where(F.col("trust") >= least)
-    found = occ.where(~F.col("seed")).join(believed, "pattern").join(scores.where(F.col("score") >= least), "value")
+    found = occ.join(believed.select("pattern"), "pattern").join(scores.where(F.col("score") >= least), "value")
     return found.groupBy("row_id").agg(F.collect_set(F.struct(F.lit("ctx").alias("kind"), "start", "end")).alias("added"))
 
 

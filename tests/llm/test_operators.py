@@ -342,6 +342,27 @@ def test_pii_ip_with_zero_parts(spark):
     assert got == {i: [("ip", 0, len(t))] if i < 5 else [] for i, t in enumerate(texts)}
 
 
+def test_pii_contexts_of_any_seed_and_candidate(spark):
+    letters = [a + b for a in "abcd" for b in "efgh"]
+    kinds = {
+        "my mail is ": [f"{x}.doe@example.org" for x in letters],
+        "you may call ": [f"+44 20 7946 09{k}" for k in range(10, 26)],
+        "our longest is ": [f"{x * 40}@example.org" for x in letters],
+        "the account was ": ["4111 1111 1111 1111", "5500 0000 0000 0004", "3400 0000 0000 009", "4012 8888 8888 1881", "3056 9309 0259 04", "6011 1111 1111 1117"],
+    }
+    new = ["john-smith_q", "4111 1111 1111 1112", "k" * 70 + "7", "a1", "jSmith"]
+    rows = [(len(v), f"so {c}{v} then") for c, values in kinds.items() for v in values]
+    rows += [(-k, f"so {c}{v} then") for c in kinds for k, v in enumerate(new, 1)] + [(-9, "so my mail is broken then")]
+    got = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.struct("doc_id", "text"))).collect()
+    for r in got:
+        i, text = r["doc_id"]
+        want = []
+        if -9 < i < 0:
+            at = text.index(new[-i - 1])
+            want = [("ctx", at, at + len(new[-i - 1]))]
+        assert [tuple(s) for s in r["added"]] == want, text
+
+
 def test_pii_contexts_discover(spark):
     rows = [(i, f"please write to box {i}@mail.org soon") for i in range(12)] + [(20, "please write to box a1b2c3-77 soon"), (21, "we sold 123456 pieces of it"), (22, "we sold 223456 pieces of it")]
     found = {r["doc_id"]: r["added"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
