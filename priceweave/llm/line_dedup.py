@@ -11,7 +11,8 @@ Only hashes, places and signatures of lines are shuffled for the join; hot segme
 join, as the signature filter is part of the join. Equal lines are one line from the start.
 
 Defined results
-- null or empty text: no lines; kept as it is. Lines shorter than min_chars stay.
+- null or empty text: no lines; kept as it is. Lines shorter than min_chars have no near ones; equal ones go from
+  exact_chars on, which is 1 in the query and in clean_lines: all but empty lines.
 - a document that loses lines keeps the others, joined by \\n; one that loses all has the empty text.
 - repeated rows and ties: rows of one doc_id are one place, so an equal line at the same number stays in all of them;
   null ids are one place before all others. Extra columns are kept; in dedup_lines
@@ -208,11 +209,13 @@ def near_pairs(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS)
     return both.mapInArrow(verify, "a long, b long")
 
 
-def dedup_lines(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with the repeated lines gone, and n_lines, n_removed."""
+def dedup_lines(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
+    """docs with the repeated lines gone, and n_lines, n_removed. exact_chars: from this length on lines go that equal a
+    line before; min_chars if not given."""
+    exact_chars = min_chars if exact_chars is None else exact_chars
     docs = without(docs, ("n_lines", "n_removed"))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), "text")
-    where = places(keyed, min_chars)
+    where = places(keyed, min(exact_chars, min_chars))
     # first place of each line; partial minima before the shuffle keep a hot line small
     first = where.groupBy("line").agg(F.min(F.struct("doc", "number")).alias("first"), F.count("*").alias("n"))
     classes = cut(components(near_pairs(keyed, t, min_chars)))
@@ -236,7 +239,7 @@ def dedup_lines(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS)
                 lines = (text or "").split("\n") if text else []
                 total[i] = len(lines)
                 if gone_of[i] and lines:
-                    there = Lines([text], min_chars)
+                    there = Lines([text], min(exact_chars, min_chars))
                     known = dict(zip(there.number.tolist(), there.id.tolist()))
                     drop = {g["number"] for g in gone_of[i] if known.get(g["number"]) == g["line"]}
                     removed[i] = len(drop)
@@ -250,14 +253,14 @@ def dedup_lines(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS)
 
 
 def clean_lines(docs: DataFrame) -> DataFrame:
-    """docs without repeated lines, and without the rows of which every line is a repeated one."""
+    """docs without repeated lines, and without the rows that keep blank lines only."""
     docs, back = shielded(docs, ("n_lines", "n_removed"))
-    out = dedup_lines(docs)
-    return out.where((F.col("n_lines") == 0) | (F.col("n_removed") < F.col("n_lines"))).select(*back)
+    out = dedup_lines(docs, exact_chars=1)
+    return out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"(?U)\S")).select(*back)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), exact_chars=1)
     return out.select("doc_id", "n_lines", "n_removed", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -424,6 +424,15 @@ def test_line_dedup_equals_all_pairs(spark, monkeypatch, few):
         assert got[i] == want, i
 
 
+def test_line_dedup_short_lines(spark):
+    long = "a line of more than twenty characters"
+    texts = [f"Short.\n\n{long}\nx", f"Short.\n\n{long}\nx", "Short.\nShort!\nx\ny", "\n\n", "x\n \n\u2003"]
+    rows = [(i, t, "en", "s", 0, "x", "y", "z", "w") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(frame(spark, rows), exact_chars=1).collect()}
+    assert got == {0: (texts[0], 0), 1: ("", 3), 2: ("Short!\ny", 2), 3: ("\n\n", 0), 4: (" \n\u2003", 1)}
+    assert {r["doc_id"] for r in line_dedup.clean_lines(frame(spark, rows)).collect()} == {0, 2, 3}
+
+
 def test_line_dedup_awkward_tables(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
     out = line_dedup.clean_lines(frame(spark))
