@@ -14,8 +14,9 @@ their hash in a grouped minimum.
 
 Defined results
 - null or empty text: no bytes, nothing removed. Texts under `length` bytes: nothing removed.
-- order is (doc_id, start); null ids come first. Repeated rows of an id are one place, so none removes the other; an id
-  is taken to have one text.
+- order is (doc_id, start); null ids come first, told apart and ordered by 60 bits of a hash of their texts (ids under
+  NULL_ID + NULL_TEXTS stand among them). Repeated rows of an id, or of a text without id, are one place, so none removes
+  the other; an id is taken to have one text.
 - empty tables: no rows. Extra columns are ignored. Segments and anchors are told apart by 64-bit hashes.
 """
 
@@ -39,6 +40,8 @@ BROADCAST_ROWS = 3_000_000
 #: Low bits of a segment's place that hold its number of windows; the rest is its start.
 PLACE_BITS = 10
 NULL_ID = -(1 << 63)
+#: Keys that texts without an id have, from NULL_ID on.
+NULL_TEXTS = 1 << 60
 
 
 def sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
@@ -318,7 +321,8 @@ def _strings(docs: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, removed (array of merged spans, bytes), kept (binary) of each row of docs."""
-    docs = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), "text")
+    unnamed = F.lit(NULL_ID) + F.pmod(F.xxhash64("text"), F.lit(NULL_TEXTS))
+    docs = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), unnamed).alias("doc"), "text")
     spans = removed_spans(docs.select("doc", "text"), length, gram)
     per_doc = cut(spans.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")))
     names = "doc_id n_bytes removed kept".split()

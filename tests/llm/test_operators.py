@@ -117,6 +117,20 @@ def test_suffix_dedup_empty_and_repeated(spark):
     assert sorted(len(r["kept"]) for r in rows) == [0, 0, len(row[1])]  # the null id comes first
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_suffix_dedup_null_ids(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", 0)
+    r = np.random.default_rng(8)
+    part = lambda: "".join(r.choice(list("abcdefgh "), 300))
+    twice, other, shared = part(), part() + part() + part(), part()
+    texts = [twice + "|" + twice, other, shared + "#" + part(), part() + "#" + part(), None, ""]
+    rows = [(None, t, "en", "s", 0, "x", "y", "z", "w") for t in texts] + [(1, shared + "!", "en", "s", 0, "x", "y", "z", "w")]
+    got = suffix_dedup.dedup_substrings(frame(spark, rows)).collect()
+    assert sorted(bytes(x["kept"]).decode() for x in got if x["doc_id"] is None) == sorted([twice + "|", *texts[1:4], "", ""])
+    assert [bytes(x["kept"]) for x in got if x["doc_id"] == 1] == [b"!"]
+
+
 def test_collection_is_the_sorted_suffixes():
     strings = [b"banana", b"", b"bandana", b"ananas"]
     string, size, _ = suffix_dedup.Collection(strings, 3).build()
