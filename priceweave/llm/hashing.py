@@ -1,4 +1,9 @@
-"""Rolling hashes of symbol sequences in numpy: any substring's hash from prefix sums, for whole arrays of substrings."""
+"""Hashes of many pieces of one sequence at a time, in numpy.
+
+Rolling gives any substring's hash from prefix sums. It is a polynomial modulo 2^64, for which unequal strings of equal
+hash can be written down, so it only proposes: what it brings together is compared by another means. span_hashes mixes
+each eight bytes with their place and has no such pairs; it tells pieces apart.
+"""
 
 from __future__ import annotations
 
@@ -53,3 +58,31 @@ class Rolling:
     def windows(self, k: int) -> np.ndarray:
         """The hash of each k symbols in a row."""
         return (self.prefix[k:] - self.prefix[:-k]) * self.inverse[: len(self.prefix) - k]
+
+
+def _eights(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first eight of each span, the eights, their number in the span): bytes behind a span's end count as zeros."""
+    n = np.maximum(-(-(end - start) // 8), 1)
+    first = np.cumsum(n) - n
+    number = np.arange(n.sum()) - np.repeat(first, n)
+    at = np.repeat(start, n) + 8 * number
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))[np.minimum(at, len(raw))]
+    left = np.repeat(end, n) - at
+    short = left < 8
+    eights[short] &= (np.uint64(1) << (np.uint64(8) * np.maximum(left[short], 0).astype(np.uint64))) - np.uint64(1)
+    return first, eights, number
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seeds: tuple[int, ...] = (1,)) -> list[np.ndarray]:
+    """For each seed a 64-bit hash of each span of these bytes; hashes of different seeds are independent."""
+    if not len(start):
+        return [np.zeros(0, np.uint64) for _ in seeds]
+    first, eights, number = _eights(raw, start, end)
+    places = number.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+    sizes = (end - start).astype(np.uint64)
+    out = []
+    for seed in seeds:
+        salt = np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))
+        out.append(mix(np.add.reduceat(mix(mix(eights ^ salt) + places), first) + sizes + salt))
+    return out

@@ -1,19 +1,25 @@
 """N-gram Jaccard join by signature trees.
 
 Documents link when their sets of word n-grams have a Jaccard similarity of at least percent / 100. Equal sets are one
-set from the start. Sets that could link meet by exact keys: the tokens are dealt into as many parts as two linked sets
-can differ by, plus one, so one part at least is equal; parts' hashes are the keys. Connected keys give candidate
-buckets. In a bucket, a signature tree holds in each node the OR (and the AND) of its sets' token bitmaps and the range
-of their sizes; a dual traversal drops pairs of nodes whose greatest possible overlap is too small, or whose sets are
-one component already, and verifies the pairs of sets that are left. Large buckets are dealt in chunks: first each
-chunk by itself, then one set of each component that was found, then the chunks that still hold different components.
+set from the start. Sets that could link meet by exact keys: the tokens are dealt into parts, more than two linked sets
+can differ by, so some parts at least are equal; a part is a key if it holds a token that is not hot, that is, one whose
+cell of a sketch over all documents counts few of them, so no such key joins more sets than that. A set with too many
+parts that are no keys (long hot passages, few tokens) has its rarest tokens as keys besides, as many as one of two
+linked sets must share. The smallest set of a key is its centre; a bucket is a centre and the sets that met it, dealt
+into cells of a bounded size that all hold the centre. In a cell, a signature tree holds in each node the OR (and the
+AND) of its sets' token bitmaps and the range of their sizes; a dual traversal drops pairs of nodes whose greatest
+possible overlap is too small, or whose sets are one component already, and verifies the pairs of sets that are left.
+
+Each set first goes to its smallest centre only. Keys whose sets are then of one component are done; the others go to
+all their centres; what is still of several components in a bucket of several cells is dealt by component, and the
+cells' different components meet.
 
 Defined results
 - null or empty text, and texts without words: no shingles, component of their own.
 - fewer than n words: the whole sequence is the only shingle.
-- repeated rows: each has a row of the result; an id is taken to have one text. Null doc_id: a row with a null
-  component, linked with nothing. Extra columns are ignored. Empty tables: no rows.
-- shingles and sets are told apart by 64-bit hashes.
+- repeated rows: each has a row of the result; rows of one id with different texts are judged each by its own text.
+  Null doc_id: a row with a null component, linked with nothing. Extra columns are ignored. Empty tables: no rows.
+- words, shingles and sets are told apart by 64-bit hashes without structural collisions.
 """
 
 from __future__ import annotations
@@ -22,20 +28,23 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import SLICE_BYTES, cut, read, slices, utf8
-from .hashing import Rolling, mix
+from .common import SLICE_BYTES, cut, read, slices, table, utf8
+from .hashing import mix, span_hashes
 
-#: Parts beyond what pigeonholes need: sets with up to so many empty parts need no key for these.
-SPARE = 2
-#: Shingles that a chunk of a bucket holds (a single larger set is a chunk of its own).
+#: Shingles that a cell holds (a single larger set is a cell of its own with its centre).
 CHUNK_SHINGLES = 250_000
 #: Documents of candidate buckets up to which their ids are sent to every task; beyond, their texts are joined by a shuffle.
 BROADCAST_DOCS = 1_000_000
 BITS = 1024
+#: Cells of the sketch that counts the documents of tokens, a power of two, and how many of them travel in one row. The
+#: cells' levels (a byte each) are sent to every task: 4 MB, whatever the input.
+CELL_BITS, CELL_ROWS = 22, 64
+#: A token is hot if its cell counts over so many documents, plus so many times the mean count.
+HOT_DOCS, HOT_MEANS = 64, 4
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -55,9 +64,7 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(np.r_[False, inside, False].astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     text = np.searchsorted(offsets[1:] + np.arange(1, n + 1), start, side="right")
-    if not len(start):
-        return np.zeros(0, np.uint64), text
-    return mix(Rolling(gap).of(start, end) + (end - start).astype(np.uint64)), text
+    return span_hashes(gap, start, end)[0], text
 
 
 def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -91,6 +98,25 @@ def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
     return mix(total[ends] - total[ends - sizes] + sizes.astype(np.uint64)).view(np.int64)
 
 
+class Heat:
+    """How many documents a token's cell counts, as a level: levels rise by a quarter of a doubling."""
+
+    def __init__(self, levels: np.ndarray, total: int):
+        self.levels = levels
+        self.hot = self.level(np.array([HOT_DOCS + HOT_MEANS * total / len(levels)]))[0]
+
+    @staticmethod
+    def level(counts: np.ndarray) -> np.ndarray:
+        return np.minimum(4 * np.log2(1 + counts), 255).astype(np.uint8)
+
+    @staticmethod
+    def cell(tokens: np.ndarray) -> np.ndarray:
+        return (tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        return self.levels[self.cell(tokens)]
+
+
 class Levels:
     """Size levels and how many parts the sets of each are dealt into."""
 
@@ -102,9 +128,10 @@ class Levels:
         while tops[-1] < longest:
             tops.append(int(tops[-1] * 1.4) + 2)
         self.tops = np.array(tops, np.int64)
-        # two sets of a level differ by so many tokens at most
+        # two sets of a level differ by so many tokens at most, so one part more is equal; the spare ones may be no keys
         differ = 2 * self.tops * (100 - percent) // (100 + percent)
-        self.parts = differ + 1 + SPARE
+        self.spare = np.maximum(2, -(-15 * differ // 100))
+        self.parts = differ + 1 + self.spare
 
     def of(self, sizes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """(sets, level) with keys to make: the own level, and the next if a partner can be in it."""
@@ -114,8 +141,11 @@ class Levels:
         return [(rows, level), (rows[above], level[above] + 1)]
 
 
-def part_keys(sets: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(sets, keys): equal parts of equal levels have equal keys."""
+def part_keys(sets: list[np.ndarray], percent: int, heat: Heat) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(sets, keys) such that any two sets that link, and are unequal, have a key in common.
+
+    Of two linked sets of a level more parts are equal than are spare. If one of the two has no more useless parts than
+    are spare, an equal part is a key of both; if both have more, both have rare tokens as keys."""
     sizes = np.array([len(s) for s in sets], np.int64)
     levels = Levels(percent, int(2 * sizes.max(initial=0) + 10))
     for rows, level in levels.of(sizes):
@@ -125,16 +155,31 @@ def part_keys(sets: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray
         owner = np.repeat(np.arange(len(rows)), sizes[rows])
         parts = levels.parts[level]
         first = np.cumsum(parts) - parts
-        slot = first[owner] + ((tokens >> np.uint64(33)) % parts[owner].astype(np.uint64)).astype(np.int64)
+        # the bits that deal are not those that the sketch's cells have
+        slot = first[owner] + ((tokens & np.uint64(0x7FFFFFFF)) % parts[owner].astype(np.uint64)).astype(np.int64)
         sums = np.zeros(parts.sum(), np.uint64)
         np.add.at(sums, slot, mix(tokens ^ np.uint64(0x5DEECE66D)))
-        filled = np.bincount(slot, minlength=len(sums)) > 0
+        warm = heat.of(tokens)
+        useful = np.bincount(slot, warm <= heat.hot, len(sums)) > 0
         of = np.repeat(np.arange(len(rows)), parts)
         number = np.arange(len(sums)) - first[of]
-        empty = np.bincount(of, ~filled, len(rows)).astype(np.int64)
-        keep = np.flatnonzero(filled | (empty[of] > SPARE))
+        keep = np.flatnonzero(useful)
         tag = (level[of[keep]] * 1_000_003 + number[keep]).astype(np.uint64)
         yield rows[of[keep]], mix(sums[keep] + tag * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+        useless = np.bincount(of, ~useful, len(rows)).astype(np.int64)
+        weak = np.flatnonzero(useless > levels.spare[level])
+        if len(weak):
+            chosen = np.isin(owner, weak)
+            token, whose, warmth = tokens[chosen], owner[chosen], warm[chosen]
+            order = np.lexsort((token, warmth, whose))
+            token, whose = token[order], whose[order]
+            size = sizes[rows][whose]
+            start = np.flatnonzero(np.r_[True, whose[1:] != whose[:-1]])
+            rank = np.arange(len(whose)) - np.repeat(start, np.diff(np.r_[start, len(whose)]))
+            # linked sets share percent% of either, so one of these tokens is in both
+            rare = rank <= size - -(-percent * size // 100)
+            tag = level[whose[rare]].astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)
+            yield rows[whose[rare]], mix(token[rare] ^ mix(tag)).view(np.int64)
 
 
 class SignatureTree:
@@ -223,167 +268,249 @@ class SignatureTree:
             self.parent[self.find(i)] = self.find(j)
 
 
-def _cells(members: DataFrame) -> DataFrame:
-    """members (bucket, doc, class, size) with their chunk: by class, so that most chunks hold one."""
-    order = Window.partitionBy("bucket").orderBy("class", "size", "doc").rowsBetween(Window.unboundedPreceding, 0)
-    return members.withColumn("chunk", F.floor(F.sum(F.col("size") + 1).over(order) / CHUNK_SHINGLES))
-
-
 def tree_links(cells: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """a, b of the links that the trees of cells (cell, doc, class) find. The sets are made from the texts where these
-    are read, and shuffled once, to their cells."""
-    there = _sets(docs, cells, n).repartition(F.col("cell")).sortWithinPartitions("cell", "doc")
+    """a, b (prints) of the links that the trees of cells (cell, doc, print, class) find. The sets are made from the
+    texts where these are read, and shuffled once, to their cells."""
+    there = _sets(docs, cells, n).repartition(F.col("cell")).sortWithinPartitions("cell", "print")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, docs, classes, held = None, [], [], []
+        current, prints, classes, held = None, [], [], []
         found: list[tuple[int, int]] = []
 
         def close():
-            if len(docs) > 1:
+            if len(prints) > 1:
                 for i, j in SignatureTree(held, classes, percent).join():
-                    found.append((docs[i], docs[j]))
+                    found.append((prints[i], prints[j]))
 
-        def table():
+        def links():
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in slices(batches, 2000):
             values = batch["shingles"]
             flat = values.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             edges = np.r_[0, np.cumsum(values.value_lengths().to_numpy(zero_copy_only=False))]
-            for k, (cell, doc, cls) in enumerate(zip(batch["cell"].to_pylist(), batch["doc"].to_pylist(), batch["class"].to_pylist())):
+            for k, (cell, print_, cls) in enumerate(zip(batch["cell"].to_pylist(), batch["print"].to_pylist(), batch["class"].to_pylist())):
                 if cell != current:
                     close()
-                    current, docs, classes, held = cell, [], [], []
-                if docs and docs[-1] == doc:
+                    current, prints, classes, held = cell, [], [], []
+                if prints and prints[-1] == print_:
                     continue  # a repeated row
-                docs.append(doc)
+                prints.append(print_)
                 classes.append(cls)
                 held.append(flat[edges[k] : edges[k + 1]].copy())
             if len(found) > 10_000:
-                yield table()
+                yield links()
                 found = []
         close()
-        yield table()
+        yield links()
 
     return there.mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _sizes(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, mark, print, n_shingles of each row of docs (doc_id, text, mark); besides, for each task, rows of its
+    sketch: part, cells (compressed counts of documents)."""
+    names = ["doc_id", "mark", "print", "n_shingles", "part", "cells"]
+    schema = "doc_id long, mark long, print long, n_shingles long, part int, cells binary"
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
-    def sizes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << CELL_BITS, np.uint32)
         for batch in slices(batches, 4000, SLICE_BYTES):
             sets = shingle_sets(batch["text"], n)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fingerprints(sets)), pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "print", "n_shingles"])
+            if sets:
+                np.add.at(counts, Heat.cell(np.concatenate(sets)), np.uint32(1))
+            nothing = [pa.nulls(batch.num_rows, t) for t in types[4:]]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], pa.array(fingerprints(sets)), pa.array([len(s) for s in sets], pa.int64()), *nothing], names=names)
+        rows = [(k, pa.compress(c.tobytes(), "zstd", asbytes=True)) for k, c in enumerate(np.split(counts, CELL_ROWS)) if c.any()]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(rows), t) for t in types[:4]), *(pa.array([r[k] for r in rows], types[4 + k]) for k in (0, 1))], names=names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _heat(rows: DataFrame) -> Heat:
+    """The sketches of all tasks as one: tasks add the counts up and give a level for each cell back, 4 MB in all."""
+    width = (1 << CELL_BITS) // CELL_ROWS
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in slices(batches, 64):
+            for part, cells in zip(batch["part"].to_pylist(), batch["cells"].to_pylist()):
+                counts = np.frombuffer(pa.decompress(cells, 4 * width, "zstd", asbytes=True), np.uint32)
+                sums[part] = sums.get(part, 0) + counts.astype(np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([int(c.sum()) for c in sums.values()], pa.int64()), pa.array([Heat.level(c).tobytes() for c in sums.values()], pa.binary())], names=["part", "total", "levels"])
+
+    levels, total = np.zeros((CELL_ROWS, width), np.uint8), 0
+    added = rows.where(F.col("part").isNotNull()).select("part", "cells").repartition(F.col("part")).mapInArrow(add, "part int, total long, levels binary")
+    for r in added.collect():  # CELL_ROWS rows at most
+        levels[r["part"]] = np.frombuffer(r["levels"], np.uint8)
+        total += r["total"]
+    return Heat(levels.ravel(), total)
+
+
+def _meetings(docs: DataFrame, n: int, percent: int, heat: Heat) -> DataFrame:
+    """key, center, print: the sets that share a key with a smaller one, and the smallest one of the key."""
+    sent = docs.sparkSession.sparkContext.broadcast(heat)
 
     def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4000, SLICE_BYTES):
             sets = shingle_sets(batch["text"], n)
             prints, first = np.unique(fingerprints(sets), return_index=True)
-            for rows, key in part_keys([sets[i] for i in first], percent):
+            for rows, key in part_keys([sets[i] for i in first], percent, sent.value):
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(prints[rows])], names=["key", "print"])
 
-    def meetings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = last_print = None
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key = last_center = last_print = None
         for batch in batches:
             key, print_ = batch["key"].to_numpy(), batch["print"].to_numpy()
             if not len(key):
                 continue
             new = np.r_[last_key is None or key[0] != last_key, key[1:] != key[:-1]]
             lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            center = np.where(lead >= 0, print_[np.maximum(lead, 0)], 0 if last_print is None else last_print)
-            last_key, last_print = key[-1], center[-1]
-            keep = center != print_
+            center = np.where(lead >= 0, print_[np.maximum(lead, 0)], 0 if last_center is None else last_center)
+            again = np.r_[not new[0] and print_[0] == last_print, ~new[1:] & (print_[1:] == print_[:-1])]
+            last_key, last_center, last_print = key[-1], center[-1], print_[-1]
+            keep = (center != print_) & ~again
             if keep.any():
-                pairs = np.unique(np.stack([center[keep], print_[keep]], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, center, print_)], names=["key", "center", "print"])
+
+    # sets of equal keys follow each other in a partition, so a group of any size streams through
+    return docs.mapInArrow(keys, "key long, print long").repartition(F.col("key")).sortWithinPartitions("key", "print").mapInArrow(meet, "key long, center long, print long")
+
+
+def _buckets(pairs: DataFrame, lead: DataFrame) -> DataFrame:
+    """cell, bucket, cells, doc, print, class of pairs (center, print): a center is in each of its bucket's cells."""
+    size = lead.select("print", "doc", "size")
+    members = pairs.distinct().join(size, "print")
+    total = members.groupBy("center").agg(F.sum(F.col("size") + 1).alias("total"))
+    cells = F.ceil(F.col("total") / CHUNK_SHINGLES).cast("int").alias("cells")
+    total = cut(total.select("center", cells))
+    dealt = members.join(total, "center").select("center", "cells", F.pmod(F.xxhash64("print"), "cells").cast("int").alias("deal"), "doc", "print")
+    own = total.join(size, total["center"] == size["print"]).select("center", "cells", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("deal"), "doc", "print")
+    return dealt.unionByName(own).select(F.xxhash64("center", "deal").alias("cell"), F.col("center").alias("bucket"), "cells", "doc", "print", F.col("print").alias("class"))
+
+
+def _classed(rows: DataFrame, classes: DataFrame, column: str, name: str) -> DataFrame:
+    """rows and, as name, the component of the set in a column."""
+    found = classes.select(F.col("node").alias(f"__{name}"), F.col("component").alias(name))
+    return rows.join(found, rows[column] == found[f"__{name}"], "left").drop(f"__{name}").withColumn(name, F.coalesce(name, column))
+
+
+def _mixed(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """met's rows of the keys whose sets are of several components, with the components (class)."""
+    rows = _classed(_classed(met, classes, "print", "class"), classes, "center", "of_center")
+    open_ = rows.where(F.col("class") != F.col("of_center")).select("key").distinct()
+    return rows.join(open_, "key", "left_semi")
+
+
+def jaccard_links(docs: DataFrame, lead: DataFrame, heat: Heat, n: int, percent: int) -> DataFrame:
+    """a, b (prints): links that connect what links connect. docs: doc_id, text, without null ids; lead: print, doc, size."""
+    met = table(_meetings(docs, n, percent, heat))
+    # each set with its smallest center
+    first = cut(_buckets(met.groupBy("print").agg(F.min("center").alias("center")), lead))
+    links = cut(tree_links(first, docs, n, percent))
+    # keys that are not done: of several components, and not all of their sets with this center in its only cell
+    with_center = first.where(F.col("cells") == 1).select(F.col("bucket").alias("center"), "print").distinct().withColumn("there", F.lit(True))
+    mixed = _mixed(met, components(links)).join(with_center, ["center", "print"], "left")
+    undone = mixed.where(F.col("there").isNull()).select("key").distinct()
+    mixed = cut(mixed.join(undone, "key", "left_semi").select("key", "center", "print"))
+    if not mixed.limit(1).count():
+        return links
+    second = cut(_buckets(mixed.select("center", "print"), lead))
+    links = cut(links.unionByName(tree_links(second, docs, n, percent)))
+    # centers of several cells: what was dealt apart and is of different components still
+    several = second.where(F.col("cells") > 1).select(F.col("bucket").alias("center")).distinct()
+    apart = mixed.join(several, "center", "left_semi")
+    if not apart.limit(1).count():
+        return links
+    apart = _mixed(apart, components(links)).select(F.col("center").alias("bucket"), "print", "class").distinct()
+    apart = cut(_by_class(apart.join(lead, "print")))
+    return links.unionByName(cut(tree_links(_chunk_pairs(apart), docs, n, percent)))
+
+
+def _by_class(members: DataFrame) -> DataFrame:
+    """members (bucket, print, class, doc, size) with their chunk: large classes have chunks of their own, the small ones
+    of a bucket are dealt together."""
+    classes = cut(members.groupBy("bucket", "class").agg(F.sum(F.col("size") + 1).alias("total")))
+    large = F.col("total") > CHUNK_SHINGLES
+    small = classes.where(~large).groupBy("bucket").agg(F.sum("total").alias("small"))
+    classes = classes.join(small, "bucket", "left")
+    of_class = F.when(large, F.xxhash64("class", F.pmod(F.xxhash64("print"), F.ceil(F.col("total") / CHUNK_SHINGLES)))).otherwise(F.pmod(F.xxhash64("class"), F.ceil(F.col("small") / CHUNK_SHINGLES)))
+    return members.join(classes, ["bucket", "class"]).withColumn("chunk", of_class).select("bucket", "chunk", "doc", "print", "class")
+
 
-    rows = cut(docs.mapInArrow(sizes, "doc_id long, print long, n_shingles long"))
+def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row."""
+    return _components(docs, n, percent).drop("mark")
+
+
+def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """jaccard_components and mark, a hash of the row's text."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    made = cut(_sizes(docs, n))
+    rows = made.where(F.col("part").isNull())
     known = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     lead = cut(known.groupBy("print").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("size")))
-    # sets of equal parts follow each other in a partition, so a group of any size streams through
-    met = docs.where(F.col("doc_id").isNotNull()).mapInArrow(keys, "key long, print long").repartition(F.col("key")).sortWithinPartitions("key", "print").mapInArrow(meetings, "a long, b long")
-    buckets = components(met).select(F.col("node").alias("print"), F.col("component").alias("bucket"))
-    members = cut(lead.join(buckets, "print").select("bucket", "doc", "size", F.col("doc").alias("class")))
-
-    # chunks by themselves
-    dealt = cut(_cells(members))
-    links = cut(tree_links(dealt.select(F.xxhash64("bucket", "chunk").alias("cell"), "doc", "class"), docs, n, percent))
-    # buckets of several chunks: one set of each component, then the chunks that hold different ones
-    large = dealt.groupBy("bucket").agg(F.max("chunk").alias("last")).where("last > 0").select("bucket")
-    members = cut(members.join(large, "bucket"))
-    if members.limit(1).count():
-        for step in ("leads", "rest"):
-            held = cut(_classed(members.drop("class"), links))
-            mixed = held.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("bucket")
-            held = held.join(mixed, "bucket")
-            if step == "leads":
-                held = held.where(F.col("doc") == F.col("class"))
-            links = links.unionByName(cut(tree_links(_chunk_pairs(cut(_cells(held))), docs, n, percent)))
-    classes = components(links)
-    of_print = lead.join(classes, lead["doc"] == classes["node"], "left").select("print", F.coalesce("component", "doc").alias("component"))
+    links = jaccard_links(docs.where(F.col("doc_id").isNotNull()), lead, _heat(made), n, percent)
+    classes = cut(components(links))
+    least = classes.join(lead, classes["node"] == lead["print"]).groupBy("component").agg(F.min("doc").alias("component_id"))
+    named = classes.join(least, "component").select("node", "component_id")
+    of_print = lead.join(named, lead["print"] == named["node"], "left").select("print", F.coalesce("component_id", "doc").alias("component_id"))
     out = rows.join(of_print, "print", "left")
-    # one doc_id with several texts: what reaches any of them reaches it
-    own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
-
-
-def _classed(members: DataFrame, links: DataFrame) -> DataFrame:
-    classes = components(links)
-    return members.join(classes, members["doc"] == classes["node"], "left").select(*[members[c] for c in members.columns], F.coalesce("component", "doc").alias("class"))
+    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), "mark")
 
 
 def _chunk_pairs(dealt: DataFrame) -> DataFrame:
-    """cell, doc, class: a cell for each two chunks of a bucket that do not hold one and the same class only."""
+    """cell, doc, print, class: a cell for each two chunks of a bucket that do not hold one and the same class only."""
     chunks = dealt.groupBy("bucket", "chunk").agg(F.min("class").alias("low"), F.max("class").alias("high"))
     a, b = chunks.toDF("bucket", "i", "low_i", "high_i"), chunks.toDF("bucket", "j", "low_j", "high_j")
     same = (F.col("low_i") == F.col("high_i")) & (F.col("low_i") == F.col("low_j")) & (F.col("low_j") == F.col("high_j"))
     pairs = a.join(b, "bucket").where((F.col("i") <= F.col("j")) & ~same).select("bucket", "i", "j", F.xxhash64("bucket", "i", "j").alias("cell"))
     sides = pairs.select("bucket", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk"), "cell")
-    return sides.join(dealt, ["bucket", "chunk"]).select("cell", "doc", "class")
+    return sides.join(dealt, ["bucket", "chunk"]).select("cell", "doc", "print", "class")
 
 
 def _sets(docs: DataFrame, cells: DataFrame, n: int) -> DataFrame:
-    """cells (cell, doc, class) with the shingles of each document."""
-    cells = cut(cells.select("cell", "doc", "class"))
-    docs = docs.where(F.col("doc_id").isNotNull())
+    """cells (cell, doc, print, class) with the shingles of each set."""
+    cells = cut(cells.select("cell", "doc", "print", "class"))
     if cells.count() <= BROADCAST_DOCS:
         rows = cells.toArrow()  # a checked number
         order = np.argsort(rows["doc"].to_numpy(), kind="stable")
-        sent = docs.sparkSession.sparkContext.broadcast([rows[c].to_numpy()[order] for c in ("doc", "cell", "class")])
+        sent = docs.sparkSession.sparkContext.broadcast([rows[c].to_numpy()[order] for c in ("doc", "cell", "print", "class")])
     else:
-        dealt = cells.groupBy("doc").agg(F.collect_list("cell").alias("cells"), F.collect_list("class").alias("classes"))
-        docs, sent = docs.join(dealt, docs["doc_id"] == dealt["doc"]).select("doc_id", "text", "cells", "classes"), None
+        dealt = cells.groupBy("doc").agg(F.collect_list(F.struct("cell", "print", "class")).alias("cells"))
+        docs, sent = docs.join(dealt, docs["doc_id"] == dealt["doc"]).select("doc_id", "text", "cells"), None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4000, SLICE_BYTES):
             if sent is None:
                 sizes = batch["cells"].value_lengths().to_numpy(zero_copy_only=False)
                 at = np.repeat(np.arange(batch.num_rows), sizes)
-                cell, cls = (batch[c].flatten().to_numpy() for c in ("cells", "classes"))
+                cell, print_, cls = (c.to_numpy() for c in batch["cells"].flatten().flatten())
             else:
-                ids, of_cell, of_class = sent.value
+                ids, *columns = sent.value
                 doc = batch["doc_id"].to_numpy(zero_copy_only=False)
                 low, high = np.searchsorted(ids, doc), np.searchsorted(ids, doc, side="right")
                 batch = batch.filter(pa.array(high > low))
                 low, sizes = low[high > low], (high - low)[high > low]
                 at = np.repeat(np.arange(len(sizes)), sizes)
                 place = np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-                cell, cls = of_cell[place], of_class[place]
+                cell, print_, cls = (c[place] for c in columns)
             sets = shingle_sets(batch["text"], n)
-            shingles = pa.array([sets[i].view(np.int64) for i in at], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(cell), batch["doc_id"].take(pa.array(at)), pa.array(cls), shingles], names=["cell", "doc", "class", "shingles"])
+            # rows of one id can have different texts
+            right = np.flatnonzero(fingerprints(sets)[at] == print_)
+            shingles = pa.array([sets[i].view(np.int64) for i in at[right]], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(cell[right]), pa.array(print_[right]), pa.array(cls[right]), shingles], names=["cell", "print", "class", "shingles"])
 
-    return docs.mapInArrow(run, "cell long, doc long, class long, shingles array<long>")
+    return docs.mapInArrow(run, "cell long, print long, class long, shingles array<long>")
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs without the rows whose component has a smaller id."""
-    found = jaccard_components(docs, n, percent)
-    later = cut(found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__later")).distinct())
-    return docs.join(later, docs["doc_id"] == later["__later"], "left_anti")
+    found = _components(docs, n, percent)
+    later = cut(found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__later"), F.col("mark").alias("__mark")).distinct())
+    return docs.join(later, (docs["doc_id"] == later["__later"]) & (F.xxhash64(docs["text"]) == later["__mark"]), "left_anti")
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

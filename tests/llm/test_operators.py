@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,6 +181,57 @@ def test_jaccard_awkward_tables(spark):
     assert kept.columns == frame(spark).columns and 7 not in {r["doc_id"] for r in kept.collect()}
 
 
+@pytest.mark.parametrize("percent,hot", [(80, 0.0), (80, 0.5), (80, 1.0), (90, 0.6), (95, 0.2)])
+def test_linked_sets_share_a_key(percent, hot):
+    """Also sets with many empty parts and sets of hot tokens only."""
+    r = np.random.default_rng(percent)
+    levels = np.zeros(1 << jaccard.CELL_BITS, np.uint8)
+    tokens = r.integers(0, 1 << 64, 4000, np.uint64)
+    levels[jaccard.Heat.cell(tokens[: int(hot * len(tokens))])] = 200
+    heat = jaccard.Heat(levels, 0)
+    for size in [*range(2, 40), 100, 317, 1500]:
+        for _ in range(6):
+            a = np.unique(r.choice(tokens, size, replace=False))
+            change = int(len(a) * (100 - percent) / (100 + percent))
+            b = np.unique(np.r_[r.permutation(a)[change:], r.choice(tokens, change)])
+            both = len(np.intersect1d(a, b))
+            if 100 * both < percent * (len(a) + len(b) - both) or np.array_equal(a, b):
+                continue
+            held = defaultdict(set)
+            for rows, key in jaccard.part_keys([a, b], percent, heat):
+                for i, k in zip(rows.tolist(), key.tolist()):
+                    held[i].add(k)
+            assert held[0] & held[1], (size, change)
+
+
+def test_jaccard_hot_passages_and_ids_of_two_texts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT_DOCS", 2)
+    monkeypatch.setattr(jaccard, "CHUNK_SHINGLES", 400)
+    r = np.random.default_rng(5)
+    word = lambda: "w" + str(r.integers(10**9))
+    passage, base = [word() for _ in range(60)], [word() for _ in range(80)]
+    texts = [" ".join(passage + [word() for _ in range(k % 40)]) for k in range(60)]
+    for k in range(30):
+        copy = list(base)
+        copy[int(r.integers(80))] = word()
+        texts.append(" ".join(copy))
+    rows = [(i, t, "en", "s", 0, "", "", "", "") for i, t in enumerate(texts)]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.jaccard_components(frame(spark, rows), 5, 80).collect()}
+    assert got == plain_components(rows, 5, 80)
+    # rows of one id: each by its own text
+    two = [(1, texts[70], *rows[0][2:]), (1, texts[0], *rows[0][2:]), (2, texts[71], *rows[0][2:]), (3, texts[3], *rows[0][2:])]
+    assert sorted((x["doc_id"], x["component_id"]) for x in jaccard.jaccard_components(frame(spark, two), 5, 80).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1)]
+    assert sorted(x["text"] for x in jaccard.keep_first(frame(spark, two)).collect()) == sorted([texts[70], texts[0]])
+
+
+def test_words_of_equal_polynomials_differ():
+    """A word of 1,024 letters and its complement: polynomials modulo 2^64 take them for equal."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))
+    sets = jaccard.shingle_sets(pa.array([a, b, a]), 3)
+    assert sets[0][0] == sets[2][0] != sets[1][0]
+
+
 def test_signature_tree_links_what_scan_links():
     r = np.random.default_rng(0)
     base = [np.sort(r.choice(2**40, 80, replace=False).astype(np.uint64)) for _ in range(4)]
