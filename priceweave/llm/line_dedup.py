@@ -3,12 +3,13 @@
 Lines of min_chars code points or more whose edit distance is at most the threshold t belong to one class, and so do
 chains of such lines. Of each class the first line, by doc_id and line number, stays in its document. A line is split
 into t + 1 segments; a line within t edits of it holds one of them unchanged, at a place that the lengths allow. The
-segments are the index, the allowed substrings of lines of the same or a slightly greater length are the probes; an
-equi-join of their hashes, filtered by parity signatures of the letters, gives the candidates, and banded bit-parallel
-edit distance verifies them.
+segments are the index, the allowed substrings of lines of the same or a slightly greater length are the probes (a
+line's own segments are probes too). Entries of one key meet in two steps: first each with the key's lead, its smallest
+index entry; parity signatures of the letters drop hopeless pairs and banded bit-parallel edit distance verifies the
+others. Then, for keys that have several index entries, entries of different components meet, so the pairs of a group of
+near copies are never listed.
 
-Only hashes, places and signatures of lines are shuffled for the join; hot segments are split by the engine's skew
-join, as the signature filter is part of the join. Equal lines are one line from the start.
+Only hashes, places and signatures of lines are shuffled for this. Equal lines are one line from the start.
 
 Defined results
 - null or empty text: no lines; kept as it is. Lines shorter than min_chars have no near ones; equal ones go from
@@ -17,7 +18,7 @@ Defined results
 - repeated rows and ties: rows of one doc_id are one place, so an equal line at the same number stays in all of them;
   null ids are one place before all others. Extra columns are kept; in dedup_lines
   those with a result's name give way. Empty tables: no rows.
-- lines are told apart by 64-bit hashes.
+- lines are told apart by 128-bit hashes without structural collisions.
 """
 
 from __future__ import annotations
@@ -26,43 +27,73 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import components
-from .common import cut, read, shielded, slices, without
-from .hashing import Rolling, mix
+from .common import cut, read, shielded, slices, table, utf8, without
+from .hashing import Rolling, mix, span_hashes
 
 THRESHOLD, MIN_CHARS = 2, 20
 #: Candidate lines up to which their ids are sent to every task to pick their texts; beyond, texts are joined by a shuffle.
 BROADCAST_LINES = 400_000
+#: Repeated lines that a task remembers, to give their entries once.
+REMEMBERED = 1_000_000
 NULL_ID = -(1 << 63)
 
 
 class Lines:
-    """The lines of some texts, as code points in one array."""
-
-    def __init__(self, texts: list[str | None], min_chars: int):
-        whole = "\n".join([t or "" for t in texts])
-        self.points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-        ends = np.r_[np.flatnonzero(self.points == 10), len(self.points)].astype(np.int64)
-        starts = np.r_[0, ends[:-1] + 1]
-        counts = np.array([(t or "").count("\n") + 1 for t in texts], np.int64)
-        self.text = np.repeat(np.arange(len(texts)), counts)
-        self.number = np.arange(len(self.text)) - np.repeat(np.cumsum(counts) - counts, counts)
-        long = ends - starts >= min_chars
-        self.text, self.number, self.start, self.end = self.text[long], self.number[long], starts[long], ends[long]
-        self.rolling = Rolling(self.points)
-        self.id = mix(self.rolling.of(self.start, self.end) + (self.end - self.start).astype(np.uint64)).view(np.int64)
+    """The lines of some texts (an Arrow column), with an end of line behind each text; short ones left out."""
+
+    def __init__(self, column: pa.Array, min_chars: int):
+        raw, offsets = utf8(column)
+        n = len(offsets) - 1
+        self.raw = np.full(len(raw) + n, 10, np.uint8)
+        self.raw[np.arange(len(raw)) + np.repeat(np.arange(n), np.diff(offsets))] = raw
+        end = np.flatnonzero(self.raw == 10)
+        start = np.r_[0, end[:-1] + 1] if n else end
+        text = np.searchsorted(offsets[1:] + np.arange(n), end)
+        number = np.arange(len(end)) - np.searchsorted(text, text)
+        if min_chars > 1:
+            before = self.code_points()
+            keep = np.flatnonzero(before[end] - before[start] >= min_chars)
+        else:
+            keep = np.flatnonzero(end > start)
+        self.text, self.number, self.first_byte, self.end_byte = text[keep], number[keep], start[keep], end[keep]
+        self.id, self.check = span_hashes(self.raw, self.first_byte, self.end_byte, (1, 2))
 
     def __len__(self) -> int:
         return len(self.id)
 
+    def code_points(self) -> np.ndarray:
+        """How many start before each byte: all bytes but those that continue one."""
+        return np.r_[0, np.cumsum((self.raw & 0xC0) != 0x80)]
+
     def pick(self, rows: np.ndarray) -> None:
-        for name in ("text", "number", "start", "end", "id"):
+        for name in ("text", "number", "first_byte", "end_byte", "id", "check"):
             setattr(self, name, getattr(self, name)[rows])
 
+    def once(self) -> None:
+        """Each line once."""
+        self.pick(np.unique(self.id, return_index=True)[1])
+
+    def names(self) -> pa.Array:
+        """128 bits that tell each line."""
+        both = np.stack([self.id, self.check], axis=1).astype(">u8").tobytes()
+        return pa.Array.from_buffers(pa.binary(16), len(self.id), [None, pa.py_buffer(both)]).cast(pa.binary())
+
+    def content(self) -> list[str]:
+        data = self.raw.tobytes()
+        return [data[s:e].decode("utf-8", "replace") for s, e in zip(self.first_byte.tolist(), self.end_byte.tolist())]
+
+    def spread(self) -> None:
+        """The code points, where each line starts and ends among them, and rolling hashes."""
+        self.points = np.frombuffer(self.raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        before = self.code_points()
+        self.start, self.end = before[self.first_byte], before[self.end_byte]
+        self.rolling = Rolling(self.points)
+
     def signature(self) -> np.ndarray:
         """A bit for the parity of the count of each of 64 classes of code points: an edit changes two at most."""
         bits = np.uint64(1) << (mix(self.points.astype(np.uint64)) & np.uint64(63))
@@ -86,14 +117,12 @@ def _key(hashes: np.ndarray, length: np.ndarray, i: int) -> np.ndarray:
 
 
 def keys(lines: Lines, t: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
-    """(is a probe, lines, keys) of all index entries and probes.
+    """(is in the index, lines, keys) of all entries.
 
     A probe of a line looks for partners of its length or up to t less. Segment i of a partner can have moved by i at
-    most when i edits at most come before it, and by the rest when they come behind it."""
+    most when i edits at most come before it, and by the rest when they come behind it. The probe of a line's own length
+    and no move is its entry in the index."""
     length = lines.end - lines.start
-    every = np.arange(len(lines))
-    for i, (at, n) in enumerate(segments(length, t)):
-        yield False, every, _key(lines.rolling.of(lines.start + at, lines.start + at + n), length, i)
     for less in range(t + 1):
         other = length - less
         for i, (at, n) in enumerate(segments(other, t)):
@@ -101,7 +130,7 @@ def keys(lines: Lines, t: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
                 begin = at + move
                 ok = np.flatnonzero((begin >= 0) & (begin + n <= length) & (other > 0))
                 s = lines.start[ok] + begin[ok]
-                yield True, ok, _key(lines.rolling.of(s, s + n[ok]), other[ok], i)
+                yield less == move == 0, ok, _key(lines.rolling.of(s, s + n[ok]), other[ok], i)
 
 
 def within(a: str, b: str, t: int) -> bool:
@@ -136,14 +165,15 @@ def within(a: str, b: str, t: int) -> bool:
 
 
 def _line_pass(docs: DataFrame, make, schema: str, min_chars: int) -> DataFrame:
-    types = [(f.name, {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[f.dataType.simpleString()]) for f in T._parse_datatype_string(schema)]
+    """What make, called for each task, makes of the batches' lines."""
+    kinds = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
+    types = [(f.name, kinds[f.dataType.simpleString()]) for f in T._parse_datatype_string(schema)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = make()
         for batch in slices(batches, 4000, 4 << 20):
-            texts = batch["text"].to_pylist()
-            lines = Lines(texts, min_chars)
-            for columns in make(batch, texts, lines):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, types)], names=[n for n, _ in types])
+            for columns in made(batch, Lines(batch["text"], min_chars)):
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t) in zip(columns, types)], names=[n for n, _ in types])
 
     return docs.mapInArrow(run, schema)
 
@@ -151,62 +181,103 @@ def _line_pass(docs: DataFrame, make, schema: str, min_chars: int) -> DataFrame:
 def places(docs: DataFrame, min_chars: int) -> DataFrame:
     """line, doc, number of every line that may go."""
 
-    def make(batch, texts, lines):
-        doc = batch["doc"].to_numpy()
-        yield lines.id, doc[lines.text], lines.number
+    def make():
+        def places_of(batch, lines):
+            yield lines.names(), batch["doc"].to_numpy()[lines.text], lines.number
 
-    return _line_pass(docs, make, "line long, doc long, number long", min_chars)
+        return places_of
 
+    return _line_pass(docs, make, "line binary, doc long, number long", min_chars)
 
-def near_pairs(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """a, b: the ids of different lines within t edits, each pair once."""
 
-    def entries(probe: bool):
-        def make(batch, texts, lines):
-            lines.pick(np.unique(lines.id, return_index=True)[1])
-            sign = lines.signature()
-            for is_probe, rows, key in keys(lines, t):
-                if is_probe == probe:
-                    yield key, lines.id[rows], sign[rows]
+def entries(docs: DataFrame, t: int, min_chars: int) -> DataFrame:
+    """key, id, sign, own: the entries of all lines; own ones are the index. A line that a task met repeatedly gives its
+    entries once from then on."""
 
-        return _line_pass(docs, make, "key long, line long, sign long", min_chars)
+    def make():
+        met = np.zeros(0, np.uint64)
 
-    index = entries(False).toDF("key", "a", "sign_a")
-    probes = entries(True).toDF("key", "b", "sign_b")
-    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("sign_a").bitwiseXOR(F.col("sign_b"))) <= 2 * t)
-    pairs = cut(index.join(probes, (index["key"] == probes["key"]) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    wanted = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
-    wanted = cut(wanted)
+        def entries_of(batch, lines):
+            nonlocal met
+            ids, counts = np.unique(lines.id, return_counts=True)
+            lines.once()
+            if len(met):
+                lines.pick(np.flatnonzero(~np.isin(lines.id, met)))
+            if len(met) < REMEMBERED:
+                met = np.union1d(met, ids[counts > 1])
+            lines.spread()
+            sign, id_ = lines.signature(), lines.id.view(np.int64)
+            for own, rows, key in keys(lines, t):
+                yield key, id_[rows], sign[rows], np.full(len(rows), own)
 
-    def make_text(batch, texts, lines):
-        lines.pick(np.unique(lines.id, return_index=True)[1])
-        points = lines.points
-        yield lines.id, [points[s:e].tobytes().decode("utf-32-le", "surrogatepass") for s, e in zip(lines.start, lines.end)]
+        return entries_of
 
+    return _line_pass(docs, make, "key long, id long, sign long, own boolean", min_chars)
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
+    """id, line, line_text of the lines with the ids wanted."""
+    schema = "id long, line binary, line_text string"
+    sent = None
     if wanted.count() <= BROADCAST_LINES:
-        ids = np.sort(np.array([r[0] for r in wanted.collect()], np.int64))  # a checked number of ids
-        sent = docs.sparkSession.sparkContext.broadcast(ids)
-
-        def make_wanted(batch, texts, lines):
-            held = sent.value
-            if len(held):
-                slot = np.minimum(np.searchsorted(held, lines.id), len(held) - 1)
-                lines.pick(np.flatnonzero(held[slot] == lines.id))
-                yield from make_text(batch, texts, lines)
-
-        found = _line_pass(docs, make_wanted, "line long, line_text string", min_chars)
-    else:
-        found = _line_pass(docs, make_text, "line long, line_text string", min_chars).join(wanted, "line", "left_semi")
-    found = cut(found.groupBy("line").agg(F.min("line_text").alias("line_text")))
-    both = pairs.join(found.toDF("a", "text_a"), "a").join(found.toDF("b", "text_b"), "b")
+        # a checked number of ids
+        sent = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["id"].to_numpy()).view(np.uint64))
+
+    def make():
+        def texts_of(batch, lines):
+            lines.once()
+            if sent is not None:
+                lines.pick(np.flatnonzero(np.isin(lines.id, sent.value)))
+            yield lines.id.view(np.int64), lines.names(), lines.content()
+
+        return texts_of
+
+    found = _line_pass(docs, make, schema, min_chars)
+    found = found if sent is not None else found.join(wanted, "id", "left_semi")
+    return found.groupBy("id", "line").agg(F.min("line_text").alias("line_text"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, t: int) -> DataFrame:
+    """a, b (lines) of the pairs (a, b: ids) within t edits."""
+    both = pairs.join(texts.toDF("a", "line_a", "text_a"), "a").join(texts.toDF("b", "line_b", "text_b"), "b")
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             keep = [within(x, y, t) for x, y in zip(batch["text_a"].to_pylist(), batch["text_b"].to_pylist())]
             kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept["a"], kept["b"]], names=["a", "b"])
-
-    return both.mapInArrow(verify, "a long, b long")
+            yield pa.RecordBatch.from_arrays([kept["line_a"], kept["line_b"]], names=["a", "b"])
+
+    return both.select("line_a", "line_b", "text_a", "text_b").mapInArrow(verify, "a binary, b binary")
+
+
+def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
+    return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def near_links(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """a, b (lines): links within t edits that connect what all such links connect."""
+    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 2 * t
+    key = Window.partitionBy("key")
+    own = F.when(F.col("own"), F.struct("id", "sign"))
+    dealt = entries(docs, t, min_chars).repartition(F.col("key"))
+    dealt = dealt.withColumn("lead", F.min(own).over(key)).withColumn("last", F.max(own).over(key))
+    many = F.col("lead.id") != F.col("last.id")
+    led = (F.col("id") != F.col("lead.id")) & near("sign", "lead.sign")
+    met = table(dealt.where(many | led).select("key", "id", "sign", "own", F.col("lead.id").alias("lead"), many.alias("many"), led.alias("led")))
+    rest = met.where("many").select("key", "id", "sign", "own").distinct()
+    pairs = cut(_pairs(met.where("led"), "id", "lead"))
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(rest.select("id")).distinct()
+    texts = cut(_texts(docs, cut(wanted), min_chars))
+    links = cut(_verified(pairs, texts, t))
+    # keys of several index entries that are of several components still
+    classes = components(links)
+    named = texts.select("id", "line").join(classes.withColumnRenamed("node", "line"), "line", "left").groupBy("id").agg(F.min(F.coalesce("component", "line")).alias("class"))
+    rest = rest.join(named, "id")
+    open_ = rest.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
+    rest = cut(rest.join(open_, "key", "left_semi"))
+    x, y = rest.where("own").toDF(*[f"{c}_a" for c in rest.columns]), rest.toDF(*[f"{c}_b" for c in rest.columns])
+    others = x.join(y, (F.col("key_a") == F.col("key_b")) & (F.col("class_a") != F.col("class_b")) & near("sign_a", "sign_b"))
+    return links.unionByName(_verified(cut(_pairs(others, "id_a", "id_b")), texts, t))
 
 
 def dedup_lines(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
@@ -218,7 +289,7 @@ def dedup_lines(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS,
     where = places(keyed, min(exact_chars, min_chars))
     # first place of each line; partial minima before the shuffle keep a hot line small
     first = where.groupBy("line").agg(F.min(F.struct("doc", "number")).alias("first"), F.count("*").alias("n"))
-    classes = cut(components(near_pairs(keyed, t, min_chars)))
+    classes = cut(components(near_links(keyed, t, min_chars)))
     grouped = first.join(classes.toDF("line", "class"), "line").groupBy("class").agg(F.min("first").alias("class_first"))
     of_line = classes.toDF("line", "class").join(grouped, "class").select("line", "class_first")
     first = first.join(of_line, "line", "left").where((F.col("n") > 1) | F.col("class_first").isNotNull())
@@ -234,16 +305,15 @@ def dedup_lines(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS,
         for batch in slices(batches, 4000, 8 << 20):
             texts = batch["text"].to_pylist()
             gone_of = batch["__gone"].to_pylist()
-            total, removed = [0] * len(texts), [0] * len(texts)
-            for i, text in enumerate(texts):
-                lines = (text or "").split("\n") if text else []
-                total[i] = len(lines)
-                if gone_of[i] and lines:
-                    there = Lines([text], min(exact_chars, min_chars))
-                    known = dict(zip(there.number.tolist(), there.id.tolist()))
-                    drop = {g["number"] for g in gone_of[i] if known.get(g["number"]) == g["line"]}
-                    removed[i] = len(drop)
-                    texts[i] = "\n".join([x for k, x in enumerate(lines) if k not in drop])
+            total = [t.count("\n") + 1 if t else 0 for t in texts]
+            removed = [0] * len(texts)
+            hit = [i for i, t in enumerate(texts) if t and gone_of[i]]
+            there = Lines(batch["text"].take(pa.array(hit, pa.int64())), min(exact_chars, min_chars))
+            known = dict(zip(zip(there.text.tolist(), there.number.tolist()), there.names().to_pylist()))
+            for place, i in enumerate(hit):
+                drop = {g["number"] for g in gone_of[i] if known.get((place, g["number"])) == g["line"]}
+                removed[i] = len(drop)
+                texts[i] = "\n".join([x for k, x in enumerate(texts[i].split("\n")) if k not in drop])
             columns = [batch[c] for c in names]
             columns[at] = pa.array(texts, batch["text"].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "n_lines", "n_removed"])

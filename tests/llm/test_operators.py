@@ -490,6 +490,23 @@ def test_line_dedup_equals_all_pairs(spark, monkeypatch, few):
         assert got[i] == want, i
 
 
+def test_line_dedup_tells_equal_polynomials(spark):
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    a, b = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))
+    rows = [(i, t, "en", "s", 0, "x", "y", "z", "w") for i, t in enumerate([a, b, a])]
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(spark, rows)).collect()} == {0: a, 1: b, 2: ""}
+
+
+def test_line_dedup_lists_no_pairs_of_a_group(spark):
+    """Variants of one line meet their lead, not each other."""
+    base = "a line that stands in hundreds of documents, each time with an edit of its own"
+    rows = [(k, base[: k % 70] + chr(97 + k % 26) + base[k % 70 + 1 :] + f"\nown line of {k} " + "xyzw"[k % 4] * 20, "en", "s", 0, "x", "y", "z", "w") for k in range(300)]
+    docs = frame(spark, rows).select(F.col("doc_id").alias("doc"), "text")
+    assert line_dedup.near_links(docs).count() <= 12 * 300
+    got = line_dedup.dedup_lines(frame(spark, rows)).collect()
+    assert sum(base[-8:] in r["text"].split("\n")[0] for r in got) == 1
+
+
 def test_line_dedup_short_lines(spark):
     long = "a line of more than twenty characters"
     texts = [f"Short.\n\n{long}\nx", f"Short.\n\n{long}\nx", "Short.\nShort!\nx\ny", "\n\n", "x\n \n\u2003"]
