@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +22,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def slices(batches, rows: int = BATCH_ROWS, byte_limit: int = 16 << 20):
+def give_back() -> None:
+    """Return freed memory to the system: workers are kept for later stages, and so would be what they once needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:
+        pass  # another C library
+
+
+def slices(batches, rows: int = BATCH_ROWS, byte_limit: int = 4 << 20):
     """Split Arrow batches so that one slice has few rows and few bytes (one long row may exceed it)."""
     for batch in batches:
         n = batch.num_rows
@@ -31,6 +42,7 @@ def slices(batches, rows: int = BATCH_ROWS, byte_limit: int = 16 << 20):
                 size = max(1, size // 2)
             yield batch.slice(start, size)
             start += size
+    give_back()
 
 
 def _bytes(batch: pa.RecordBatch, start: int, size: int) -> int:

@@ -28,15 +28,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Powers that a worker keeps.
+KEPT = 1 << 21
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64; kept by the worker, grown by doubling."""
+    """base^0 .. base^(n-1) modulo 2^64; up to KEPT kept by the worker, grown by doubling."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = n if n > KEPT else 1 << max(16, (n - 1).bit_length())
         step = np.full(size, base, np.uint64)
         step[0] = 1
         have = np.multiply.accumulate(step)
-        _powers[base] = have
+        if n <= KEPT:
+            _powers[base] = have
     return have[:n]
 
 

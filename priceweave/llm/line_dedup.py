@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import components
-from .common import cut, read, shielded, slices, table, utf8, without
+from .common import SLICE_BYTES, cut, read, shielded, slices, table, utf8, without
 from .hashing import Rolling, mix, span_hashes
 
 THRESHOLD, MIN_CHARS = 2, 20
@@ -171,7 +171,7 @@ def _line_pass(docs: DataFrame, make, schema: str, min_chars: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = make()
-        for batch in slices(batches, 4000, 4 << 20):
+        for batch in slices(batches, 4000, SLICE_BYTES):
             for columns in made(batch, Lines(batch["text"], min_chars)):
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t) in zip(columns, types)], names=[n for n, _ in types])
 
