@@ -256,24 +256,25 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The items, in blocks of about block_bytes of text; one block at a time is on the driver."""
+def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[bool, list[tuple[int, str]]]]:
+    """(is the last, items) of blocks of about block_bytes of text; one block at a time is on the driver."""
     items = benchmark.where(F.col("item_id").isNotNull() & (F.length("text") > 0)).select("item_id", "text")
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = max(1, -(-total // block_bytes))
     for b in range(n):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()]
+        yield b == n - 1, [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()]
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, shard_bytes: int = 8 << 20, block_bytes: int = 16 << 20) -> DataFrame:
-    """docs' columns (text among them) and HITS: word spans inside occurrences, merged, and items found."""
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, shard_bytes: int = 4 << 20, block_bytes: int = 16 << 20, clean: bool = False) -> DataFrame:
+    """docs' columns (text among them) and HITS: word spans inside occurrences, merged, and items found; with clean,
+    docs' columns only and the spans cut out of the texts."""
     docs = without(docs, ("n_words", "spans", "items"))
     out, names = docs, docs.columns
-    for k, block in enumerate(blocks_of(benchmark, block_bytes)):
+    for k, (last, block) in enumerate(blocks_of(benchmark, block_bytes)):
         phrases = docs.sparkSession.sparkContext.broadcast(Phrases(block, n))
-        schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(HITS).fields])
+        schema = docs.schema if clean and last else T.StructType([*docs.schema.fields, *T._parse_datatype_string(HITS).fields])
 
-        def scan(batches: Iterable[pa.RecordBatch], phrases=phrases, k=k) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterable[pa.RecordBatch], phrases=phrases, k=k, cut_out=clean and last) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, 20_000, shard_bytes):
                 texts = [(t or "").encode() for t in batch["text"].to_pylist()]
                 words, spans, items = [], [], []
@@ -285,6 +286,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, shard_bytes: i
                     spans.append([{"start": a, "end": b} for a, b in s])
                     items.append(found)
                 kept = [batch[c] for c in names]
+                if cut_out:
+                    yield pa.RecordBatch.from_arrays(_cleaned(kept, names.index("text"), spans), names=names)
+                    continue
                 types = [pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array(v, t) for v, t in zip((words, spans, items), types))], names=[*names, "n_words", "spans", "items"])
 
@@ -306,26 +310,21 @@ def remove_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return b"".join(out).decode()
 
 
+def _cleaned(columns: list[pa.Array], at: int, spans: list[list[dict]]) -> list[pa.Array]:
+    """The columns, the texts (in column at) without their spans."""
+    hit = [i for i, s in enumerate(spans) if s]
+    if hit:
+        texts = columns[at].to_pylist()
+        for i in hit:
+            texts[i] = remove_spans(texts[i], [(s["start"], s["end"]) for s in spans[i]])
+        columns[at] = pa.array(texts, columns[at].type)
+    return columns
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """docs with the contaminated spans cut out of the texts; no row goes."""
     docs, back = shielded(docs, ("n_words", "spans", "items"))
-    hits = find_hits(docs, benchmark, **parameters)
-    names, schema = docs.columns, docs.schema
-    at = names.index("text")
-
-    def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch["spans"].to_pylist()
-            hit = [i for i, s in enumerate(spans) if s]
-            columns = [batch[c] for c in names]
-            if hit:
-                texts = batch["text"].to_pylist()
-                for i in hit:
-                    texts[i] = remove_spans(texts[i], [(s["start"], s["end"]) for s in spans[i]])
-                columns[at] = pa.array(texts, batch["text"].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return hits.mapInArrow(clean, schema).select(*back)
+    return find_hits(docs, benchmark, clean=True, **parameters).select(*back)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

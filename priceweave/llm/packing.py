@@ -28,7 +28,7 @@ from .common import cut, read, slices
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 VOCABULARY = "byte_bpe_50k.json"
 #: Words whose ids a worker keeps at most.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Pieces that one ranking group of a length has on average at most.
 BUCKET_PIECES = 50_000
 
