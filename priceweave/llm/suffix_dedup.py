@@ -6,18 +6,20 @@ and windows of one anchor make a segment, so equal windows lie in segments of eq
 in the collection end here. Equal segments are one string of the collection, with its first place; what segments of
 different text and equal anchor share is found by the construction: a collection of bounded size grows by one symbol
 for each string a round, from the last to the first, and each round merges the new suffixes into the transform, and
-their common prefixes with their neighbours into that list, in one sequential pass over what was there. Rows whose
-common prefix reaches `length` are equal windows; the first of each such run stays.
+their common prefixes with their neighbours into that list, in one sequential pass over what was there; common prefixes
+follow from those of the round before. Rows whose common prefix reaches `length` are equal windows; the first of each
+such run stays.
 
-Anchors with very many different segments are dealt into several collections; the runs' first windows then meet by
-their hash in a grouped minimum.
+Anchors with very many different segments are dealt into several collections; the runs' first windows then meet, by
+their bytes, in a grouped minimum.
 
 Defined results
 - null or empty text: no bytes, nothing removed. Texts under `length` bytes: nothing removed.
 - order is (doc_id, start); null ids come first, told apart and ordered by 60 bits of a hash of their texts (ids under
   NULL_ID + NULL_TEXTS stand among them). Repeated rows of an id, or of a text without id, are one place, so none removes
   the other; an id is taken to have one text.
-- empty tables: no rows. Extra columns are ignored. Segments and anchors are told apart by 64-bit hashes.
+- empty tables: no rows. Extra columns are ignored. Segments of one anchor are told apart by 64-bit hashes without
+  structural collisions; anchors may share a hash.
 """
 
 from __future__ import annotations
@@ -30,13 +32,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, cut, read, slices, table, utf8
-from .hashing import Rolling, mix
+from .hashing import Rolling, mix, span_hashes
 
 LENGTH, GRAM = 100, 32
+#: Windows that are looked at together.
+PIECE = 1 << 21
 #: Strings that a collection holds, and different segments from which an anchor is dealt into several.
 COLLECTION, WIDE = 1024, 4096
 #: Anchors, segments and documents up to which a sorted list of them is sent to every task; beyond, a shuffle joins them.
-BROADCAST_ROWS = 3_000_000
+BROADCAST_ROWS = 1_000_000
 #: Low bits of a segment's place that hold its number of windows; the rest is its start.
 PLACE_BITS = 10
 NULL_ID = -(1 << 63)
@@ -57,44 +61,50 @@ def sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
 
 
 class Segments:
-    """The segments of some texts: text, start (in the text), windows, anchor (hash of the k-gram), content (hash)."""
+    """The segments of some texts: text, start (in the text), windows, anchor (hash of the k-gram), content (hash).
+
+    Long texts are taken in pieces of PIECE windows; a segment that a piece's end cuts is two segments of its anchor."""
 
     def __init__(self, column: pa.Array, length: int = LENGTH, gram: int = GRAM):
         raw, offsets = utf8(column)
-        none = np.zeros(0, np.int64)
-        self.text = self.start = self.windows = self.anchor = self.content = none
-        sizes = np.diff(offsets)
-        if len(raw) < length or not (sizes >= length).any():
-            return
-        if len(raw) >= 1 << 28:
-            raise ValueError("a slice of texts over 256 MB")
+        found = []
+        for low in range(0, max(len(raw) - length + 1, 0), PIECE):
+            high = min(low + PIECE + length - 1, len(raw))
+            first, last = np.searchsorted(offsets, low, side="right") - 1, np.searchsorted(offsets, high)
+            found.append(self._of(raw[low:high], np.clip(offsets[first : last + 1] - low, 0, high - low), length, gram))
+            text, start = found[-1][:2]
+            text += first
+            start += np.maximum(low - offsets[text], 0)
+        columns = zip(*found) if found else [[np.zeros(0, np.int64)]] * 5
+        self.text, self.start, self.windows, self.anchor, self.content = (np.concatenate(c) for c in columns)
+
+    @staticmethod
+    def _of(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> list[np.ndarray]:
+        counts = np.maximum(np.diff(offsets) - length + 1, 0)
+        if not counts.any():
+            return [np.zeros(0, np.int64) for _ in range(5)]
         rolling = Rolling(raw)
         grams = mix(rolling.windows(gram))
-        bits = np.uint64(28)
+        bits = np.uint64(int(PIECE + length).bit_length())
         # the leftmost of the smallest: the place is part of what is compared
         packed = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
-        at = (sliding_minimum(packed, length - gram + 1) & np.uint64((1 << 28) - 1)).astype(np.int64)
-        text = np.repeat(np.arange(len(sizes)), np.maximum(sizes - length + 1, 0))
-        place = np.arange(len(text)) - np.repeat(np.cumsum(np.maximum(sizes - length + 1, 0)) - np.maximum(sizes - length + 1, 0), np.maximum(sizes - length + 1, 0))
+        at = (sliding_minimum(packed, length - gram + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        text = np.repeat(np.arange(len(counts)), counts)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
         window = offsets[text] + place
         anchor = at[window]
         first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])
-        self.text, self.start = text[first], place[first]
-        self.windows = np.diff(np.r_[first, len(text)])
-        self.anchor = grams[anchor[first]].view(np.int64)
+        windows = np.diff(np.r_[first, len(text)])
         begin = window[first]
-        self.content = mix(rolling.of(begin, begin + self.windows + length - 1) + self.windows.astype(np.uint64)).view(np.int64)
-
-
-#: Rows that are counted together for ranks.
-BLOCK = 128
-_IN_BLOCK = np.arange(BLOCK, dtype=np.int16)
+        content = span_hashes(raw, begin, begin + windows + length - 1)[0]
+        return [text[first], place[first], windows, grams[anchor[first]].view(np.int64), content.view(np.int64)]
 
 
 class Collection:
-    """The transform of a growing collection of strings, and where common prefixes reach a limit.
+    """The transform of a growing collection of strings and the common prefixes of its neighbouring suffixes.
 
-    Rows are suffixes in order. For each: symbol (the byte before it, 0 before a whole string), string, size."""
+    Rows are suffixes in order. For each: symbol (the byte before it, 0 before a whole string), its string and size, and
+    common, the length of its common prefix with the row before, counted up to a limit."""
 
     def __init__(self, strings: list[bytes], limit: int):
         self.limit = limit
@@ -105,68 +115,62 @@ class Collection:
         table = np.zeros(256, np.uint8 if len(codes) < 256 else np.uint16)
         table[codes] = np.arange(1, len(codes) + 1)
         self.flat = table[flat]
-        self.sigma = len(codes) + 1
-        self.block_base = np.arange(len(flat) + len(strings) + 1) // BLOCK * self.sigma
-        # hash of the limit bytes from each place: tells whether two suffixes share a prefix of that length
-        self.prefix = Rolling(flat).windows(limit) if len(flat) >= limit else np.zeros(0, np.uint64)
 
     def build(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(string, size, reaches) of all rows; reaches: the common prefix with the row before has the limit."""
+        """(string, size, common) of all rows.
+
+        A round puts one symbol before the newest suffix of each string that is not used up, and rewrites each list in
+        one pass. After it, the rows behind the empty suffixes are, in order, the symbols of the transform before it,
+        sorted: rows of one symbol follow in the order of the suffixes behind it. So a new row's common prefix with its
+        neighbour of the same symbol is one more than the least common prefix between the two suffixes behind them."""
         n, longest = len(self.sizes), int(self.sizes.max(initial=0))
         # a row's suffix as one number: its string and its size
         self.step = longest + 1
         code = np.arange(n, dtype=np.int32 if n * self.step < 1 << 31 else np.int64) * self.step
-        reaches = None
+        common = np.zeros(n, np.uint8 if self.limit < 256 else np.int32)
         ends = self.starts + self.sizes
         symbol = np.where(self.sizes > 0, self.flat[np.maximum(ends - 1, 0)], 0).astype(self.flat.dtype)
         active = np.flatnonzero(self.sizes > 0)
         latest = active  # row of each active string's newest suffix
         for round_ in range(1, longest + 1):
-            # the row of symbol + suffix: after the empty suffixes, by the symbol's rank among all
-            row = n + self._rank(symbol, latest)
-            by_row = np.argsort(row)
-            row, owner = row[by_row], active[by_row]
+            # the places of all symbols, by symbol and place: a sort of small numbers, linear in the rows
+            order = np.argsort(symbol, kind="stable")
+            order = order[np.count_nonzero(symbol == 0) :]
+            rank = np.empty(len(symbol), np.int64)
+            rank[order] = np.arange(len(order))
+            at = rank[latest]
+            by_row = np.argsort(at)
+            at, owner = at[by_row], active[by_row]
+            # what is compared anew: each new row with the one before it, and the one after it with it
+            behind = at[at + 1 < len(order)] + 1
+            changed = np.union1d(at, behind)
+            fresh = self._common(symbol, common, order, changed)
+            row = n + at
             old = np.ones(len(symbol) + len(row), bool)
             old[row] = False
             going = self.sizes[owner] > round_
             symbol = _merged(old, symbol, row, np.where(going, self.flat[np.maximum(ends[owner] - round_ - 1, 0)], 0))
             code = _merged(old, code, row, owner * self.step + round_)
-            # shorter suffixes cannot share a prefix of the limit
-            if round_ >= self.limit:
-                reaches = np.zeros(len(old), bool) if reaches is None else _merged(old, reaches, row, False)
-                self._compare(row, code, reaches)
+            common = _merged(old, common, row, 0)
+            common[n + changed] = fresh
             active, latest = owner[going], row[going]
         string, size = np.divmod(code.astype(np.int64), self.step)
-        return string, size, np.zeros(len(code), bool) if reaches is None else reaches
-
-    def _rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """For each row at: how many symbols are smaller than its own, or equal and before it; 0 is no symbol. Counts by
-        block, then inside the row's block: one pass over the symbols, without sorting them."""
-        blocks = len(symbol) // BLOCK + 1
-        key = self.block_base[: len(symbol)] + symbol
-        counts = np.bincount(key, minlength=blocks * self.sigma).reshape(blocks, self.sigma)
-        before = np.cumsum(counts, axis=0) - counts
-        total = counts.sum(axis=0)
-        total[0] = 0
-        smaller = np.cumsum(total) - total
-        own, block = symbol[at], at // BLOCK
-        padded = np.zeros(blocks * BLOCK, symbol.dtype)
-        padded[: len(symbol)] = symbol
-        inside = (padded.reshape(blocks, BLOCK)[block] == own[:, None]) & (_IN_BLOCK[None, :] < (at % BLOCK).astype(np.int16)[:, None])
-        return smaller[own] + before[block, own] + np.count_nonzero(inside, axis=1)
-
-    def _compare(self, row: np.ndarray, code: np.ndarray, reaches: np.ndarray) -> None:
-        """Common prefixes of the new rows and of those that follow them."""
-        for at in (row, row[row + 1 < len(code)] + 1):
-            above = at - 1
-            reaches[at] = False
-            long = (code[at] % self.step >= self.limit) & (code[above] % self.step >= self.limit) & (above >= 0)
-            at, above = at[long], above[long]
-            reaches[at] = self.prefix[self._place(code[at])] == self.prefix[self._place(code[above])]
-
-    def _place(self, code: np.ndarray) -> np.ndarray:
-        string, size = np.divmod(code.astype(np.int64), self.step)
-        return self.starts[string] + self.sizes[string] - size
+        return string, size, common
+
+    def _common(self, symbol: np.ndarray, common: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """The common prefixes of the rows of these ranks with the rows before them."""
+        out = np.zeros(len(rank), common.dtype)
+        # a new row's suffix behind its symbol stands at order[rank], its neighbour's at the place of the same symbol before
+        have = np.flatnonzero(rank > 0)
+        low, high = order[rank[have] - 1], order[rank[have]]
+        same = symbol[low] == symbol[high]
+        have, low, high = have[same], low[same], high[same]
+        if len(have):
+            bounds = np.stack([low + 1, high + 1], axis=1).ravel()
+            padded = np.append(common, common.dtype.type(0))
+            least = np.minimum.reduceat(padded, bounds)[::2]
+            out[have] = np.minimum(least.astype(np.int64) + 1, self.limit)
+        return out
 
 
 def _merged(old: np.ndarray, values: np.ndarray, row: np.ndarray, new) -> np.ndarray:
@@ -177,19 +181,20 @@ def _merged(old: np.ndarray, values: np.ndarray, row: np.ndarray, new) -> np.nda
 
 
 def repeated_windows(strings: list[bytes], doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of all windows of the strings, each at doc, start + its place: (doc, start, hash, is the first of its text)."""
+    """Of all windows of the strings, each at doc, start + its place: (doc, start, string, is the first of its text)."""
     c = Collection(strings, length)
-    string, size, reaches = c.build()
+    string, size, common = c.build()
     rows = np.flatnonzero(size >= length)
-    string, size, reaches = string[rows], size[rows].astype(np.int64), reaches[rows]
-    group = np.cumsum(~reaches) - 1
+    string, size, common = string[rows], size[rows].astype(np.int64), common[rows]
+    # suffixes that reach the limit stand together, as no shorter one can come between them
+    group = np.cumsum(common < length) - 1
     place = start[string] + c.sizes[string] - size
     of = doc[string]
     order = np.lexsort((place, of, group))
     first = np.zeros(len(group), bool)
     if len(group):
         first[order[np.r_[True, group[order][1:] != group[order][:-1]]]] = True
-    return of, place, c.prefix[c.starts[string] + c.sizes[string] - size].view(np.int64), first
+    return of, place, string, first
 
 
 def _runs(doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,7 +207,7 @@ def _runs(doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray,
 
 
 def _batch(names: str, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names.split())
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names.split())
 
 
 def _member(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -213,6 +218,8 @@ def _member(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc, start, end (bytes) of what goes; spans can touch or overlap. docs: doc, text."""
+    if not gram <= length <= gram + (1 << PLACE_BITS) - 2:
+        raise ValueError("length must be from gram to gram + 1022")
     context = docs.sparkSession.sparkContext
 
     def anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,14 +266,15 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
 
         def collection():
             doc, start = (np.array([h[k] for h in held], np.int64) for k in (3, 4))
-            of, place, hash_, first = repeated_windows([h[5] for h in held], doc, start, length)
+            of, place, string, first = repeated_windows([h[5] for h in held], doc, start, length)
             d, s, e = _runs(of[~first], place[~first], length)
-            yield _batch("doc start end hash", d, s, e, np.zeros(len(d), np.int64))
-            if any(h[2] for h in held):
-                # the first windows meet those of other collections
-                wide = {(h[3], h[4] + k) for h in held if h[2] for k in range(len(h[5]) - length + 1)}
-                keep = np.array([f and (a, b) in wide for a, b, f in zip(of.tolist(), place.tolist(), first)], bool)
-                yield _batch("doc start end hash", of[keep], place[keep], np.full(keep.sum(), -1, np.int64), hash_[keep])
+            yield _batch("doc start end window", d, s, e, pa.nulls(len(d), pa.binary()))
+            # the first windows of anchors with several collections meet those of the others
+            keep = np.flatnonzero(first & np.array([h[2] for h in held])[string])
+            if len(keep):
+                at = place[keep] - start[string[keep]]
+                bytes_ = [held[k][5][p : p + length] for k, p in zip(string[keep].tolist(), at.tolist())]
+                yield _batch("doc start end window", of[keep], place[keep], np.full(len(keep), -1, np.int64), pa.array(bytes_, pa.binary()))
 
         for batch in batches:
             for row in zip(*(batch[c].to_pylist() for c in ("anchor", "deal", "wide", "doc", "start", "bytes"))):
@@ -277,10 +285,10 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
         if held:
             yield from collection()
 
-    built = cut(strings.mapInArrow(construct, "doc long, start long, end long, hash long"))
+    built = cut(strings.mapInArrow(construct, "doc long, start long, end long, window binary"))
     wide = built.where(F.col("end") == -1)
-    least = wide.groupBy("hash").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
-    later = wide.join(least.select("hash", "first"), "hash").where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
+    least = wide.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where(F.col("n") > 1)
+    later = wide.join(least.select("window", "first"), "window").where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
     later = later.select("doc", "start", (F.col("start") + length).alias("end"))
     return copies.unionByName(built.where(F.col("end") != -1).select("doc", "start", "end")).unionByName(later)
 
@@ -372,5 +380,23 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+h AS (SELECT doc_id, hex(b) AS h, octet_length(b) AS n FROM d),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS s FROM h, unnest(range(0, n - 99)) t(p) WHERE n >= 100),
+f AS (SELECT s, min({'d': doc_id, 'p': p}) AS first FROM w GROUP BY s HAVING count(*) > 1),
+later AS (SELECT w.doc_id, w.p FROM w JOIN f USING (s) WHERE w.doc_id <> f.first.d OR w.p <> f.first.p),
+marked AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, true) AS head FROM later),
+runs AS (SELECT doc_id, p, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked),
+spans AS (SELECT doc_id, run, min(p) AS s, max(p) + 100 AS e FROM runs GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, run AS k, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY run), 0) AS s, s AS e FROM spans
+  UNION ALL SELECT h.doc_id, 1000000000, coalesce(max(x.e), 0), h.n FROM h LEFT JOIN spans x USING (doc_id) GROUP BY h.doc_id, h.n),
+kept AS (SELECT doc_id, string_agg(substr(h.h, 2 * g.s + 1, 2 * (g.e - g.s)), '' ORDER BY k) AS kept FROM gaps g JOIN h USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT h.doc_id, CAST(h.n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM h JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
+
 QUERIES = {"op2_suffix_dedup": op2_suffix_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_suffix_dedup": SQL}

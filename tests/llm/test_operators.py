@@ -132,11 +132,21 @@ def test_suffix_dedup_null_ids(spark, monkeypatch, few):
     assert [bytes(x["kept"]) for x in got if x["doc_id"] == 1] == [b"!"]
 
 
-def test_collection_is_the_sorted_suffixes():
-    strings = [b"banana", b"", b"bandana", b"ananas"]
-    string, size, _ = suffix_dedup.Collection(strings, 3).build()
-    suffixes = [strings[s][len(strings[s]) - n :] for s, n in zip(string, size)]
-    assert suffixes == sorted(suffixes) and len(suffixes) == sum(len(s) + 1 for s in strings)
+def test_collection_is_the_sorted_suffixes_and_their_common_prefixes():
+    r = np.random.default_rng(2)
+    for strings in ([b"banana", b"", b"bandana", b"ananas"], [bytes(r.choice([97, 98], n).astype(np.uint8)) for n in r.integers(0, 40, 30)]):
+        for limit in (1, 3, 10):
+            string, size, common = suffix_dedup.Collection(strings, limit).build()
+            suffixes = [strings[s][len(strings[s]) - n :] for s, n in zip(string, size)]
+            assert suffixes == sorted(suffixes) and len(suffixes) == sum(len(s) + 1 for s in strings)
+            for a, b, c in zip(suffixes, suffixes[1:], common[1:]):
+                assert c == min(limit, next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))))
+
+
+def test_suffix_dedup_long_texts_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    got = {r["doc_id"]: (r["n_bytes"], bytes(r["kept"])) for r in suffix_dedup.dedup_substrings(frame(spark)).collect()}
+    assert got == plain_removal(awkward())
 
 
 # 3
