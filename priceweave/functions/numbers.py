@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 MONEY, RATE = "decimal(18,4)", "decimal(9,4)"
 
 # fixed values: units of thresholds and what they are read as
-UNITS = {"CT": "CARTONS", "CRT": "CARTONS", "CARTONI": "CARTONS", "COLLI": "CARTONS", "CL": "CARTONS", "PZ": "PIECES", "PEZZI": "PIECES"}
+UNITS = {"CT": "CARTONS", "CRT": "CARTONS", "CARTONE": "CARTONS", "CARTONI": "CARTONS", "COLLO": "CARTONS", "COLLI": "CARTONS", "CL": "CARTONS", "PZ": "PIECES", "PEZZO": "PIECES", "PEZZI": "PIECES"}
 
 
 def money(c: Column) -> Column:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: Latin letters with marks and the letters that are left without them
-_MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿŠšŽžŸ"
-_PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyySsZzY"
-
 # fixed values: words that stand for each other, and words that tell nothing
-ALIASES = {"DEODORANTE": "DEO", "DETERSIVO": "DET", "SHAMPOO": "SH", "BAGNOSCHIUMA": "BAGNO", "AMMORBIDENTE": "AMM"}
-STOP_WORDS = ("DI", "DA", "PER", "CON", "E", "IL", "LA", "LE", "AL", "IN")
+ALIASES = {"DEODORANTE": "DEO", "CANDEG": "CANDEGGINA", "CANDEGG": "CANDEGGINA", "RIC": "RICARICA", "RICAR": "RICARICA", "PZ": "PEZZI", "PZZ": "PEZZI", "LT": "L", "LITRO": "L", "LITRI": "L", "GR": "G", "GRAMMI": "G"}
+STOP_WORDS = ("A", "AL", "ALLA", "CON", "DA", "DAL", "DE", "DEL", "DELLA", "DI", "E", "IL", "IN", "LA", "LE", "LO", "NEW", "PER", "PIU", "THE", "UN", "UNA")
 
 PROMOTION_WORD = "PROMO|OFFERTA|OMAGGIO|SCONTO|GRATIS"
 
@@ -33,9 +34,30 @@ def valid_ean_shape(c: Column) -> Column:
     return c.rlike(r"^[0-9]+$") & F.length(c).isin(8, 12, 13, 14) & c.rlike("[1-9]")
 
 
+@cache
+def _decompositions() -> tuple[str, str, dict[str, str]]:
+    """By Unicode's own tables: characters of the basic plane whose compatibility decomposition without marks is one
+    other character, those characters, and longer decompositions that hold a letter, digit, point or comma of ASCII."""
+    one, to, many = [], [], {}
+    for code in (*range(0xA0, 0xAC00), *range(0xF900, 0xFFFE)):
+        c = chr(code)
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c.upper()) if not unicodedata.combining(x))
+        if len(plain) == 1 and plain != c.upper():
+            one.append(c)
+            to.append(plain)
+        elif len(plain) > 1 and plain != c.upper() and any(x.isascii() and x.isalnum() or x in ".," for x in plain):
+            many[c] = plain
+    return "".join(one), "".join(to), many
+
+
 def fold(c: Column) -> Column:
-    """Upper case without marks."""
-    return F.upper(F.translate(c, _MARKED, _PLAIN))
+    """Upper case, decomposed (NFKD), without marks; texts of ASCII characters skip the tables."""
+    one, to, many = _decompositions()
+    longer = F.from_json(F.lit(json.dumps(many)), "map<string,string>")
+    letters = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(longer, x), x)), "")
+    whole = F.when(c.rlike(f"[{re.escape(''.join(many))}]"), letters).otherwise(c)
+    plain = F.upper(F.regexp_replace(F.translate(whole, one, to), r"\p{Mn}", ""))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), plain).otherwise(F.upper(c))
 
 
 def _squeezed(c: Column, other: str) -> Column:

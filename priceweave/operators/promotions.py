@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from ..functions.numbers import UNITS
 from ..functions.text import plain_text
 
-# fixed values: the words of promotional texts
-VERBS = "ACQUISTANDO|ACQUISTA|ACQUSITA|ORDINANDO|ORDINA|OGNI"
+# fixed values: the words of promotional texts; a verb is often misspelt
+VERBS = "ACQUISTANDO|ACQUISTANO|ACQUISTATI|ACQUISTA|ACQUSITANDO|ACQUSITA|COMPRANDO|COMPRA|OGNI"
+GIVEN = "IN OMAGGIO|RICEVI IN OMAGGIO|RICEVI"
+MARKS = "OMAGGIO|GRATIS|OFFERTA|PROMOZIONE|PROMO|SCONTO|RICEVI"
+# fixed values: measures, whose sums are contents and not pieces
+MEASURES = "ML|CL|LT|L|GR|G|KG|MT|M|CM|MM|LAVAGGI|LAV|W"
+_NUMBER = r"\d+(?:[.,]\d+)?"
 _UNIT_WORDS = "|".join(sorted(UNITS, key=len, reverse=True))
-THRESHOLD = rf"\b(?:{VERBS})\s+(?:ALMENO\s+)?(\d+)\s*({_UNIT_WORDS})\b"
-REWARD = rf"\b(?:IN OMAGGIO|OMAGGIO|RICEVI|RICEVERAI)\s*:?\s*(\d+)\s*({_UNIT_WORDS})\b"
-REWARD_TEXT = rf"(?:IN OMAGGIO|OMAGGIO|RICEVI|RICEVERAI)\s*:?\s*\d+\s*(?:{_UNIT_WORDS})\b\s*(?:\([^)]*\)\s*)?DI\s+(.+)$"
-INCLUDED = r"(?<![\d.,])(\d{1,4})\s*\+\s*(\d{1,4}+)(?!\d|\s*(?:ML|LT|L|KG|GR|G)\b)(?=.*\b(?:GRATIS|OMAGGIO)\b)"
-MARKERS = r"\b(?:OMAGGIO|GRATIS|PROMO(?:ZIONE)?|OFFERTA|SCONTO)\b"
+THRESHOLD = rf"\b(?:{VERBS})\s+(?:ALMENO\s+)?({_NUMBER})\s*({_UNIT_WORDS})\b"
+REWARD = rf"\b(?:{GIVEN})\s*:?\s*({_NUMBER})\s*({_UNIT_WORDS})?\b"
+REWARD_TEXT = rf"{REWARD}\s*(?:\([^)]*\)\s*)?(?:OMAGGIO\s*)?(?:DI\s+)?(.+)$"
+INCLUDED = rf"(?<![\d.,])(?<!\b(?:{MEASURES})\s{{0,3}}\.?\s{{0,3}})(\d{{1,4}})\s*\+\s*(\d{{1,4}}+)(?!\d|\s*(?:(?:IN )?OMAGGIO|GRATIS)?\s*(?:=\s*{_NUMBER})?\s*(?:{MEASURES})\b)(?=.*\b(?:GRATIS|OMAGGIO)\b)"
+MARKERS = rf"\b(?:{MARKS}|{VERBS})\b|\b1\s*\+\s*1\b"
 
 
 def _unit(word: Column) -> Column:
@@ -33,7 +38,7 @@ def parse_text(text: Column) -> Column:
     t = plain_text(text)
     n, unit = _int(F.regexp_extract(t, THRESHOLD, 1)), _unit(F.regexp_extract(t, THRESHOLD, 2))
     m, reward_unit = _int(F.regexp_extract(t, REWARD, 1)), _unit(F.regexp_extract(t, REWARD, 2))
-    what = F.trim(F.regexp_extract(t, REWARD_TEXT, 1))
+    what = F.trim(F.regexp_extract(t, REWARD_TEXT, 3))
     what = F.when(what != "", what)
     a, b = _int(F.regexp_extract(t, INCLUDED, 1)), _int(F.regexp_extract(t, INCLUDED, 2))
     none = F.lit(None)

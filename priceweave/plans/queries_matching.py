@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fingerprints, numbers, text
-from ..functions.similarity import pack_attributes, pair_score, block_ratio, size_comparison, word_jaccard
+from ..functions.similarity import block_ratio, most_blocks, pack_attributes, pair_score, size_comparison, word_jaccard
 from ..operators import aggregates, matching, offers
+from ..session import cut
 from .registry import doubles, query
 from .tables import SQL_PRICE_LIST, SQL_REORDER, price_list, read, reorder
 
@@ -66,9 +67,9 @@ def match_audit(spark, sf):
     return aggregates.match_audit(_matrix(spark, sf))
 
 
-@query(f"{_BASE} SELECT source_row FROM matrix WHERE supplier IN ('NATION_1', 'NATION_2') GROUP BY source_row HAVING bool_and(status = 'ABSENT')")
+@query(f"{_BASE} SELECT source_row FROM matrix GROUP BY source_row HAVING bool_and(status = 'ABSENT')")
 def missing_everywhere(spark, sf):
-    return aggregates.missing_everywhere(_matrix(spark, sf).where("supplier in ('NATION_1', 'NATION_2')"))
+    return aggregates.missing_everywhere(_matrix(spark, sf))
 
 
 @query(f"""WITH {SQL_PRICE_LIST}, c AS (SELECT supplier, ean, count(*) AS n FROM price_list GROUP BY ALL)
@@ -153,41 +154,43 @@ def ambiguous_rows(spark, sf):
 
 @query(f"""{_BASE} SELECT m.source_row, m.supplier, b.ean, CASE WHEN b.n_usable = 1 THEN 'PROPOSED' ELSE 'AMBIGUOUS' END AS outcome, CASE WHEN b.n_usable = 1 THEN b.only_row END AS proposed_row
 FROM matrix m JOIN by_code b ON b.supplier = m.supplier AND b.n_usable > 0 AND b.ean = lpad(CAST(m.source_row + 1 AS VARCHAR), 13, '0')
-WHERE m.status = 'ABSENT' AND m.source_row % 3 = 0""")
+WHERE m.status = 'ABSENT'""")
 def same_code_propagation(spark, sf):
-    accepted = reorder(spark, sf).where("source_row % 3 = 0").select("source_row", F.lpad((F.col("source_row") + 1).cast("string"), 13, "0").alias("code"))
+    accepted = reorder(spark, sf).select("source_row", F.lpad((F.col("source_row") + 1).cast("string"), 13, "0").alias("code"))
     return matching.propagate_code(accepted, _matrix(spark, sf), price_list(spark, sf))
 
 
-_WORDS = "list_distinct(list_filter(string_split(trim(regexp_replace(upper(strip_accents({0})), '[^A-Z0-9.,]+', ' ', 'g')), ' '), lambda w: len(w) > 1 AND w NOT IN ('DI','DA','PER','CON','E','IL','LA','LE','AL','IN')))"
+_SAME = ", ".join(f"'{a}': '{b}'" for a, b in text.ALIASES.items())
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+_WORDS = f"list_distinct(list_filter(list_transform(string_split(trim(regexp_replace(upper(strip_accents({{0}})), '[^A-Z0-9.,]+', ' ', 'g')), ' '), lambda w: coalesce(MAP {{{{{_SAME}}}}}[w], w)), lambda w: len(w) > 1 AND w NOT IN ({_STOP})))"
 
 
 def _described(spark, sf):
     return reorder(spark, sf).select("source_row", "description", "brand", text.tokens(F.col("description")).alias("tokens"))
 
 
-@query(f"""WITH {SQL_REORDER}, w AS (SELECT source_row, brand, {_WORDS.format('description')} AS tokens FROM reorder WHERE brand IN ('Brand#11', 'Brand#12')),
+@query(f"""WITH {SQL_REORDER}, w AS (SELECT source_row, brand, {_WORDS.format('description')} AS tokens FROM reorder),
 pairs AS (SELECT q.source_row AS qid, i.source_row AS iid, len(list_intersect(q.tokens, i.tokens)) AS shared, len(q.tokens) + len(i.tokens) AS total
-  FROM w q JOIN w i ON q.brand = 'Brand#11' AND i.brand = 'Brand#12')
-SELECT qid, iid, shared, score FROM (SELECT qid, iid, shared, CAST(shared AS DOUBLE) / (total - shared) AS score, row_number() OVER (PARTITION BY qid ORDER BY CAST(shared AS DOUBLE) / (total - shared) DESC, iid) AS k FROM pairs WHERE shared > 0) WHERE k <= 5""")
+  FROM w q JOIN w i ON q.brand = i.brand AND q.source_row <> i.source_row)
+SELECT qid, iid, CAST(shared AS INT) AS shared, score FROM (SELECT qid, iid, shared, CAST(shared AS DOUBLE) / (total - shared) AS score, row_number() OVER (PARTITION BY qid ORDER BY CAST(shared AS DOUBLE) / (total - shared) DESC, iid) AS k FROM pairs WHERE shared > 0) WHERE k <= 5""")
 def token_jaccard_topk(spark, sf):
+    """Of the rows of a product's brand, the five that share most of its words."""
     w = _described(spark, sf)
-    q = w.where("brand = 'Brand#11'").select(F.col("source_row").alias("qid"), F.col("tokens"))
-    i = w.where("brand = 'Brand#12'").select(F.col("source_row").alias("iid"), F.col("tokens"))
-    shared = matching.token_candidates(q, i).join(q.select("qid", F.size("tokens").alias("a")), "qid").join(i.select("iid", F.size("tokens").alias("b")), "iid")
-    scored = shared.withColumn("score", F.col("shared") / (F.col("a") + F.col("b") - F.col("shared")))
-    best = offers.rank_within(scored, ["qid"], [F.desc("score"), F.asc("iid")]).where("rank <= 5")
-    return best.select("qid", "iid", "shared", "score")
+    q = w.select(F.col("source_row").alias("qid"), "brand", F.col("tokens").alias("ta"))
+    i = w.select(F.col("source_row").alias("iid"), "brand", F.col("tokens").alias("tb"))
+    pairs = q.join(i, "brand").where(F.col("qid") != F.col("iid")).withColumn("shared", F.size(F.array_intersect("ta", "tb"))).where("shared > 0")
+    scored = pairs.select("qid", "iid", "shared", (F.col("shared") / (F.size("ta") + F.size("tb") - F.col("shared"))).alias("score"))
+    return offers.rank_within(scored, ["qid"], [F.desc("score"), F.asc("iid")]).where("rank <= 5").select("qid", "iid", "shared", "score")
 
 
 @query(f"""WITH {SQL_REORDER}, {SQL_PRICE_LIST}, s AS (
   SELECT r.source_row AS qid, p.supplier, p.source_row AS iid, p.ean = r.ean AS same_ean, CAST(p.discount_rate AS DOUBLE) AS score
-  FROM reorder r JOIN price_list p ON p.usable AND substr(p.ean, 1, 12) = substr(r.ean, 1, 12) WHERE r.source_row % 10 < 3),
+  FROM reorder r JOIN price_list p ON p.usable AND substr(p.ean, 1, 12) = substr(r.ean, 1, 12)),
 k AS (SELECT *, row_number() OVER (PARTITION BY qid, supplier ORDER BY same_ean DESC, score DESC, iid) AS rank, sum(CAST(same_ean AS INT)) OVER (PARTITION BY qid, supplier) AS forced FROM s)
 SELECT qid, supplier, iid, same_ean, score FROM k WHERE rank <= greatest(2, forced)""")
 def ean_forced_shortlist(spark, sf):
     head = lambda c: F.substring(c, 1, 12)
-    r = reorder(spark, sf).where("source_row % 10 < 3").select(F.col("source_row").alias("qid"), F.col("ean").alias("own"))
+    r = reorder(spark, sf).select(F.col("source_row").alias("qid"), F.col("ean").alias("own"))
     p = price_list(spark, sf).where("usable").select("supplier", F.col("source_row").alias("iid"), "ean", F.col("discount_rate").cast("double").alias("score"))
     scored = r.join(p, head(r["own"]) == head(p["ean"])).select("qid", "supplier", "iid", (F.col("own") == F.col("ean")).alias("same_ean"), "score")
     return matching.shortlist(scored, 2).drop("rank")
@@ -195,16 +198,22 @@ def ean_forced_shortlist(spark, sf):
 
 @query()
 def semantic_score(spark, sf):
-    """Words, matching blocks and pack sizes of pairs that share the brand and a word."""
-    w = _described(spark, sf)
-    q = w.select(F.col("source_row").alias("qid"), "brand", F.col("description").alias("a"), F.col("tokens").alias("ta"))
-    i = w.select(F.col("source_row").alias("iid"), "brand", F.col("description").alias("b"), F.col("tokens").alias("tb"))
-    pairs = q.join(i, "brand").where(F.arrays_overlap("ta", "tb") & (F.col("qid") != F.col("iid")))
-    sizes = size_comparison(F.col("xa"), F.col("xb"))
-    scored = pairs.withColumn("xa", pack_attributes("a")).withColumn("xb", pack_attributes("b")).withColumn("sizes", sizes)
-    score = pair_score(word_jaccard(F.col("ta"), F.col("tb")), block_ratio(text.matching_text(F.col("a")), text.matching_text(F.col("b"))), F.col("sizes"))
-    best = offers.rank_within(scored.select("qid", "iid", score.alias("score"), F.col("sizes.conflicts").alias("conflicts")), ["qid"], [F.desc("score"), F.asc("iid")])
-    return best.where("rank <= 5").select("qid", "iid", "score", "conflicts", "rank")
+    """Words, matching blocks and pack sizes of the rows of a product's brand that share a word with it; the five best.
+
+    The ratio of matching blocks is computed for few pairs only: first for each product's five best by the native parts,
+    which gives a score that the five best must reach, then for the pairs that could reach it."""
+    w = _described(spark, sf).select("source_row", "brand", "tokens", text.matching_text(F.col("description")).alias("text"), pack_attributes("description").alias("sizes"))
+    w = cut(w)  # each product's sizes are read once
+    side = lambda id_, k: w.select(F.col("source_row").alias(id_), "brand", *[F.col(c).alias(c + k) for c in ("tokens", "text", "sizes")])
+    pairs = side("qid", "_a").join(side("iid", "_b"), "brand").where((F.col("qid") != F.col("iid")) & F.arrays_overlap("tokens_a", "tokens_b"))
+    pairs = pairs.select("qid", "iid", "text_a", "text_b", word_jaccard(F.col("tokens_a"), F.col("tokens_b")).alias("words"), size_comparison(F.col("sizes_a"), F.col("sizes_b")).alias("sizes"))
+    score = lambda blocks: pair_score(F.col("words"), blocks, F.col("sizes"))
+    native = offers.rank_within(pairs.withColumn("low", score(F.lit(0.0))), ["qid"], [F.desc("low"), F.asc("iid")]).where("rank <= 5")
+    reached = native.withColumn("blocks", block_ratio("text_a", "text_b")).groupBy("qid").agg(F.min(score(F.col("blocks"))).alias("reached"), F.count("*").alias("n"))
+    least = F.when(F.col("n") < 5, F.lit(0.0)).otherwise(F.col("reached"))
+    hopeful = pairs.join(reached, "qid").where(score(most_blocks(F.col("text_a"), F.col("text_b"))) >= least)
+    scored = hopeful.withColumn("blocks", block_ratio("text_a", "text_b")).select("qid", "iid", score(F.col("blocks")).alias("score"), F.col("sizes.conflicts").alias("conflicts"))
+    return offers.rank_within(scored, ["qid"], [F.desc("score"), F.asc("iid")]).where("rank <= 5").select("qid", "iid", "score", "conflicts", "rank")
 
 
 @query()
@@ -314,10 +323,10 @@ def contested_rows(spark, sf):
     return offers.contested_rows(lines)
 
 
-@query(f"""{_BASE}, s AS (SELECT source_row, n_usable > 0 AS usable, status, source_row % 50 = 0 AS rejected FROM matrix WHERE supplier IN ('NATION_1', 'NATION_2'))
+@query(f"""{_BASE}, s AS (SELECT source_row, n_usable > 0 AS usable, status, source_row % 50 = 0 AS rejected FROM matrix)
 SELECT source_row, CASE WHEN bool_or(rejected) THEN 'rejected' WHEN bool_and(status = 'ABSENT') THEN 'not listed' ELSE 'unavailable' END AS reason FROM s GROUP BY source_row HAVING NOT bool_or(usable)""")
 def to_source_list(spark, sf):
-    m = _matrix(spark, sf).where("supplier in ('NATION_1', 'NATION_2')").select("source_row", (F.col("n_usable") > 0).alias("usable"), "status", (F.col("source_row") % 50 == 0).alias("rejected"))
+    m = _matrix(spark, sf).select("source_row", (F.col("n_usable") > 0).alias("usable"), "status", (F.col("source_row") % 50 == 0).alias("rejected"))
     return aggregates.why_missing(m)
 
 
