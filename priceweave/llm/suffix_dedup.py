@@ -103,8 +103,11 @@ class Segments:
 class Collection:
     """The transform of a growing collection of strings and the common prefixes of its neighbouring suffixes.
 
-    Rows are suffixes in order. For each: symbol (the byte before it, 0 before a whole string), its string and size, and
-    common, the length of its common prefix with the row before, counted up to a limit."""
+    Rows are suffixes in order. A row is one number of three fields: symbol (the byte before the suffix, 0 before a whole
+    string), common (the length of its common prefix with the row before, counted up to a limit) and code (its string
+    and size)."""
+
+    SYMBOL, COMMON, CODE = 0, 1, 1  # places of the fields in views of 16, 16 and 32 bits
 
     def __init__(self, strings: list[bytes], limit: int):
         self.limit = limit
@@ -112,74 +115,68 @@ class Collection:
         flat = np.frombuffer(b"".join(strings), np.uint8)
         self.starts = np.cumsum(self.sizes) - self.sizes
         codes = np.unique(flat)
-        table = np.zeros(256, np.uint8 if len(codes) < 256 else np.uint16)
+        table = np.zeros(256, np.uint64)
         table[codes] = np.arange(1, len(codes) + 1)
         self.flat = table[flat]
+        self.narrow = np.uint8 if len(codes) < 256 else np.uint16
+        self.step = int(self.sizes.max(initial=0)) + 1
+        if limit >= 1 << 16 or len(strings) * self.step >= 1 << 32:
+            raise ValueError("a collection of too many or too long strings")
 
     def build(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(string, size, common) of all rows.
 
-        A round puts one symbol before the newest suffix of each string that is not used up, and rewrites each list in
-        one pass. After it, the rows behind the empty suffixes are, in order, the symbols of the transform before it,
-        sorted: rows of one symbol follow in the order of the suffixes behind it. So a new row's common prefix with its
-        neighbour of the same symbol is one more than the least common prefix between the two suffixes behind them."""
-        n, longest = len(self.sizes), int(self.sizes.max(initial=0))
-        # a row's suffix as one number: its string and its size
-        self.step = longest + 1
-        code = np.arange(n, dtype=np.int32 if n * self.step < 1 << 31 else np.int64) * self.step
-        common = np.zeros(n, np.uint8 if self.limit < 256 else np.int32)
+        A round puts one symbol before the newest suffix of each string that is not used up, and rewrites the list in one
+        pass. After it, the rows behind the empty suffixes are, in order, the symbols of the transform before it, sorted:
+        rows of one symbol follow in the order of the suffixes behind it. So a new row's common prefix with its neighbour
+        of the same symbol is one more than the least common prefix between the two suffixes behind them."""
+        n = len(self.sizes)
         ends = self.starts + self.sizes
-        symbol = np.where(self.sizes > 0, self.flat[np.maximum(ends - 1, 0)], 0).astype(self.flat.dtype)
-        active = np.flatnonzero(self.sizes > 0)
-        latest = active  # row of each active string's newest suffix
-        for round_ in range(1, longest + 1):
+        first = np.where(self.sizes > 0, self.flat[np.maximum(ends - 1, 0)] if len(self.flat) else 0, 0).astype(np.uint64)
+        rows = first | (np.arange(n, dtype=np.uint64) * np.uint64(self.step)) << np.uint64(32)
+        newest = self.sizes > 0  # the rows of the strings' newest suffixes
+        for round_ in range(1, self.step):
+            fields = rows.view(np.uint16)
+            symbol, common = fields[self.SYMBOL :: 4].astype(self.narrow), fields[self.COMMON :: 4]
             # the places of all symbols, by symbol and place: a sort of small numbers, linear in the rows
             order = np.argsort(symbol, kind="stable")
-            order = order[np.count_nonzero(symbol == 0) :]
-            rank = np.empty(len(symbol), np.int64)
-            rank[order] = np.arange(len(order))
-            at = rank[latest]
-            by_row = np.argsort(at)
-            at, owner = at[by_row], active[by_row]
+            order = order[len(symbol) - np.count_nonzero(symbol) :]
+            at = np.flatnonzero(newest[order])
+            owner = (rows[order[at]] >> np.uint64(32)).astype(np.int64) // self.step
             # what is compared anew: each new row with the one before it, and the one after it with it
-            behind = at[at + 1 < len(order)] + 1
-            changed = np.union1d(at, behind)
+            changed = np.unique(np.concatenate([at, at[at + 1 < len(order)] + 1]))
             fresh = self._common(symbol, common, order, changed)
             row = n + at
-            old = np.ones(len(symbol) + len(row), bool)
-            old[row] = False
             going = self.sizes[owner] > round_
-            symbol = _merged(old, symbol, row, np.where(going, self.flat[np.maximum(ends[owner] - round_ - 1, 0)], 0))
-            code = _merged(old, code, row, owner * self.step + round_)
-            common = _merged(old, common, row, 0)
-            common[n + changed] = fresh
-            active, latest = owner[going], row[going]
-        string, size = np.divmod(code.astype(np.int64), self.step)
-        return string, size, common
+            before = np.where(going, self.flat[np.maximum(ends[owner] - round_ - 1, 0)], np.uint64(0))
+            made = before | (owner * self.step + round_).astype(np.uint64) << np.uint64(32)
+            old = np.ones(len(rows) + len(row), bool)
+            old[row] = False
+            merged = np.empty(len(old), np.uint64)
+            merged[old], merged[row] = rows, made
+            merged.view(np.uint16)[self.COMMON :: 4][n + changed] = fresh
+            newest = np.zeros(len(old), bool)
+            newest[row[going]] = True
+            rows = merged
+        string, size = np.divmod((rows >> np.uint64(32)).astype(np.int64), self.step)
+        return string, size, rows.view(np.uint16)[self.COMMON :: 4].astype(np.int64)
 
     def _common(self, symbol: np.ndarray, common: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """The common prefixes of the rows of these ranks with the rows before them."""
-        out = np.zeros(len(rank), common.dtype)
-        # a new row's suffix behind its symbol stands at order[rank], its neighbour's at the place of the same symbol before
-        have = np.flatnonzero(rank > 0)
-        low, high = order[rank[have] - 1], order[rank[have]]
-        same = symbol[low] == symbol[high]
-        have, low, high = have[same], low[same], high[same]
+        out = np.zeros(len(rank), np.uint16)
+        # a row's suffix behind its symbol stands at order[rank], its neighbour's at the place of the same symbol before
+        high = order[rank]
+        low = order[np.maximum(rank - 1, 0)]
+        have = np.flatnonzero((symbol[low] == symbol[high]) & (rank > 0))
         if len(have):
-            bounds = np.stack([low + 1, high + 1], axis=1).ravel()
-            padded = np.append(common, common.dtype.type(0))
-            least = np.minimum.reduceat(padded, bounds)[::2]
-            out[have] = np.minimum(least.astype(np.int64) + 1, self.limit)
+            # by place, so that next to nothing but what lies between two places is looked at
+            have = have[np.argsort(low[have])]
+            bounds = np.stack([low[have] + 1, high[have] + 1], axis=1).ravel()
+            least = np.minimum.reduceat(np.append(common, np.uint16(0)), bounds)[::2]
+            out[have] = np.minimum(least + np.uint16(1), self.limit)
         return out
 
 
-def _merged(old: np.ndarray, values: np.ndarray, row: np.ndarray, new) -> np.ndarray:
-    out = np.empty(len(old), values.dtype)
-    out[old] = values
-    out[row] = new
-    return out
-
-
 def repeated_windows(strings: list[bytes], doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Of all windows of the strings, each at doc, start + its place: (doc, start, string, is the first of its text)."""
     c = Collection(strings, length)
