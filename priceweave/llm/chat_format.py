@@ -6,7 +6,7 @@ every window, a limited history is repeated before the new turns, and repeated t
 Defined results
 - null text or role: empty; null conv_id: one conversation of its own; null turn: first.
 - ties and repeated rows: every row is a turn; order is (turn, role, text).
-- a turn over the budget: a window of its own, never cut.
+- a turn over the budget: a window of its own, never cut. Tokens are those of the vocabulary's tokenizer, by turn.
 - empty table: no windows. Extra columns are ignored.
 """
 
@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, slices
+from .packing import encoder
 
 # fixed values: marks of the template, then control strings of other templates that texts may hold
 TURN, SEP, END = "<|turn|>", "\n", "<|end|>\n"
@@ -30,7 +31,6 @@ CONTROL = ("<|turn|>", "<|end|>", "<|im_start|>", "<|im_end|>", "<|endoftext|>",
 _CONTROL = re.compile("|".join(re.escape(x) for x in CONTROL))
 _ESCAPED = re.compile(r"\\(.)", re.S)
 _TURN = re.compile(re.escape(TURN) + r"((?:\\.|[^\\\n])*)\n(.*?)" + re.escape(END), re.S)
-_TOKEN = re.compile(r"\w+|[^\w\s]")
 
 WINDOWS = "conv_id long, window long, formatted string, loss array<struct<start:int,end:int>>, repeated int, turns int, tokens long"
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"
@@ -49,9 +49,14 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
-def count_tokens(text: str) -> int:
-    """Words and punctuation marks, plus the turn's two marks."""
-    return 2 + sum(1 for _ in _TOKEN.finditer(text))
+def written(role: str, text: str) -> tuple[str, str]:
+    """A turn's head and body as the template has them; END follows."""
+    return TURN + escape_role(role) + SEP, escape(text)
+
+
+def count_tokens(turns: Iterable[tuple[str, str]], path: str | None = None) -> list[int]:
+    """Tokens of each written turn, its marks among them, by the tokenizer that packing uses."""
+    return [len(ids) // 4 for ids in encoder(path).encode(["".join(written(*t)) + END for t in turns])]
 
 
 class Windower:
@@ -66,8 +71,8 @@ class Windower:
         self.fresh: list[tuple[str, str, int]] = []
         self.prefix = [0]  # prefix sums of the fresh turns' tokens
 
-    def add(self, role: str, text: str) -> Iterator[tuple]:
-        turn = (role, text, count_tokens(text))
+    def add(self, role: str, text: str, tokens: int) -> Iterator[tuple]:
+        turn = (role, text, tokens)
         self.seen += 1
         if self.seen == 1 and role == "system":
             self.system = turn
@@ -95,7 +100,7 @@ class Windower:
         self.history = (self.history + keep)[-max(1, self.history_turns) :]
         out, at, loss = [], 0, []
         for k, (role, text, _) in enumerate([*head, *past, *new]):
-            lead, body = TURN + escape_role(role) + SEP, escape(text)
+            lead, body = written(role, text)
             if k >= len(head) + len(past) and role == "assistant":
                 loss.append({"start": at + len(lead), "end": at + len(lead) + len(body)})
             out.append(lead + body + END)
@@ -108,7 +113,7 @@ class Windower:
             yield self.emit()
 
 
-def format_windows(df: DataFrame, budget: int = 512, history_turns: int = 4, history_tokens: int = 128) -> DataFrame:
+def format_windows(df: DataFrame, budget: int = 512, history_turns: int = 4, history_tokens: int = 128, path: str | None = None) -> DataFrame:
     """Rows of WINDOWS, sorted by conversation and window inside each partition.
 
     loss: character spans of the formatted text that carry loss; repeated: turns at the head that earlier windows
@@ -126,13 +131,14 @@ def format_windows(df: DataFrame, budget: int = 512, history_turns: int = 4, his
         def table():
             return pa.RecordBatch.from_pydict(dict(zip(schema.names, map(list, zip(*rows)))), schema=schema)
 
-        for batch in batches:
-            for conv, role, text in zip(batch["conv_id"].to_pylist(), batch["role"].to_pylist(), batch["text"].to_pylist()):
+        for batch in slices(batches):
+            said = list(zip(batch["role"].to_pylist(), batch["text"].to_pylist()))
+            for conv, (role, text), n in zip(batch["conv_id"].to_pylist(), said, count_tokens(said, path)):
                 if windower is None or conv != current:
                     if windower is not None:
                         rows += [(current, *w) for w in windower.close()]
                     current, windower = conv, Windower(budget, history_turns, history_tokens)
-                for w in windower.add(role, text):
+                for w in windower.add(role, text, n):
                     rows.append((conv, *w))
                     size += len(w[1])
                 if len(rows) > 2000 or size > 8 << 20:

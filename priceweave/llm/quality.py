@@ -1,14 +1,17 @@
 """Quality and toxicity by hierarchical empirical Bayes.
 
 A document classifier, fitted on a bounded sample of the labelled rows, gives each document log-odds of being of good
-quality and of being toxic. Grouped sums of its probabilities give each host (source) and each path in it (source and
-language) a posterior: a path shrinks towards its host, a host towards the global mean, by strengths that the spread
-between the groups sets (method of moments). A document's log-odds are shifted by its path's posterior, leaving out its
-own share, so sparse sites count as the average one.
+quality and of being toxic. Grouped sums of its probabilities give each host (source) and each path in it (by default
+source and language, as the documents have no addresses; any column serves) a posterior: a path shrinks towards its
+host, a host towards the global mean. The strengths come from the spread between groups by the method of moments, for
+hosts and for the paths of each host; groups are weighted by their documents, and the spread that sampling alone makes
+is taken off. A document's log-odds are shifted by its path's posterior, leaving out its own share on both levels, so
+sparse sites count as the average one.
 
 Defined results
 - null or empty text: features of no words; null source or language: groups of their own; null ids: ordinary rows.
-- repeated rows: each is judged; labels of one document twice: both are evidence; labels without a document: unused.
+- repeated rows: each is judged; equal texts of the sample are one row, with the greatest labels; labels without a
+  document: unused.
 - no labels, or one class only: the model is the base rate, and everything of good quality stays.
 - ties: a document of exactly even odds stays. Extra columns are kept; in classify those
   with a result's name give way. Empty tables: no rows.
@@ -23,16 +26,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .boosted import BoostedTrees, fit
 from .common import cut, read, shielded, slices, utf8, without
 
-#: The bound of the labelled sample that the classifier is fitted on, and of the words that may tell toxicity.
+#: The bound of the labelled sample that the classifier is fitted on.
 SAMPLE_ROWS = 8000
-LEXICON_CANDIDATES = 2000
 #: Paths up to which their posteriors are sent to every task; beyond, they are joined by a shuffle.
 BROADCAST_PATHS = 50_000
 
@@ -131,7 +133,9 @@ def fit_model(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", "quality", "toxic")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(SAMPLE_ROWS)
     # the sample has a fixed bound
-    rows = cut(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    # ids and texts that repeat are one row: the sample keeps its bound, and copies tell no more than one
+    rows = cut(rows.groupBy("text").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_ROWS))
 
     def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -144,7 +148,7 @@ def fit_model(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64()), pa.array([bad[w] for w in n], pa.int64())], names=["word", "n", "bad"])
 
     counted = rows.mapInArrow(counts, "word string, n long, bad long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    told = [r["word"] for r in counted.where((F.col("bad") >= 5) & (F.col("bad") >= 0.75 * F.col("n"))).orderBy(F.desc("bad"), "word").limit(LEXICON_CANDIDATES).collect()]
+    told = [r["word"] for r in counted.where((F.col("bad") >= 5) & (F.col("bad") >= 0.75 * F.col("n"))).orderBy(F.desc("bad"), "word").collect()]  # of a bounded sample
     place = {w: i for i, w in enumerate(told)}
 
     def evidence(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,24 +194,51 @@ def _probability(logit):
     return 1 / (1 + F.exp(-logit))
 
 
+#: Bounds of a prior's strength, in documents.
+STRENGTH = (1.0, 1000.0)
+
+
+def _spread(groups: DataFrame, parent: str, kind: str, n: str) -> DataFrame:
+    """parent, strength: of the Beta prior of a parent's groups, by the method of moments.
+
+    The groups' means are weighted by their documents; what sampling alone would spread them by is taken off, so many
+    tiny groups of one kind don't look like groups that differ. groups: parent, n, kind (a sum)."""
+    total, sums = F.sum(n), F.sum(kind)
+    by = groups.groupBy(parent).agg(total.alias("t"), sums.alias("s"), F.count("*").alias("m"), F.sum(F.col(n) * F.col(n)).alias("q"), F.sum(F.col(kind) * F.col(kind) / F.col(n)).alias("u"))
+    mean = F.col("s") / F.col("t")
+    between = F.col("u") - F.col("s") * mean  # sum of n * (mean of group - mean)^2
+    noise = mean * (1 - mean)
+    # E[between] = (m - 1) * noise + (t - q / t) * (1 - 1 / t) * variance, up to the variance's own part in noise
+    variance = (between - (F.col("m") - 1) * noise) / F.greatest(F.col("t") - F.col("q") / F.col("t"), F.lit(1e-9))
+    strength = F.when((F.col("m") > 1) & (variance > 1e-9), noise / variance - 1).otherwise(F.lit(STRENGTH[1]))
+    return by.select(parent, F.least(F.greatest(strength, F.lit(STRENGTH[0])), F.lit(STRENGTH[1])).alias("strength"))
+
+
 def site_posteriors(evidence: DataFrame) -> DataFrame:
-    """host, path, n, and for quality and toxic: the global mean, the path's strength, sum and shrunk host mean.
+    """host, path, n, host_n, and for quality and toxic: sum, host_sum, mean (global), host_strength and strength (of the
+    host's paths).
 
     evidence: host, path, quality_logit, toxic_logit. Only sums are shuffled, a row for each path and task."""
     kinds = ("quality", "toxic")
     paths = evidence.groupBy("host", "path").agg(F.count("*").alias("n"), *[F.sum(_probability(F.col(f"{k}_logit"))).alias(k) for k in kinds])
     paths = cut(paths)  # the texts are read once for the sums, whatever is derived from them
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), *[F.sum(k).alias(f"host_{k}") for k in kinds])
-    total = hosts.agg(F.sum("host_n").alias("n"), F.count("*").alias("m"), *[F.sum(f"host_{k}").alias(k) for k in kinds], *[F.var_pop(F.col(f"host_{k}") / F.col("host_n")).alias(f"var_{k}") for k in kinds]).first()
+    out = paths.join(hosts, "host").withColumn("all", F.lit(0))
+    total = hosts.groupBy(F.lit(0).alias("all")).agg(F.sum("host_n").alias("all_n"), *[F.sum(f"host_{k}").alias(f"all_{k}") for k in kinds])
     for k in kinds:
-        n = total["n"] or 0
-        mean = ((total[k] or 0) + 0.5) / (n + 1)
-        spread = total[f"var_{k}"] or 0.0
-        # the strength of a Beta prior with this spread, kept in bounds that no single host can leave
-        strength = float(np.clip(mean * (1 - mean) / spread - 1 if spread > 1e-9 else 1000.0, 10.0, 1000.0))
-        hosts = hosts.withColumn(f"host_{k}", (F.col(f"host_{k}") + strength * mean) / (F.col("host_n") + strength))
-        hosts = hosts.withColumn(f"mean_{k}", F.lit(mean)).withColumn(f"strength_{k}", F.lit(strength))
-    return paths.join(hosts.drop("host_n"), "host")
+        of_host = _spread(hosts.withColumn("all", F.lit(0)), "all", f"host_{k}", "host_n").withColumnRenamed("strength", f"host_strength_{k}")
+        total = total.join(of_host, "all").withColumn(f"mean_{k}", (F.col(f"all_{k}") + 0.5) / (F.col("all_n") + 1))
+        out = out.join(_spread(paths, "host", k, "n").withColumnRenamed("strength", f"strength_{k}"), "host")
+    # one row
+    return out.join(F.broadcast(total), "all").drop("all")
+
+
+def leave_one_out(kind: str, own: Column) -> Column:
+    """The posterior mean of a document's path by the other documents: of the host shrunk towards the global mean, and of
+    the path shrunk towards the host. The document's own share (own) counts on no level."""
+    mean, host_strength, strength = F.col(f"mean_{kind}"), F.col(f"host_strength_{kind}"), F.col(f"strength_{kind}")
+    host = (F.col(f"host_{kind}") - own + host_strength * mean) / (F.col("host_n") - 1 + host_strength)
+    return (F.col(kind) - own + strength * host) / (F.col("n") - 1 + strength)
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", weight: float = 0.5) -> DataFrame:
@@ -225,8 +256,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     judged = with_evidence(inner.join(F.broadcast(sites) if small else sites, ["host", "path"], "left"), model)
     found = {}
     for k in ("quality", "toxic"):
-        own = _probability(F.col(f"{k}_logit"))
-        site_mean = (F.col(k) - own + F.col(f"strength_{k}") * F.col(f"host_{k}")) / (F.col("n") - 1 + F.col(f"strength_{k}"))
+        site_mean = leave_one_out(k, _probability(F.col(f"{k}_logit")))
         found[f"site_{k}"] = site_mean
         found[k] = _probability(F.col(f"{k}_logit") + weight * (_logit(site_mean) - _logit(F.col(f"mean_{k}"))))
     out = judged.select("row.*", *[v.alias(k) for k, v in found.items()])

@@ -291,6 +291,36 @@ def test_quality_tells_held_out(spark):
     assert kept.columns == frame(spark, rows).columns
 
 
+@pytest.mark.parametrize("sparse", [False, True])
+def test_site_posteriors_equal_plain_ones(spark, sparse):
+    """Also for hosts of one or two documents."""
+    r = np.random.default_rng(11)
+    sizes = [int(x) for x in (r.integers(1, 3, 150) if sparse else r.integers(20, 60, 12))]
+    rows = [(f"h{h}", f"p{h}.{i % 3}", float(r.normal(h % 5 - 2, 1)), float(r.normal(-2, 1))) for h, n in enumerate(sizes) for i in range(n)]
+    evidence = spark.createDataFrame(rows, "host string, path string, quality_logit double, toxic_logit double")
+    sites = evidence.join(quality.site_posteriors(evidence), ["host", "path"])
+    got = {(x["host"], x["path"], x["quality_logit"]): (x["q"], x["t"]) for x in sites.withColumns({k[0]: quality.leave_one_out(k, 1 / (1 + F.exp(-F.col(f"{k}_logit")))) for k in ("quality", "toxic")}).collect()}
+    p = np.array([[1 / (1 + np.exp(-x)) for x in row[2:]] for row in rows])
+    host, path = np.array([x[0] for x in rows]), np.array([x[1] for x in rows])
+
+    def strength(values, groups):
+        n = np.array([(groups == g).sum() for g in np.unique(groups)])
+        means = np.array([values[groups == g].mean() for g in np.unique(groups)])
+        mean = values.mean()
+        extra = (n * (means - mean) ** 2).sum() - (len(n) - 1) * mean * (1 - mean)
+        variance = extra / max(n.sum() - (n**2).sum() / n.sum(), 1e-9)
+        return float(np.clip(mean * (1 - mean) / variance - 1, *quality.STRENGTH)) if len(n) > 1 and variance > 1e-9 else quality.STRENGTH[1]
+
+    for k in (0, 1):
+        mean, top = (p[:, k].sum() + 0.5) / (len(p) + 1), strength(p[:, k], host)
+        for i, row in enumerate(rows):
+            of_host, of_path = host == row[0], path == row[1]
+            s = strength(p[of_host, k], path[of_host])
+            h = (p[of_host, k].sum() - p[i, k] + top * mean) / (of_host.sum() - 1 + top)
+            want = (p[of_path, k].sum() - p[i, k] + s * h) / (of_path.sum() - 1 + s)
+            assert got[row[:3]][k] == pytest.approx(want, rel=1e-6)
+
+
 def test_quality_without_labels_keeps(spark):
     none = spark.createDataFrame([], LABELS)
     assert quality.keep_good(frame(spark), none).count() == len(awkward())
@@ -380,6 +410,7 @@ def test_chat_round_trip(spark):
         assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(own), digest, len(said), sha(said))
     for w in windows.collect():
         assert w["tokens"] <= 60 or w["turns"] == 1
+    assert chat_format.count_tokens([("user", "two words")]) == [len(packing.encoder(None).tokenizer.encode("<|turn|>user\ntwo words<|end|>\n", add_special_tokens=False).ids)]
     assert chat_format.read_back(chat_format.format_windows(turns.limit(0))).count() == 0
 
 
