@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import read
 
 RESULT = "query_id long, vec_id long, score long"
+#: Pairs that are rescored at a time, and queries that a shard answers at a time.
+RESCORED, TOGETHER = 1 << 16, 128
 
 
 def quantised(df: DataFrame, scale: float = 256.0) -> DataFrame:
@@ -36,45 +38,53 @@ def quantised(df: DataFrame, scale: float = 256.0) -> DataFrame:
 
 
 class Shard:
-    """The impact-ordered index of some rows."""
+    """The impact-ordered index of some rows: for each level of impact, from the highest, the posting lists of the
+    dimensions that have any (rows and weights), and a bound of what each row has left below the level."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        size = np.abs(vectors)
         # level of each posting: bit length of its magnitude, 0 for no posting
-        self.level = np.frexp(size.astype(np.float64))[1]
-        self.level[size == 0] = 0
-        self.levels = [int(x) for x in np.unique(self.level)[::-1] if x]
-
-    def segments(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(weights of a segment by row and dimension, norm of what is left of each row), highest impact first."""
-        left = self.vectors.astype(np.float64)
-        for level in self.levels:
-            part = np.where(self.level == level, self.vectors, 0).astype(np.float64)
-            left = left - part
-            yield part, np.sqrt(np.einsum("ij,ij->i", left, left))
+        level = np.frexp(np.abs(vectors).astype(np.float64))[1]
+        level[vectors == 0] = 0
+        left = (vectors.astype(np.float64) ** 2).sum(axis=1)
+        self.segments: list[tuple[list[tuple[int, np.ndarray, np.ndarray]], np.ndarray]] = []
+        for k in (int(x) for x in np.unique(level)[::-1] if x):
+            lists = []
+            for d in np.flatnonzero((level == k).any(axis=0)):
+                rows = np.flatnonzero(level[:, d] == k)
+                weights = vectors[rows, d].astype(np.float64)
+                left[rows] -= weights**2
+                lists.append((int(d), rows, weights))
+            # squares of integers are exact, so nothing is left is 0
+            self.segments.append((lists, np.sqrt(np.maximum(left, 0))))
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, few: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query's place, row's place, score) of every possible member of each query's top k in this shard."""
         q = queries.astype(np.float64)
         norms = np.sqrt(np.einsum("ij,ij->i", q, q))
-        acc = np.zeros((len(q), len(self.ids)))
-        own = query_ids[:, None] == self.ids[None, :]
+        acc = np.zeros((len(self.ids), len(q)))
+        own = self.ids[:, None] == query_ids[None, :]
         n = len(self.ids)
         possible = ~own
-        for part, left in self.segments():
-            used = part.any(axis=0)
-            acc += q[:, used] @ part[:, used].T
-            bound = norms[:, None] * left[None, :] * (1 + 1e-9)
+        for lists, left in self.segments:
+            for d, rows, weights in lists:
+                if len(rows) == n:
+                    acc += weights[:, None] * q[None, :, d]
+                else:
+                    acc[rows] += weights[:, None] * q[None, :, d]
+            bound = left[:, None] * norms[None, :] * (1 + 1e-9)
             if n > k + 1:
                 low = np.where(own, -np.inf, acc - bound)
-                kth = np.partition(low, n - k, axis=1)[:, n - k]
-                possible = (acc + bound >= kth[:, None]) & ~own
+                kth = np.partition(low, n - k, axis=0)[n - k]
+                possible = (acc + bound >= kth[None, :]) & ~own
                 # the proof: all but a few rows are below k others; those few are rescored
                 if possible.sum() <= few * len(q):
                     break
-        at, row = np.nonzero(possible)
-        score = np.einsum("ij,ij->i", queries[at], self.vectors[row])
+        row, at = np.nonzero(possible)
+        score = np.empty(len(at), np.int64)
+        for s in range(0, len(at), RESCORED):  # where many rows tie, all stay possible
+            e = s + RESCORED
+            score[s:e] = np.einsum("ij,ij->i", queries[at[s:e]], self.vectors[row[s:e]])
         return at, row, score
 
 
@@ -97,61 +107,49 @@ def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> tupl
     return query[keep], vec[keep], score[keep]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 8192, block_rows: int = 2048) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score. vectors, queries: as quantised() returns.
 
-    Queries are a stated set, taken in blocks of about block_rows; only one block, of a bounded size, is sent to the
-    tasks at a time, and each block passes over all rows. Each task returns k rows for a query at most.
-    """
-    spark = vectors.sparkSession
-    blocks = max(1, -(-queries.count() // block_rows))
-    parts = []
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
-        if not rows.num_rows:
-            continue
-        ids = rows["vec_id"].combine_chunks().to_numpy()
-        block = spark.sparkContext.broadcast((ids, _matrix(rows["v"].combine_chunks(), 1)))
-
-        def search(batches: Iterable[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            query_ids, q = block.value
-            best = (np.zeros(0, np.int64),) * 3
-
-            def take(held):
-                nonlocal best
-                width = q.shape[1]
-                mats = [_matrix(x["v"], width) for x in held]
-                width = max(m.shape[1] for m in mats)
-                mat = np.vstack([np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in mats])
-                shard = Shard(np.concatenate([x["vec_id"].to_numpy() for x in held]), mat)
-                for s in range(0, len(q), 128):
-                    part = np.pad(q[s : s + 128], ((0, 0), (0, width - q.shape[1])))
-                    at, row, score = shard.search(query_ids[s : s + 128], part, k)
-                    new = (at + s, shard.ids[row], score)
-                    best = tuple(np.concatenate(x) for x in zip(best, new))
-                best = _best(*best, k)
-
-            held, n = [], 0
-            for batch in batches:
-                for start in range(0, batch.num_rows, shard_rows):
-                    held.append(batch.slice(start, shard_rows))
-                    n += held[-1].num_rows
-                    if n >= shard_rows:
-                        take(held)
-                        held, n = [], 0
-            if held:
-                take(held)
-            yield pa.RecordBatch.from_arrays([pa.array(query_ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "vec_id", "score"])
-
-        parts.append(vectors.mapInArrow(search, RESULT))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    Queries are a stated set. Rows are dealt into shards of about shard_rows; each query goes to every shard, as data,
+    behind the shard's rows, so a task holds one shard's index and a few queries, and gives k rows a query and shard."""
+    shards = max(1, -(-vectors.count() // shard_rows))
+    number = lambda df: df.select(F.pmod(F.monotonically_increasing_id(), F.lit(shards)).alias("shard"), F.lit(0).alias("asks"), "vec_id", "v")
+    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("asks"), "vec_id", "v")
+    dealt = number(vectors).unionByName(asked).repartition(F.col("shard")).sortWithinPartitions("shard", "asks")
+
+    def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, shard = None, [], None
+        for batch in batches:
+            of, asks = batch["shard"].to_numpy(), batch["asks"].to_numpy()
+            edges = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (asks[1:] != asks[:-1])])
+            for s, e in zip(edges.tolist(), [*edges[1:].tolist(), batch.num_rows]) if batch.num_rows else ():
+                part = batch.slice(s, e - s)
+                if of[s] != current:
+                    current, held, shard = of[s], [], None
+                if not asks[s]:
+                    held.append(part)
+                    continue
+                if shard is None and held:
+                    mats = [_matrix(x["v"], 1) for x in held]
+                    width = max(m.shape[1] for m in mats)
+                    shard = Shard(np.concatenate([x["vec_id"].to_numpy() for x in held]), np.vstack([np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in mats]))
+                    held = []
+                if shard is not None:
+                    for t in range(0, e - s, TOGETHER):
+                        yield found(shard, part.slice(t, TOGETHER))
+
+    def found(shard: Shard, asked: pa.RecordBatch) -> pa.RecordBatch:
+        # dimensions that one side does not have add nothing
+        width = shard.vectors.shape[1]
+        ids, q = asked["vec_id"].to_numpy(), _matrix(asked["v"], width)[:, :width]
+        at, row, score = shard.search(ids, q, k)
+        at, vec, score = _best(at, shard.ids[row], score, k)
+        return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(vec), pa.array(score)], names=["query_id", "vec_id", "score"])
+
     # repeated query rows ask the same question once each; they are told apart by nothing, so one answer stands
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = dealt.mapInArrow(answer, RESULT).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -384,7 +384,7 @@ def test_top_k_equals_scan(spark):
     rows = [(i, [float(x) for x in r.normal(size=8)]) for i in range(300)]
     rows += [(i + 1000, rows[0][1]) for i in range(20)] + [(2000, None), (2001, [float("nan")] * 8), (2002, [None] * 8), (2003, [1.0]), (2004, []), (None, [1.0] * 8)]
     vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3))
-    out = topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5, shard_rows=64, block_rows=4)
+    out = topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5, shard_rows=64)
     got = {(q, k): (v, s) for q, k, v, s in map(tuple, out.collect())}
     ints = {i: np.array([int(np.floor(256 * float(np.float32(x)))) for x in v] + [0] * (8 - len(v))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
     for q in (i for i in ints if i % 50 == 0):
@@ -393,6 +393,15 @@ def test_top_k_equals_scan(spark):
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_top_k_of_many_ties_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(topk, "RESCORED", 100)
+    rows = [(i, [1.0, -2.0, 0.5], "x", 3) for i in range(200)]
+    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>, v string, score int"))
+    out = topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5, shard_rows=64).collect()
+    want = 256 * 256 * 1 + 512 * 512 + 128 * 128
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out} == {(q, k + 1, v, want) for q in (0, 50, 100, 150) for k, v in enumerate([x for x in range(6) if x != q][:5])}
+
+
 # 7
 
 
