@@ -85,9 +85,10 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seeds: tupl
         return [np.zeros(0, np.uint64) for _ in seeds]
     first, eights, number = _eights(raw, start, end)
     places = number.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+    eights *= np.uint64(0xE7037ED1A0B428DB)
     sizes = (end - start).astype(np.uint64)
     out = []
     for seed in seeds:
         salt = np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))
-        out.append(mix(np.add.reduceat(mix(mix(eights ^ salt) + places), first) + sizes + salt))
+        out.append(mix(np.add.reduceat(mix(eights + places + salt), first) + sizes + salt))
     return out

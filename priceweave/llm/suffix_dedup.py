@@ -37,10 +37,11 @@ from .hashing import Rolling, mix, span_hashes
 LENGTH, GRAM = 100, 32
 #: Windows that are looked at together.
 PIECE = 1 << 21
-#: Strings that a collection holds, and different segments from which an anchor is dealt into several.
-COLLECTION, WIDE = 1024, 4096
+#: Strings that a collection is closed at, and different segments of an anchor that one may hold: beyond, the anchor is
+#: dealt into several. The second is a bound of memory, some 200 MB at these lengths.
+COLLECTION, WIDE = 1024, 32_768
 #: Anchors, segments and documents up to which a sorted list of them is sent to every task; beyond, a shuffle joins them.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 3_000_000
 #: Low bits of a segment's place that hold its number of windows; the rest is its start.
 PLACE_BITS = 10
 NULL_ID = -(1 << 63)
