@@ -36,7 +36,8 @@ def catalogue_report(checked: DataFrame, page: str) -> DataFrame:
 
 
 def offers_from_rows(chosen: DataFrame, prices: DataFrame) -> DataFrame:
-    """The rows that a user chose as offers, with an error where there is none: NO_LIST, NO_ROW, NOT_ORDERABLE.
+    """The rows that a user chose as offers, with an error where there is none: NO_LIST, NO_ROW, NOT_ORDERABLE. A
+    number that a list holds twice gives two.
 
     chosen: supplier, source_row. prices: supplier, source_row, unit_price_net, pieces_per_carton, usable."""
     lists = prices.select(F.col("supplier").alias("__supplier")).distinct()
