@@ -10,6 +10,8 @@ Defined results
 - repeated rows: each is a row of its own in the result and counts once per row as evidence.
 - ties need no order: spans are sorted by kind and start. Extra columns are ignored. An empty table gives none.
 - positions are code points, end exclusive.
+- very long texts: taken whole, in time linear in the text for up to some hundred thousand matches of a kind. A pattern is
+  read from the last CONTEXT code points before an identifier: an identifier behind a longer gap has none.
 """
 
 from __future__ import annotations
@@ -37,6 +39,10 @@ CANDIDATE = rf"(?<!{_RUN})(?:(?={_RUN}*?[0-9]){_RUN}++(?:\x20[0-9][0-9\x20.-]*[0
 _BYTE = r"(?:0++(?![0-9])|0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?))"
 
 SPAN = "struct<kind:string,start:long,end:long>"
+#: Matches whose positions are summed at once.
+CHUNK = 256
+#: Code points before an identifier that its pattern is read from; the pattern is what the last words of them are.
+CONTEXT = 40
 
 
 def _luhn(digits: Column) -> Column:
@@ -64,30 +70,53 @@ def _checked(kind: str):
     return lambda x: _valid(kind, x["value"])
 
 
+MATCHES = "array<struct<value:string,start:long,end:long,before:string>>"
+
+
+def _tail(*parts: Column) -> Column:
+    return F.right(F.concat(*parts), F.lit(CONTEXT))
+
+
 def located(text: Column, pattern: str) -> Column:
-    """array<struct<value,start,end>> of the leftmost non-overlapping matches, by code points: what lies between
-    the matches has their positions."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.char_length)
-    both = F.arrays_zip(gaps.alias("gap"), matches.alias("value"))
-    empty = F.array().cast("array<struct<value:string,start:long,end:long>>")
-    zero = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("found"))
+    """MATCHES: the leftmost non-overlapping matches, by code points, and the CONTEXT code points before each: what lies
+    between the matches has their positions.
+
+    Positions are summed within runs of CHUNK matches, then over the runs, so that a long list of numbers is not
+    copied once a match. transform over an array of one binds a value that is used more than once.
+    """
+    both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
 
     def step(a, x):
-        start = a["at"] + x["gap"]
+        start = a["at"] + F.char_length(x["gap"])
         end = start + F.coalesce(F.char_length(x["value"]), F.lit(0))
-        return F.struct(end.alias("at"), F.when(x["value"].isNull(), a["found"]).otherwise(F.concat(a["found"], F.array(F.struct(x["value"].alias("value"), start.alias("start"), end.alias("end"))))).alias("found"))
+        match = F.struct(x["value"].alias("value"), start.alias("start"), end.alias("end"), _tail(a["tail"], x["gap"]).alias("before"))
+        return F.struct(end.alias("at"), _tail(a["tail"], x["gap"], F.coalesce(x["value"], F.lit(""))).alias("tail"), F.when(x["value"].isNull(), a["found"]).otherwise(F.concat(a["found"], F.array(match))).alias("found"))
+
+    def run(b, i):
+        # a match has a code point at least, so CONTEXT matches before the run have its left context
+        ahead = F.slice(b, F.greatest(i * CHUNK - CONTEXT, F.lit(0)) + 1, F.least(i * CHUNK, F.lit(CONTEXT)))
+        tail = F.aggregate(ahead, F.lit(""), lambda t, x: _tail(t, x["gap"], x["value"]))
+        zero = F.struct(F.lit(0).cast("long").alias("at"), tail.alias("tail"), F.array().cast(MATCHES).alias("found"))
+        return F.aggregate(F.slice(b, i * CHUNK + 1, F.lit(CHUNK)), zero, step)
 
-    return F.aggregate(both, zero, step, lambda a: a["found"])
+    def runs(b):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(b) - 1) / CHUNK).cast("int")), lambda i: run(b, i))
+
+    def joined(r):
+        first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("starts"))
+        starts = F.aggregate(r, first, lambda a, x: F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")), lambda a: a["starts"])
+        return F.flatten(F.zip_with(r, starts, lambda x, at: F.transform(x["found"], lambda m: F.struct(m["value"].alias("value"), (m["start"] + at).alias("start"), (m["end"] + at).alias("end"), m["before"].alias("before")))))
+
+    return F.transform(F.transform(F.array(both), runs), joined)[0]
 
 
 def base_spans(df: DataFrame) -> DataFrame:
-    """doc_id, a column of array<struct<value,start,end>> for each kind.
+    """doc_id, a column of MATCHES for each kind.
 
     One pass over the texts, without a shuffle.
     """
     out = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digit", F.col("text").rlike("[0-9]"))
-    none = F.array().cast("array<struct<value:string,start:long,end:long>>")
+    none = F.array().cast(MATCHES)
     for kind, pattern in PATTERNS.items():
         may = F.contains("text", F.lit(NEEDS[kind])) if NEEDS[kind] else F.lit(True)
         may = may if kind == "email" else may & F.col("digit")
@@ -96,14 +125,23 @@ def base_spans(df: DataFrame) -> DataFrame:
 
 
 def candidates(df: DataFrame) -> DataFrame:
-    """base_spans without the text, plus seeds, the base spans, and cand, identifier-like strings that touch none:
+    """base_spans without the text, plus seeds, the base spans, and cand, identifier-like strings:
     array<struct<value,start,end,left>>."""
-    left = lambda x: F.lower(F.regexp_extract(F.substring(F.col("text"), F.greatest(x["start"] - 40, F.lit(0)).cast("int") + 1, F.least(x["start"], F.lit(40)).cast("int")), r"(\S+\s+\S*\s*\S{0,2})$", 1))
+    left = lambda x: F.lower(F.regexp_extract(x["before"], r"(\S+\s+\S*\s*\S{0,2})$", 1))
     placed = lambda x: F.struct(x["value"].alias("value"), x["start"].alias("start"), x["end"].alias("end"), left(x).alias("left"))
-    free = lambda c: ~F.exists("spans", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
-    out = df.withColumn("spans", F.array_distinct(F.flatten(F.array(*[F.col(k) for k in PATTERNS]))))
-    out = out.withColumn("seeds", F.transform("spans", placed)).withColumn("cand", F.transform(F.filter(located(F.col("text"), CANDIDATE), free), placed))
-    return out.drop("spans", "text", "digit")
+    out = df.withColumn("seeds", F.transform(F.flatten(F.array(*[F.col(k) for k in PATTERNS])), placed))
+    return out.withColumn("cand", F.transform(located(F.col("text"), CANDIDATE), placed)).drop("text", "digit")
+
+
+def free(occ: DataFrame, spans: DataFrame) -> DataFrame:
+    """occ without the rows that touch one of spans in their text; both have row_id, start and end.
+
+    They meet in blocks of 64 code points, which hold a bounded number of either, so that a long text full of both is no
+    group of pairs.
+    """
+    blocks = lambda df: df.select("row_id", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / 64), F.floor((F.col("end") - 1) / 64))).alias("block"))
+    met = blocks(occ).join(blocks(spans).withColumnsRenamed({"start": "s", "end": "e"}), ["row_id", "block"]).where("s < end AND start < e")
+    return occ.join(met.select("row_id", "start"), ["row_id", "start"], "left_anti")
 
 
 def discover(base: DataFrame, rounds: int = 3, shrink: float = 2.0, least: float = 0.7, support: int = 3) -> DataFrame:
@@ -112,11 +150,12 @@ def discover(base: DataFrame, rounds: int = 3, shrink: float = 2.0, least: float
     base: row_id, seeds and cand. shrink: unseen failures that a pattern is charged with; least: the score from
     which patterns and instances are believed; support: distinct seeds that a pattern needs.
     """
-    of = lambda name: base.select("row_id", F.explode(name).alias("c")).select("row_id", "c.value", "c.start", "c.end", F.col("c.left").alias("pattern"), F.lit(name == "seeds").alias("seed")).where(F.length("pattern") > 2)
+    of = lambda name, length=3: base.select("row_id", F.explode(name).alias("c")).select("row_id", "c.value", "c.start", "c.end", F.col("c.left").alias("pattern"), F.lit(name == "seeds").alias("seed")).where(F.length("pattern") >= length)
     # patterns under the support are never believed, so what else stands in them has no part
+    spans = of("seeds", 0).select("row_id", "start", "end")
     seeds = cut(of("seeds").groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
     supported = seeds.groupBy("pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= support).select("pattern")
-    occ = cut(of("cand").join(supported, "pattern", "left_semi"))
+    occ = cut(free(of("cand").join(supported, "pattern", "left_semi"), spans))
     # the graph: an edge for each pattern and instance, with what makes the instance a seed
     edges = seeds.unionByName(occ.groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed")))
     graph = cut(edges.groupBy("pattern", "value").agg(F.sum("n").alias("n"), F.max("seed").alias("seed")))

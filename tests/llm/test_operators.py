@@ -433,6 +433,7 @@ def test_no_control_string_survives_escaping():
 
 def test_pii_base_equals_regex(spark):
     texts = ["a@b.c.d,x%y@z-1.org.", "@@ a@b a@.c", "1.2.3.4 1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.255 1.2.3", "4539 1488-0343 6467 4111111111111111x 123", "+1 (415) 555-0199 +12 +3 4 5 6 7 8 9 0 1 2 3 4 5 6 7", "é☃ +44 20 7946 0958 q@é.de ☃@x.y", None, "", "1" * 5000, "a" * 5000 + "@"]
+    texts += ["".join(f"é{k % 7}.{k % 300}.0.1 x{k}@y.zz +44 20 7946 0{k % 10}58 ☃" for k in range(n)) for n in (pii.CHUNK - 1, pii.CHUNK, 3 * pii.CHUNK + 1)]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "a@b.cd"), (1, texts[1])]
     got = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string").withColumn("email", F.lit("clash"))).collect()
     assert len(got) == len(rows)
@@ -479,6 +480,27 @@ def test_pii_contexts_of_any_seed_and_candidate(spark):
         assert [tuple(s) for s in r["added"]] == want, text
 
 
+def test_pii_very_long_text(spark):
+    text = "1.2.3.4 é " * 40_000
+    got = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [tuple(s) for s in got[0]["base"]] == [("ip", 10 * k, 10 * k + 7) for k in range(40_000)]
+
+
+@pytest.mark.parametrize("known, least, most", [(40, 0.9, 1.0), (4, 0.0, 0.0)])
+def test_pii_recall_of_planted_identifiers(spark, known, least, most):
+    """A pattern is believed where most of its distinct instances are seeds, and not where they are few among others."""
+    leads = ["write to the owner at ", "please call again on ", "was logged in from "]
+    seeds = [lambda k: f"user{k}@mail.org", lambda k: f"+44 20 7946 {1000 + k}", lambda k: f"10.0.{k}.7"]
+    rows = [(k, f"we {lead}{seed(k)} today") for lead, seed in zip(leads, seeds) for k in range(known)]
+    planted = {1000 + 100 * i + k: f"id-{i}{k:03d}-x{k}" for i in range(3) for k in range(10)}
+    rows += [(d, f"we {leads[(d - 1000) // 100]}{v} today") for d, v in planted.items()]
+    clean = [(2000 + k, f"we sold {k}00 pieces of item n{k}-b in the shop {k}") for k in range(200)]
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["added"]] for r in pii.find_pii(spark.createDataFrame(rows + clean, "doc_id long, text string")).collect()}
+    at = {d: t.index(planted[d]) for d, t in rows if d in planted}
+    caught = sum((at[d], at[d] + len(v)) in found[d] for d, v in planted.items())
+    assert least <= caught / len(planted) <= most and not any(found[d] for d, _ in clean)
+
+
 def test_pii_contexts_discover(spark):
     rows = [(i, f"please write to box {i}@mail.org soon") for i in range(12)] + [(20, "please write to box a1b2c3-77 soon"), (21, "we sold 123456 pieces of it"), (22, "we sold 223456 pieces of it")]
     found = {r["doc_id"]: r["added"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
