@@ -34,8 +34,10 @@ KINDS = [*PATTERNS, "ctx"]
 _RUN = r"[^\s\x22\x27<>()\[\]{},;|]"
 #: What may be an identifier: a run without white space or quotes that holds a digit, a sign between letters or a capital
 #: behind a letter, of any length; a run with a digit goes on with the groups of digits behind it. The look-behind keeps
-#: starts at the head of a run, so the time is linear.
-CANDIDATE = rf"(?<!{_RUN})(?:(?={_RUN}*?[0-9]){_RUN}++(?:\x20[0-9][0-9\x20.-]*[0-9])?|(?={_RUN}*?\p{{L}}(?:[^\s\p{{L}}]++\p{{L}}|\p{{Lu}})){_RUN}++)"
+#: starts at the head of a run, so the time is linear. A plain word, small letters behind its first with no more than signs
+#: up to white space, can be none and is passed over at once.
+_PLAIN = r"\p{L}\p{Ll}*+[^\s\p{L}0-9]*+(?:\s|$)"
+CANDIDATE = rf"(?<!{_RUN})(?!{_PLAIN})(?:(?={_RUN}*?[0-9]){_RUN}++(?:\x20[0-9][0-9\x20.-]*[0-9])?|(?={_RUN}*?\p{{L}}(?:[^\s\p{{L}}]++\p{{L}}|\p{{Lu}})){_RUN}++)"
 _BYTE = r"(?:0++(?![0-9])|0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?))"
 
 SPAN = "struct<kind:string,start:long,end:long>"
