@@ -24,10 +24,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def table(df: DataFrame) -> DataFrame:
-    """Like cut, as a Parquet table in the same folder: for many narrow rows, which a checkpoint would not compress. The
-    folder is the session's, and goes with it when the application ends."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; whoever writes there discards it."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+
+
+def table(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Like cut, as a Parquet table in the same folder: for many narrow rows, which a checkpoint would not compress.
+    Spark does not delete it at the end: give a path to discard it later."""
+    path = path or scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of scratch, on any file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
