@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat_format, clustering, decontaminate, extract, jaccard, lexical, line_dedup, packing, pii, quality, suffix_dedup, topk
+from . import chat_format, clustering, decontaminate, extract, jaccard, lexical, line_dedup, packing, pii, quality, suffix_dedup, topk, toxicity
 
-MODULES = (decontaminate, suffix_dedup, jaccard, quality, extract, topk, chat_format, pii, line_dedup, packing, clustering, lexical)
+MODULES = (decontaminate, suffix_dedup, jaccard, quality, extract, topk, chat_format, pii, line_dedup, packing, clustering, toxicity, lexical)
 
 
 def queries() -> dict:
