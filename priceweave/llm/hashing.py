@@ -1,12 +1,16 @@
 """Hashes of many pieces of one sequence at a time, in numpy.
 
 Rolling gives any substring's hash from prefix sums. It is a polynomial modulo 2^64, for which unequal strings of equal
-hash can be written down, so it only proposes: what it brings together is compared by another means. span_hashes mixes
-each eight bytes with their place and has no such pairs; it tells pieces apart.
+hash can be written down, so it only proposes: what it brings together is compared by another means. span_hashes tells
+pieces apart. Each eight bytes are mixed with a number of their place that follows from a key, and the sums are mixed
+again. The key is drawn anew for each run of an operator (draw), on the driver, and travels to the tasks in what they run:
+which pieces collide depends on it, so no texts can be made beforehand that do. Two keys give 128 independent bits.
 """
 
 from __future__ import annotations
 
+import secrets
+
 import numpy as np
 
 # fixed values: an odd multiplier, its inverse modulo 2^64 follows; splitmix64's constants
@@ -79,16 +83,37 @@ def _eights(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return first, eights, number
 
 
-def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seeds: tuple[int, ...] = (1,)) -> list[np.ndarray]:
-    """For each seed a 64-bit hash of each span of these bytes; hashes of different seeds are independent."""
+def draw() -> int:
+    """A new key for span_hashes."""
+    return secrets.randbits(63)
+
+
+_places: dict[int, np.ndarray] = {}
+
+
+def _of_places(key: int, n: int) -> np.ndarray:
+    """Numbers of the first n places under a key; those of the last few keys are kept by the worker."""
+    have = _places.get(key)
+    if have is None or len(have) < n:
+        size = n if n > KEPT else 1 << max(10, (n - 1).bit_length())
+        have = mix(mix(np.arange(size, dtype=np.uint64) * np.uint64(BASE) + np.uint64(key)) ^ np.uint64(key * 0xD6E8FEB86659FD93 % (1 << 64)))
+        if n <= KEPT:
+            while len(_places) >= 4:
+                _places.pop(next(iter(_places)))
+            _places[key] = have
+    return have
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, key: int = 0, streams: int = 1) -> list[np.ndarray]:
+    """64-bit hashes of each span of these bytes; those of different streams are independent."""
     if not len(start):
-        return [np.zeros(0, np.uint64) for _ in seeds]
+        return [np.zeros(0, np.uint64) for _ in range(streams)]
     first, eights, number = _eights(raw, start, end)
-    places = number.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-    eights *= np.uint64(0xE7037ED1A0B428DB)
+    most = int(number.max()) + 2
     sizes = (end - start).astype(np.uint64)
     out = []
-    for seed in seeds:
-        salt = np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))
-        out.append(mix(np.add.reduceat(mix(eights + places + salt), first) + sizes + salt))
+    for stream in range(streams):
+        places = _of_places((key + stream * 0x9FB21C651E98DF25) % (1 << 63), most)
+        # place 0 is the length's
+        out.append(mix(np.add.reduceat(mix(eights + places[number + 1]), first) + mix(sizes + places[0])))
     return out

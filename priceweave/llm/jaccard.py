@@ -19,7 +19,7 @@ Defined results
 - fewer than n words: the whole sequence is the only shingle.
 - repeated rows: each has a row of the result; rows of one id with different texts are judged each by its own text.
   Null doc_id: a row with a null component, linked with nothing. Extra columns are ignored. Empty tables: no rows.
-- words, shingles and sets are told apart by 64-bit hashes without structural collisions.
+- words, shingles and sets are told apart by 64-bit hashes under a key that each run draws.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from .common import SLICE_BYTES, cut, read, slices, table, utf8
-from .hashing import mix, span_hashes
+from .hashing import draw, mix, span_hashes
 
 #: Shingles that a cell holds (a single larger set is a cell of its own with its centre).
 CHUNK_SHINGLES = 250_000
@@ -53,7 +53,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MULTIPLIERS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
-def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def words_of(column: pa.Array, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, the text that it is in) of lower-cased texts split at ASCII white space."""
     raw, offsets = utf8(column)
     n = len(offsets) - 1
@@ -64,12 +64,12 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(np.r_[False, inside, False].astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     text = np.searchsorted(offsets[1:] + np.arange(1, n + 1), start, side="right")
-    return span_hashes(gap, start, end)[0], text
+    return span_hashes(gap, start, end, key)[0], text
 
 
-def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
+def shingle_sets(column: pa.Array, n: int, key: int = 0) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's shingles."""
-    words, text = words_of(column)
+    words, text = words_of(column, key)
     edges = np.searchsorted(text, np.arange(len(column) + 1))
     out = []
     full = np.zeros(0, np.uint64)
@@ -268,10 +268,10 @@ class SignatureTree:
             self.parent[self.find(i)] = self.find(j)
 
 
-def tree_links(cells: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def tree_links(cells: DataFrame, docs: DataFrame, n: int, percent: int, key: int) -> DataFrame:
     """a, b (prints) of the links that the trees of cells (cell, doc, print, class) find. The sets are made from the
     texts where these are read, and shuffled once, to their cells."""
-    there = _sets(docs, cells, n).repartition(F.col("cell")).sortWithinPartitions("cell", "print")
+    there = _sets(docs, cells, n, key).repartition(F.col("cell")).sortWithinPartitions("cell", "print")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, prints, classes, held = None, [], [], []
@@ -307,7 +307,7 @@ def tree_links(cells: DataFrame, docs: DataFrame, n: int, percent: int) -> DataF
     return there.mapInArrow(run, "a long, b long")
 
 
-def _sizes(docs: DataFrame, n: int) -> DataFrame:
+def _sizes(docs: DataFrame, n: int, key: int) -> DataFrame:
     """doc_id, mark, print, n_shingles of each row of docs (doc_id, text, mark); besides, for each task, rows of its
     sketch: part, cells (compressed counts of documents)."""
     names = ["doc_id", "mark", "print", "n_shingles", "part", "cells"]
@@ -317,7 +317,7 @@ def _sizes(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CELL_BITS, np.uint32)
         for batch in slices(batches, 4000, SLICE_BYTES):
-            sets = shingle_sets(batch["text"], n)
+            sets = shingle_sets(batch["text"], n, key)
             if sets:
                 np.add.at(counts, Heat.cell(np.concatenate(sets)), np.uint32(1))
             nothing = [pa.nulls(batch.num_rows, t) for t in types[4:]]
@@ -348,16 +348,16 @@ def _heat(rows: DataFrame) -> Heat:
     return Heat(levels.ravel(), total)
 
 
-def _meetings(docs: DataFrame, n: int, percent: int, heat: Heat) -> DataFrame:
+def _meetings(docs: DataFrame, n: int, percent: int, heat: Heat, key: int) -> DataFrame:
     """key, center, print: the sets that share a key with a smaller one, and the smallest one of the key."""
     sent = docs.sparkSession.sparkContext.broadcast(heat)
 
     def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4000, SLICE_BYTES):
-            sets = shingle_sets(batch["text"], n)
+            sets = shingle_sets(batch["text"], n, key)
             prints, first = np.unique(fingerprints(sets), return_index=True)
-            for rows, key in part_keys([sets[i] for i in first], percent, sent.value):
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(prints[rows])], names=["key", "print"])
+            for rows, keys_ in part_keys([sets[i] for i in first], percent, sent.value):
+                yield pa.RecordBatch.from_arrays([pa.array(keys_), pa.array(prints[rows])], names=["key", "print"])
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = last_center = last_print = None
@@ -403,12 +403,12 @@ def _mixed(met: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(open_, "key", "left_semi")
 
 
-def jaccard_links(docs: DataFrame, lead: DataFrame, heat: Heat, n: int, percent: int) -> DataFrame:
+def jaccard_links(docs: DataFrame, lead: DataFrame, heat: Heat, n: int, percent: int, key: int) -> DataFrame:
     """a, b (prints): links that connect what links connect. docs: doc_id, text, without null ids; lead: print, doc, size."""
-    met = table(_meetings(docs, n, percent, heat))
+    met = table(_meetings(docs, n, percent, heat, key))
     # each set with its smallest center
     first = cut(_buckets(met.groupBy("print").agg(F.min("center").alias("center")), lead))
-    links = cut(tree_links(first, docs, n, percent))
+    links = cut(tree_links(first, docs, n, percent, key))
     # keys that are not done: of several components, and not all of their sets with this center in its only cell
     with_center = first.where(F.col("cells") == 1).select(F.col("bucket").alias("center"), "print").distinct().withColumn("there", F.lit(True))
     mixed = _mixed(met, components(links)).join(with_center, ["center", "print"], "left")
@@ -417,7 +417,7 @@ def jaccard_links(docs: DataFrame, lead: DataFrame, heat: Heat, n: int, percent:
     if not mixed.limit(1).count():
         return links
     second = cut(_buckets(mixed.select("center", "print"), lead))
-    links = cut(links.unionByName(tree_links(second, docs, n, percent)))
+    links = cut(links.unionByName(tree_links(second, docs, n, percent, key)))
     # centers of several cells: what was dealt apart and is of different components still
     several = second.where(F.col("cells") > 1).select(F.col("bucket").alias("center")).distinct()
     apart = mixed.join(several, "center", "left_semi")
@@ -425,7 +425,7 @@ def jaccard_links(docs: DataFrame, lead: DataFrame, heat: Heat, n: int, percent:
         return links
     apart = _mixed(apart, components(links)).select(F.col("center").alias("bucket"), "print", "class").distinct()
     apart = cut(_by_class(apart.join(lead, "print")))
-    return links.unionByName(cut(tree_links(_chunk_pairs(apart), docs, n, percent)))
+    return links.unionByName(cut(tree_links(_chunk_pairs(apart), docs, n, percent, key)))
 
 
 def _by_class(members: DataFrame) -> DataFrame:
@@ -447,11 +447,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
 def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """jaccard_components and mark, a hash of the row's text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
-    made = cut(_sizes(docs, n))
+    key = draw()
+    made = cut(_sizes(docs, n, key))
     rows = made.where(F.col("part").isNull())
     known = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     lead = cut(known.groupBy("print").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("size")))
-    links = jaccard_links(docs.where(F.col("doc_id").isNotNull()), lead, _heat(made), n, percent)
+    links = jaccard_links(docs.where(F.col("doc_id").isNotNull()), lead, _heat(made), n, percent, key)
     classes = cut(components(links))
     least = classes.join(lead, classes["node"] == lead["print"]).groupBy("component").agg(F.min("doc").alias("component_id"))
     named = classes.join(least, "component").select("node", "component_id")
@@ -471,7 +472,7 @@ def _chunk_pairs(dealt: DataFrame) -> DataFrame:
     return sides.join(dealt, ["bucket", "chunk"]).select("cell", "doc", "print", "class")
 
 
-def _sets(docs: DataFrame, cells: DataFrame, n: int) -> DataFrame:
+def _sets(docs: DataFrame, cells: DataFrame, n: int, key: int) -> DataFrame:
     """cells (cell, doc, print, class) with the shingles of each set."""
     cells = cut(cells.select("cell", "doc", "print", "class"))
     if cells.count() <= BROADCAST_DOCS:
@@ -497,7 +498,7 @@ def _sets(docs: DataFrame, cells: DataFrame, n: int) -> DataFrame:
                 at = np.repeat(np.arange(len(sizes)), sizes)
                 place = np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
                 cell, print_, cls = (c[place] for c in columns)
-            sets = shingle_sets(batch["text"], n)
+            sets = shingle_sets(batch["text"], n, key)
             # rows of one id can have different texts
             right = np.flatnonzero(fingerprints(sets)[at] == print_)
             shingles = pa.array([sets[i].view(np.int64) for i in at[right]], pa.list_(pa.int64()))

@@ -18,7 +18,7 @@ Defined results
 - repeated rows and ties: rows of one doc_id are one place, so an equal line at the same number stays in all of them;
   null ids are one place before all others. Extra columns are kept; in dedup_lines
   those with a result's name give way. Empty tables: no rows.
-- lines are told apart by 128-bit hashes without structural collisions.
+- lines are told apart by 128-bit hashes under a key that each run draws.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from ..operators.graph import components
 from .common import SLICE_BYTES, cut, read, shielded, slices, table, utf8, without
-from .hashing import Rolling, mix, span_hashes
+from .hashing import Rolling, draw, mix, span_hashes
 
 THRESHOLD, MIN_CHARS = 2, 20
 #: Candidate lines up to which their ids are sent to every task to pick their texts; beyond, texts are joined by a shuffle.
@@ -46,7 +46,7 @@ NULL_ID = -(1 << 63)
 class Lines:
     """The lines of some texts (an Arrow column), with an end of line behind each text; short ones left out."""
 
-    def __init__(self, column: pa.Array, min_chars: int):
+    def __init__(self, column: pa.Array, min_chars: int, key: int = 0):
         raw, offsets = utf8(column)
         n = len(offsets) - 1
         self.raw = np.full(len(raw) + n, 10, np.uint8)
@@ -61,7 +61,7 @@ class Lines:
         else:
             keep = np.flatnonzero(end > start)
         self.text, self.number, self.first_byte, self.end_byte = text[keep], number[keep], start[keep], end[keep]
-        self.id, self.check = span_hashes(self.raw, self.first_byte, self.end_byte, (1, 2))
+        self.id, self.check = span_hashes(self.raw, self.first_byte, self.end_byte, key, 2)
 
     def __len__(self) -> int:
         return len(self.id)
@@ -164,7 +164,7 @@ def within(a: str, b: str, t: int) -> bool:
     return bool(state[t] >> (len(a) - len(b) + t) & 1)
 
 
-def _line_pass(docs: DataFrame, make, schema: str, min_chars: int) -> DataFrame:
+def _line_pass(docs: DataFrame, make, schema: str, min_chars: int, key: int) -> DataFrame:
     """What make, called for each task, makes of the batches' lines."""
     kinds = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
     types = [(f.name, kinds[f.dataType.simpleString()]) for f in T._parse_datatype_string(schema)]
@@ -172,13 +172,13 @@ def _line_pass(docs: DataFrame, make, schema: str, min_chars: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = make()
         for batch in slices(batches, 4000, SLICE_BYTES):
-            for columns in made(batch, Lines(batch["text"], min_chars)):
+            for columns in made(batch, Lines(batch["text"], min_chars, key)):
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t) in zip(columns, types)], names=[n for n, _ in types])
 
     return docs.mapInArrow(run, schema)
 
 
-def places(docs: DataFrame, min_chars: int) -> DataFrame:
+def places(docs: DataFrame, min_chars: int, key: int) -> DataFrame:
     """line, doc, number of every line that may go."""
 
     def make():
@@ -187,10 +187,10 @@ def places(docs: DataFrame, min_chars: int) -> DataFrame:
 
         return places_of
 
-    return _line_pass(docs, make, "line binary, doc long, number long", min_chars)
+    return _line_pass(docs, make, "line binary, doc long, number long", min_chars, key)
 
 
-def entries(docs: DataFrame, t: int, min_chars: int) -> DataFrame:
+def entries(docs: DataFrame, t: int, min_chars: int, key: int) -> DataFrame:
     """key, id, sign, own: the entries of all lines; own ones are the index. A line that a task met repeatedly gives its
     entries once from then on."""
 
@@ -207,15 +207,15 @@ def entries(docs: DataFrame, t: int, min_chars: int) -> DataFrame:
                 met = np.union1d(met, ids[counts > 1])
             lines.spread()
             sign, id_ = lines.signature(), lines.id.view(np.int64)
-            for own, rows, key in keys(lines, t):
-                yield key, id_[rows], sign[rows], np.full(len(rows), own)
+            for own, rows, of_rows in keys(lines, t):
+                yield of_rows, id_[rows], sign[rows], np.full(len(rows), own)
 
         return entries_of
 
-    return _line_pass(docs, make, "key long, id long, sign long, own boolean", min_chars)
+    return _line_pass(docs, make, "key long, id long, sign long, own boolean", min_chars, key)
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
+def _texts(docs: DataFrame, wanted: DataFrame, min_chars: int, key: int) -> DataFrame:
     """id, line, line_text of the lines with the ids wanted."""
     schema = "id long, line binary, line_text string"
     sent = None
@@ -232,7 +232,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
 
         return texts_of
 
-    found = _line_pass(docs, make, schema, min_chars)
+    found = _line_pass(docs, make, schema, min_chars, key)
     found = found if sent is not None else found.join(wanted, "id", "left_semi")
     return found.groupBy("id", "line").agg(F.min("line_text").alias("line_text"))
 
@@ -254,20 +254,21 @@ def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def near_links(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def near_links(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS, key: int | None = None) -> DataFrame:
     """a, b (lines): links within t edits that connect what all such links connect."""
+    key = draw() if key is None else key
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 2 * t
-    key = Window.partitionBy("key")
+    of_key = Window.partitionBy("key")
     own = F.when(F.col("own"), F.struct("id", "sign"))
-    dealt = entries(docs, t, min_chars).repartition(F.col("key"))
-    dealt = dealt.withColumn("lead", F.min(own).over(key)).withColumn("last", F.max(own).over(key))
+    dealt = entries(docs, t, min_chars, key).repartition(F.col("key"))
+    dealt = dealt.withColumn("lead", F.min(own).over(of_key)).withColumn("last", F.max(own).over(of_key))
     many = F.col("lead.id") != F.col("last.id")
     led = (F.col("id") != F.col("lead.id")) & near("sign", "lead.sign")
     met = table(dealt.where(many | led).select("key", "id", "sign", "own", F.col("lead.id").alias("lead"), many.alias("many"), led.alias("led")))
     rest = met.where("many").select("key", "id", "sign", "own").distinct()
     pairs = cut(_pairs(met.where("led"), "id", "lead"))
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(rest.select("id")).distinct()
-    texts = cut(_texts(docs, cut(wanted), min_chars))
+    texts = cut(_texts(docs, cut(wanted), min_chars, key))
     links = cut(_verified(pairs, texts, t))
     # keys of several index entries that are of several components still
     classes = components(links)
@@ -284,12 +285,13 @@ def dedup_lines(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS,
     """docs with the repeated lines gone, and n_lines, n_removed. exact_chars: from this length on lines go that equal a
     line before; min_chars if not given."""
     exact_chars = min_chars if exact_chars is None else exact_chars
+    key = draw()
     docs = without(docs, ("n_lines", "n_removed"))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), "text")
-    where = places(keyed, min(exact_chars, min_chars))
+    where = places(keyed, min(exact_chars, min_chars), key)
     # first place of each line; partial minima before the shuffle keep a hot line small
     first = where.groupBy("line").agg(F.min(F.struct("doc", "number")).alias("first"), F.count("*").alias("n"))
-    classes = cut(components(near_links(keyed, t, min_chars)))
+    classes = cut(components(near_links(keyed, t, min_chars, key)))
     grouped = first.join(classes.toDF("line", "class"), "line").groupBy("class").agg(F.min("first").alias("class_first"))
     of_line = classes.toDF("line", "class").join(grouped, "class").select("line", "class_first")
     first = first.join(of_line, "line", "left").where((F.col("n") > 1) | F.col("class_first").isNotNull())
@@ -308,7 +310,7 @@ def dedup_lines(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS,
             total = [t.count("\n") + 1 if t else 0 for t in texts]
             removed = [0] * len(texts)
             hit = [i for i, t in enumerate(texts) if t and gone_of[i]]
-            there = Lines(batch["text"].take(pa.array(hit, pa.int64())), min(exact_chars, min_chars))
+            there = Lines(batch["text"].take(pa.array(hit, pa.int64())), min(exact_chars, min_chars), key)
             known = dict(zip(zip(there.text.tolist(), there.number.tolist()), there.names().to_pylist()))
             for place, i in enumerate(hit):
                 drop = {g["number"] for g in gone_of[i] if known.get((place, g["number"])) == g["line"]}

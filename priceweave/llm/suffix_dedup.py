@@ -16,10 +16,10 @@ their bytes, in a grouped minimum.
 Defined results
 - null or empty text: no bytes, nothing removed. Texts under `length` bytes: nothing removed.
 - order is (doc_id, start); null ids come first, told apart and ordered by 60 bits of a hash of their texts (ids under
-  NULL_ID + NULL_TEXTS stand among them). Repeated rows of an id, or of a text without id, are one place, so none removes
-  the other; an id is taken to have one text.
-- empty tables: no rows. Extra columns are ignored. Segments of one anchor are told apart by 64-bit hashes without
-  structural collisions; anchors may share a hash.
+  NULL_ID + NULL_TEXTS stand among them). Different texts of one id, 2^22 at most, follow each other by a hash as parts of
+  one document. Rows of one id and text are one place, so none removes the other.
+- empty tables: no rows. Extra columns are ignored. Segments of one anchor are told apart by 64-bit hashes under a key
+  that each run draws; anchors may share a hash.
 """
 
 from __future__ import annotations
@@ -28,11 +28,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, cut, read, slices, table, utf8
-from .hashing import Rolling, mix, span_hashes
+from .hashing import Rolling, draw, mix, span_hashes
 
 LENGTH, GRAM = 100, 32
 #: Windows that are looked at together.
@@ -47,6 +47,8 @@ PLACE_BITS = 10
 NULL_ID = -(1 << 63)
 #: Keys that texts without an id have, from NULL_ID on.
 NULL_TEXTS = 1 << 60
+#: Bits of a start in its text; those above number the different texts of one id.
+START_BITS = 31
 
 
 def sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
@@ -66,13 +68,13 @@ class Segments:
 
     Long texts are taken in pieces of PIECE windows; a segment that a piece's end cuts is two segments of its anchor."""
 
-    def __init__(self, column: pa.Array, length: int = LENGTH, gram: int = GRAM):
+    def __init__(self, column: pa.Array, length: int = LENGTH, gram: int = GRAM, key: int = 0):
         raw, offsets = utf8(column)
         found = []
         for low in range(0, max(len(raw) - length + 1, 0), PIECE):
             high = min(low + PIECE + length - 1, len(raw))
             first, last = np.searchsorted(offsets, low, side="right") - 1, np.searchsorted(offsets, high)
-            found.append(self._of(raw[low:high], np.clip(offsets[first : last + 1] - low, 0, high - low), length, gram))
+            found.append(self._of(raw[low:high], np.clip(offsets[first : last + 1] - low, 0, high - low), length, gram, key))
             text, start = found[-1][:2]
             text += first
             start += np.maximum(low - offsets[text], 0)
@@ -80,7 +82,7 @@ class Segments:
         self.text, self.start, self.windows, self.anchor, self.content = (np.concatenate(c) for c in columns)
 
     @staticmethod
-    def _of(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> list[np.ndarray]:
+    def _of(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int, key: int) -> list[np.ndarray]:
         counts = np.maximum(np.diff(offsets) - length + 1, 0)
         if not counts.any():
             return [np.zeros(0, np.int64) for _ in range(5)]
@@ -97,7 +99,7 @@ class Segments:
         first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])
         windows = np.diff(np.r_[first, len(text)])
         begin = window[first]
-        content = span_hashes(raw, begin, begin + windows + length - 1)[0]
+        content = span_hashes(raw, begin, begin + windows + length - 1, key)[0]
         return [text[first], place[first], windows, grams[anchor[first]].view(np.int64), content.view(np.int64)]
 
 
@@ -215,14 +217,15 @@ def _member(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc, start, end (bytes) of what goes; spans can touch or overlap. docs: doc, text."""
+    """doc, start, end (bytes) of what goes; spans can touch or overlap. docs: doc, number (of the text), text; starts and
+    ends have the number in their high bits."""
     if not gram <= length <= gram + (1 << PLACE_BITS) - 2:
         raise ValueError("length must be from gram to gram + 1022")
-    context = docs.sparkSession.sparkContext
+    context, key = docs.sparkSession.sparkContext, draw()
 
     def anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4000, SLICE_BYTES):
-            s = Segments(batch["text"], length, gram)
+            s = Segments(batch["text"], length, gram, key)
             if not len(s.anchor):
                 continue
             # one row for each anchor and text of this slice
@@ -238,10 +241,11 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
 
     def segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4000, SLICE_BYTES):
-            s = Segments(batch["text"], length, gram)
+            s = Segments(batch["text"], length, gram, key)
             keep = np.flatnonzero(_member(sent.value, s.anchor)) if sent is not None else np.arange(len(s.anchor))
             doc = batch["doc"].to_numpy()[s.text[keep]]
-            yield _batch("anchor content doc place", s.anchor[keep], s.content[keep], doc, s.start[keep] << PLACE_BITS | s.windows[keep])
+            begin = batch["number"].to_numpy()[s.text[keep]] << START_BITS | s.start[keep]
+            yield _batch("anchor content doc place", s.anchor[keep], s.content[keep], doc, begin << PLACE_BITS | s.windows[keep])
 
     found = docs.mapInArrow(segments, "anchor long, content long, doc long, place long")
     found = table(found if few else found.join(repeated.select("anchor"), "anchor"))
@@ -296,13 +300,13 @@ def _strings(docs: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
     schema = "anchor long, deal long, wide boolean, doc long, start long, bytes binary"
 
     def rows(texts, doc_rows, anchor, deal, wide, doc, start, windows):
-        parts = [texts[r][s : s + w + length - 1] for r, s, w in zip(doc_rows, start.tolist(), windows.tolist())]
+        parts = [texts[r][s : s + w + length - 1] for r, s, w in zip(doc_rows, (start & ((1 << START_BITS) - 1)).tolist(), windows.tolist())]
         return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(deal.astype(np.int64)), pa.array(wide), pa.array(doc), pa.array(start.astype(np.int64)), pa.array(parts, pa.binary())], names=["anchor", "deal", "wide", "doc", "start", "bytes"])
 
     if mixed.count() <= BROADCAST_ROWS:
         rows_ = mixed.toArrow()  # a checked number
         order = np.argsort(rows_["doc"].to_numpy(), kind="stable")
-        kinds = {"anchor": np.int64, "deal": np.int32, "wide": bool, "doc": np.int64, "start": np.int32, "windows": np.int16}
+        kinds = {"anchor": np.int64, "deal": np.int32, "wide": bool, "doc": np.int64, "start": np.int64, "windows": np.int16}
         sent = docs.sparkSession.sparkContext.broadcast([rows_[c].to_numpy()[order].astype(k) for c, k in kinds.items()])
         del rows_
 
@@ -316,21 +320,45 @@ def _strings(docs: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
                     texts = {int(i): (batch["text"][int(i)].as_py() or "").encode() for i in hit}
                     of = np.repeat(hit, (high - low)[hit])
                     at = np.concatenate([np.arange(low[i], high[i]) for i in hit])
+                    right = columns[4][at] >> START_BITS == batch["number"].to_numpy()[of]
+                    of, at = of[right], at[right]
                     yield rows(texts, of.tolist(), *(c[at] for c in columns))
 
         return docs.mapInArrow(pick, schema)
 
-    joined = docs.join(mixed.groupBy("doc").agg(F.collect_list(F.struct("anchor", "deal", "wide", "start", "windows")).alias("found")), "doc")
-    piece = F.expr(f"substring(encode(text, 'UTF-8'), int(x.start + 1), int(x.windows + {length - 1}))")
+    number = F.shiftright("start", START_BITS).alias("number")
+    joined = docs.join(mixed.groupBy("doc", number).agg(F.collect_list(F.struct("anchor", "deal", "wide", "start", "windows")).alias("found")), ["doc", "number"])
+    piece = F.expr(f"substring(encode(text, 'UTF-8'), int(x.start % {1 << START_BITS} + 1), int(x.windows + {length - 1}))")
     return joined.select("doc", "text", F.explode("found").alias("x")).select("x.anchor", "x.deal", "x.wide", "doc", "x.start", piece.alias("bytes"))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, doc, text) with a number for each different text of a doc, by a hash; 0 where there is one."""
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    marked = docs.select("doc", mark.alias("mark"))
+    several = marked.groupBy("doc").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where(F.col("low") != F.col("high")).select("doc")
+    several = cut(several)
+    many = several.count()
+    if not many:
+        return docs.withColumn("number", F.lit(0).cast("long"))
+    # only ids of several texts, and no texts
+    named = marked.join(F.broadcast(several) if many <= BROADCAST_ROWS // 10 else several, "doc").distinct()
+    number = F.row_number().over(Window.partitionBy("doc").orderBy("mark")).cast("long") - 1
+    number = F.when(number < 1 << 22, number).otherwise(F.raise_error(F.lit("an id has over 2^22 different texts")).cast("long"))
+    named = cut(named.select("doc", "mark", number.alias("number")))
+    if named.count() <= BROADCAST_ROWS // 10:
+        named = F.broadcast(named)
+    return docs.withColumn("mark", mark).join(named, ["doc", "mark"], "left").select("doc_id", "doc", "text", F.coalesce("number", F.lit(0)).cast("long").alias("number"))
+
+
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, removed (array of merged spans, bytes), kept (binary) of each row of docs."""
     unnamed = F.lit(NULL_ID) + F.pmod(F.xxhash64("text"), F.lit(NULL_TEXTS))
-    docs = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), unnamed).alias("doc"), "text")
-    spans = removed_spans(docs.select("doc", "text"), length, gram)
-    per_doc = cut(spans.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")))
+    docs = _numbered(docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), unnamed).alias("doc"), "text"))
+    spans = removed_spans(docs.select("doc", "number", "text"), length, gram)
+    base = F.col("start") - F.col("start") % (1 << START_BITS)
+    local = F.struct((F.col("start") - base).alias("start"), (F.col("end") - base).alias("end"))
+    per_doc = cut(spans.groupBy("doc", F.shiftright("start", START_BITS).alias("number")).agg(F.array_sort(F.collect_set(local)).alias("spans")))
     names = "doc_id n_bytes removed kept".split()
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -367,9 +395,9 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             for batch in batches:
                 yield batch.filter(pa.array(_member(ids.value, batch["doc"].to_numpy())))
 
-        hit = docs.mapInArrow(chosen, docs.schema).join(per_doc, "doc").mapInArrow(keep, schema)
+        hit = docs.mapInArrow(chosen, docs.schema).join(per_doc, ["doc", "number"], "left").mapInArrow(keep, schema)
         return hit.unionByName(docs.mapInArrow(lambda b: keep(b, ids, False), schema))
-    return docs.join(per_doc, "doc", "left").mapInArrow(keep, schema)
+    return docs.join(per_doc, ["doc", "number"], "left").mapInArrow(keep, schema)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from priceweave.llm import chat_format, decontaminate, extract, jaccard, line_dedup, packing, pii, quality, suffix_dedup, topk
+from priceweave.llm import chat_format, decontaminate, extract, hashing, jaccard, line_dedup, packing, pii, quality, suffix_dedup, topk
 
 from .cases import SCHEMA, awkward, frame
 
@@ -149,6 +149,25 @@ def test_suffix_dedup_long_texts_in_pieces(spark, monkeypatch):
     assert got == plain_removal(awkward())
 
 
+def test_suffix_dedup_tells_texts_of_one_id_apart(spark):
+    r = np.random.default_rng(4)
+    text = lambda n: "".join(r.choice(list("abcdefghij"), n))
+    shared, own = text(150), [text(400) for _ in range(5)]
+    rows = [(7, own[0] + shared), (7, own[1] + shared), (7, own[1] + shared), (7, text(30)), (9, own[2] + shared), (None, own[3] + shared), (None, own[4] + shared), (9, None)]
+    for limit in (suffix_dedup.BROADCAST_ROWS, 0):
+        suffix_dedup_limit, suffix_dedup.BROADCAST_ROWS = suffix_dedup.BROADCAST_ROWS, limit
+        try:
+            got = [(x["doc_id"], bytes(x["kept"]).decode()) for x in suffix_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+        finally:
+            suffix_dedup.BROADCAST_ROWS = suffix_dedup_limit
+        assert len(got) == len(rows)
+        # unique bytes stay, and of the six places of the shared string one stays whole, the copy of a row keeps what it keeps
+        for i, t in rows:
+            kept = [k for j, k in got if j == i and (k[:300] == (t or "")[:300])]
+            assert kept, (i, t)
+        assert len({(j, k) for j, k in got if shared in k}) == 1 and any(j is None and shared in k for j, k in got)
+
+
 # 3
 
 
@@ -234,6 +253,65 @@ def test_jaccard_hot_passages_and_ids_of_two_texts(spark, monkeypatch):
     assert sorted(x["text"] for x in jaccard.keep_first(frame(spark, two)).collect()) == sorted([texts[70], texts[0]])
 
 
+def shifted(shift: int, pick) -> int | None:
+    """A number of eight printable bytes that is so again when shift is added; pick chooses among a byte's values."""
+    out, carry = 0, 0
+    for k in range(8):
+        s = (shift >> 8 * k) & 255
+        good = [b for b in range(33, 127) if 33 <= (b + s + carry) & 255 < 127]
+        if not good:
+            return None
+        b = pick(good)
+        out |= b << 8 * k
+        carry = (b + s + carry) >> 8
+    return out
+
+
+def old_pair() -> tuple[str, str]:
+    """Two printable lines that sums of mixed eights with linear places cannot tell apart, whatever is added to all."""
+    step = 0xA0761D6478BD642F * pow(0xE7037ED1A0B428DB, -1, 1 << 64)
+    for d in range(1, 200):
+        shift = step * d % (1 << 64)
+        x, y = shifted(shift, min), shifted(shift, max)
+        if x is not None and y is not None:
+            fill = [int.from_bytes(b"a filler", "little")] * (d - 1)
+            lines = [[(y + shift) % (1 << 64), *fill, x], [(x + shift) % (1 << 64), *fill, y]]
+            return tuple(b"".join(e.to_bytes(8, "little") for e in line).decode() for line in lines)
+    raise AssertionError("no pair")
+
+
+def swapped_pair(key: int):
+    """Two byte strings that the hash of a known key cannot tell apart."""
+    places = hashing._of_places(key, 8)
+    gap = int(places[2]) - int(places[1])
+    a = [5, 77]
+    b = [(a[1] + gap) % (1 << 64), (a[0] - gap) % (1 << 64)]
+    return tuple(b"".join(x.to_bytes(8, "little") for x in y) for y in (a, b))
+
+
+def test_span_hashes_depend_on_a_drawn_key():
+    hashes = lambda pair, key, n: [span.tolist() for span in hashing.span_hashes(np.frombuffer(b"".join(pair), np.uint8), np.array([0, len(pair[0])]), np.array([len(pair[0]), 2 * len(pair[0])]), key, n)]
+    known = swapped_pair(123)
+    one, two = hashes(known, 123, 2)
+    assert one[0] == one[1] and two[0] != two[1]  # made for the first stream of this key only
+    for key in [hashing.draw() for _ in range(20)]:
+        assert all(a != b for a, b in hashes(known, key, 2))
+    assert len({hashing.draw() for _ in range(50)}) == 50
+
+
+def test_lines_words_and_segments_of_old_collisions(spark):
+    pair = old_pair()
+    assert len(pair[0]) == len(pair[1]) and sum(a != b for a, b in zip(*pair)) > 10
+    docs = spark.createDataFrame([(1, pair[0]), (2, pair[1])], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs, exact_chars=1).collect()} == {1: pair[0], 2: pair[1]}
+    assert {r["component_id"] for r in jaccard.jaccard_components(docs).collect()} == {1, 2}
+    # segments of one anchor: what the lines share stands before and behind what differs
+    head = "the same words stand before both of the strings " * 2
+    rows = [(1, head + pair[0] + head), (2, head + pair[1] + head)]
+    got = {r["doc_id"]: (r["n_bytes"], bytes(r["kept"])) for r in suffix_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_removal(rows)
+
+
 def test_words_of_equal_polynomials_differ():
     """A word of 1,024 letters and its complement: polynomials modulo 2^64 take them for equal."""
     bits = [bin(i).count("1") % 2 for i in range(1024)]
