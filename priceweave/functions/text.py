@@ -116,4 +116,7 @@ def column_letters(n: Column) -> Column:
 
 def natural_order(c: Column) -> Column:
     """A key that orders by letters without case or marks, numbers by value."""
-    return F.regexp_replace(F.regexp_replace(name_text(c), r"(\d+)", "00000000000$1"), r"0*(\d{12})(?!\d)", "$1")
+    parts = F.regexp_extract_all(name_text(c), F.lit(r"(\d+|\D+)"))
+    # a number of more digits is greater, so their count comes first
+    value = lambda x: F.regexp_replace(x, r"^0+(?=\d)", "")
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.concat(F.lpad(F.length(value(x)).cast("string"), 4, "0"), value(x))).otherwise(x)), "")

@@ -11,14 +11,15 @@ from .matching import shortlist
 
 
 def checked_catalogue(rows: DataFrame, product: str, price: str, page: str) -> DataFrame:
-    """rows, white space collapsed, with discarded: NO_DESCRIPTION, NO_PRICE, DUPLICATE (equal but for the page and case
-    to an earlier row), NO_PAGE; NULL where the row stays. row: the order of the rows.
+    """rows, white space collapsed, with discarded: NO_DESCRIPTION, NO_PRICE (not a price in Italian form; 0 is one),
+    DUPLICATE (equal but for the page and case to an earlier row), NO_PAGE; NULL where the row stays. row: their order.
 
     First occurrences are a grouped minimum, not a sort; rows turned down for text or price take no part in it."""
     others = [c for c in rows.columns if c != "row"]
     clean = rows.select("row", *[F.coalesce(F.trim(F.regexp_replace(F.col(c).cast("string"), r"\s+", " ")), F.lit("")).alias(c) for c in others])
-    value = F.regexp_replace(F.regexp_replace(F.col(price), r"\.(?=\d{3}(\D|$))", ""), ",", ".").try_cast("decimal(18,4)")
-    first = F.when(F.col(product) == "", "NO_DESCRIPTION").when(~F.coalesce(value > 0, F.lit(False)), "NO_PRICE")
+    # points part thousands only, a comma starts the decimals; spaces of any kind inside don't count
+    priced = F.regexp_replace(F.col(price), r"[ \u00a0]", "").rlike(r"^([0-9]{1,3}(\.[0-9]{3})+|[0-9]+)(,[0-9]+)?$")
+    first = F.when(F.col(product) == "", "NO_DESCRIPTION").when(~priced, "NO_PRICE")
     clean = clean.withColumn("discarded", first)
     key = F.sha2(F.concat_ws("\x1f", *[F.lower(c) for c in others if c != page]), 256)
     taking = clean.where("discarded is null").groupBy(key.alias("__key")).agg(F.min("row").alias("__first"))

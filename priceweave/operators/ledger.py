@@ -132,16 +132,22 @@ def order_totals(lines: DataFrame) -> DataFrame:
     return lines.groupBy("supplier").agg(F.count("*").alias("n_lines"), F.round(F.sum("amount"), 2).alias("total"))
 
 
-def record_plan(history: DataFrame, plan: DataFrame, run_id: str) -> DataFrame:
-    """history after a plan: its orders are pending, answered ones stay as they are, and pending ones of the same run
-    that the plan no longer holds go. Both: order_id, run_id, supplier, status, total."""
-    old, new = history.alias("h"), plan.alias("p")
+def record_plan(history: DataFrame, plan: DataFrame, run_id: str, delivered: DataFrame | None = None) -> DataFrame:
+    """history after a plan. Orders of the delivered suppliers (column supplier; those of the plan if not given) are
+    recorded: new ones are pending, known ones take the plan's values and keep their moment and state. Of these suppliers,
+    pending orders of the same run that are not recorded go, as the new ones replace them; other suppliers' orders stay,
+    whether the plan holds them or not. Suppliers are compared without case.
+
+    Both: order_id, run_id, supplier, status, total, created_at."""
+    name = lambda c: F.lower(F.trim(c))
+    sent = (plan if delivered is None else delivered).select(name(F.col("supplier")).alias("__sent")).where("__sent <> ''").distinct()
+    new = plan.join(sent, name(F.col("supplier")) == F.col("__sent"), "left_semi").alias("p")
+    old = history.join(sent, name(F.col("supplier")) == F.col("__sent"), "left").alias("h")
     joined = old.join(new, F.col("h.order_id") == F.col("p.order_id"), "full")
-    answered = F.col("h.status").isNotNull() & (F.col("h.status") != "pending")
-    superseded = F.col("p.order_id").isNull() & (F.col("h.run_id") == run_id) & ~answered
-    take = lambda c: F.when(answered, F.col(f"h.{c}")).otherwise(F.coalesce(f"p.{c}", f"h.{c}")).alias(c)
-    status = F.when(answered, F.col("h.status")).otherwise("pending").alias("status")
-    return joined.where(~F.coalesce(superseded, F.lit(False))).select(take("order_id"), take("run_id"), take("supplier"), status, take("total"))
+    replaced = F.col("p.order_id").isNull() & (F.col("h.run_id") == run_id) & (F.col("h.status") == "pending") & F.col("h.__sent").isNotNull()
+    take = lambda c: F.coalesce(f"p.{c}", f"h.{c}").alias(c)
+    kept = joined.where(~F.coalesce(replaced, F.lit(False)))
+    return kept.select(take("order_id"), take("run_id"), take("supplier"), F.coalesce("h.status", F.lit("pending")).alias("status"), take("total"), F.coalesce("h.created_at", "p.created_at").alias("created_at"))
 
 
 def answered_status(status: Column, received: Column) -> Column:
@@ -150,12 +156,14 @@ def answered_status(status: Column, received: Column) -> Column:
 
 
 def closed_status(status: Column) -> Column:
-    return F.when(status.isin("pending", "expired"), "closed").otherwise(status)
+    """Closed as never to arrive, whatever the state was; NULL stays NULL."""
+    return F.when(status.isNotNull(), F.lit("closed"))
 
 
 def without_compilation(history: DataFrame, order_key: str) -> DataFrame:
-    """history without the orders whose id starts with a key."""
-    return history.where(~F.startswith("order_id", F.lit(order_key)))
+    """history without the orders of a compilation, whose ids are its key, a colon and the supplier; an empty key is none."""
+    key = (order_key or "").strip()
+    return history.where(~F.coalesce(F.startswith("order_id", F.lit(key + ":")), F.lit(False))) if key else history
 
 
 def expired_lately(history: DataFrame, now: Column, days: int = NOTICE_DAYS) -> DataFrame:
@@ -254,15 +262,20 @@ def moment(text: Column) -> Column:
     return F.try_to_timestamp(F.trim(text))
 
 
-def expiry_of(description: Column, pattern: str, now_year: int) -> Column:
-    """struct<text, expires>: a description without its date of expiry (pattern: day, month, year), and that date if its
-    year is from two before to ten after."""
-    part = lambda k: F.regexp_extract(description, pattern, k)
-    year = F.when(F.length(part(3)) == 2, F.concat(F.lit("20"), part(3))).otherwise(part(3))
-    date = F.try_to_date(F.concat_ws("-", year, F.lpad(part(2), 2, "0"), F.lpad(part(1), 2, "0")), "yyyy-MM-dd")
-    fits = F.year(date).between(now_year - 2, now_year + 10)
-    text = F.when(fits, F.trim(F.regexp_replace(F.regexp_replace(description, pattern, " "), r"\s+", " "))).otherwise(description)
-    return F.struct(text.alias("text"), F.when(fits, date).alias("expires"))
+def expiry_of(description: Column, pattern: str, now_year: int | Column, back: int = 2, ahead: int = 10) -> Column:
+    """struct<text, raw, expires, plausible>: a description without its first date of expiry (pattern: day, month, year, in
+    any case), that fragment, its date (NULL where the calendar has none) and whether its year is near. Without a fragment
+    the description stays and the rest is NULL."""
+    any_case = F.lit("(?i)" + pattern)
+    at, raw = F.regexp_instr(description, any_case), F.regexp_substr(description, any_case)
+    part = lambda k: F.regexp_extract(raw, "(?i)" + pattern, k)
+    date = F.try_to_date(F.concat_ws("-", F.lpad(part(3), 4, "0"), F.lpad(part(2), 2, "0"), F.lpad(part(1), 2, "0")), "yyyy-MM-dd")
+    year = now_year if isinstance(now_year, Column) else F.lit(now_year)
+    there = raw.isNotNull()
+    rest = F.concat(F.substring(description, F.lit(1), at - 1), F.substring(description, at + F.char_length(raw), F.char_length(description)))
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    near = F.coalesce(F.year(date).between(year - back, year + ahead), F.lit(False))
+    return F.struct(F.when(there, strip(rest)).otherwise(description).alias("text"), strip(raw).alias("raw"), F.when(there, date).alias("expires"), F.when(there, near).alias("plausible"))
 
 
 def display_names(declared: DataFrame) -> DataFrame:

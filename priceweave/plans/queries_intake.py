@@ -11,11 +11,11 @@ from .tables import SQL_PRICE_LIST, price_list, read
 
 def _catalogue(spark, sf):
     k = F.col("p_partkey")
-    rows = read(spark, sf, "part").select(k.alias("row"), F.when(k % 17 == 0, " ").otherwise(F.concat(F.lit(" "), F.upper("p_name"), F.lit("  "))).alias("product"), F.when(k % 19 == 0, "ask").otherwise(F.concat((k % 7 + 1).cast("string"), F.lit(",50"))).alias("price"), F.when(k % 23 == 0, "0").otherwise((k % 40 + 1).cast("string")).alias("page"))
+    rows = read(spark, sf, "part").select(k.alias("row"), F.when(k % 17 == 0, " ").otherwise(F.concat(F.lit(" "), F.upper("p_name"), F.lit("  "))).alias("product"), F.when(k % 19 == 0, "ask").when(k % 13 == 0, "1.50").when(k % 11 == 0, "0").otherwise(F.concat(F.lit("1."), F.lpad((k % 7).cast("string"), 3, "0"), F.lit(",50"))).alias("price"), F.when(k % 23 == 0, "0").otherwise((k % 40 + 1).cast("string")).alias("page"))
     return intake.checked_catalogue(rows, "product", "price", "page")
 
 
-_CATALOGUE = """WITH r AS (SELECT p_partkey AS row, p_partkey % 17 = 0 AS blank, p_partkey % 19 = 0 AS unpriced, p_name AS name, p_partkey % 7 AS price, CASE WHEN p_partkey % 23 = 0 THEN 0 ELSE p_partkey % 40 + 1 END AS page FROM part),
+_CATALOGUE = """WITH r AS (SELECT p_partkey AS row, p_partkey % 17 = 0 AS blank, p_partkey % 19 = 0 OR p_partkey % 13 = 0 AS unpriced, p_name AS name, CASE WHEN p_partkey % 11 = 0 THEN -1 ELSE p_partkey % 7 END AS price, CASE WHEN p_partkey % 23 = 0 THEN 0 ELSE p_partkey % 40 + 1 END AS page FROM part),
 d AS (SELECT row, page, CASE WHEN blank THEN 'NO_DESCRIPTION' WHEN unpriced THEN 'NO_PRICE' WHEN row <> min(CASE WHEN NOT blank AND NOT unpriced THEN row END) OVER (PARTITION BY blank OR unpriced, name, price) THEN 'DUPLICATE' WHEN page < 1 THEN 'NO_PAGE' END AS discarded FROM r)"""
 
 

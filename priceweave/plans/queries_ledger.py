@@ -132,24 +132,26 @@ def order_history_totals(spark, sf):
     return doubles(ledger.order_totals(price_list(spark, sf).select("supplier", F.col("unit_price_net").cast("decimal(28,4)").alias("amount"))))
 
 
-_PLAN = """h AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_custkey % 2 = 0 THEN 'now' ELSE 'old' END AS run, o_orderpriority AS s, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'received' ELSE 'expired' END AS st, o_totalprice AS t FROM orders WHERE o_orderkey % 3 <> 0),
-p AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, 'now' AS run, o_orderpriority AS s, o_totalprice + 1 AS t FROM orders WHERE o_orderkey % 2 = 0)"""
+_PLAN = """h AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_custkey % 2 = 0 THEN 'now' ELSE 'old' END AS run, o_orderpriority AS s, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'received' ELSE 'expired' END AS st, o_totalprice AS t, o_orderdate AS c FROM orders WHERE o_orderkey % 3 <> 0),
+p AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, 'now' AS run, upper(o_orderpriority) AS s, o_totalprice + 1 AS t, TIMESTAMP '2030-01-01' AS c FROM orders WHERE o_orderkey % 2 = 0 AND o_orderpriority NOT LIKE '5%' AND o_orderpriority NOT LIKE '3%'),
+d AS (SELECT DISTINCT lower(o_orderpriority) AS s FROM orders WHERE o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' OR o_orderpriority LIKE '3%')"""
 
 
-@query(f"""WITH {_PLAN}, j AS (SELECT h.id AS hid, p.id AS pid, h.run AS hrun, p.run AS prun, h.s AS hs, p.s AS ps, h.t AS ht, p.t AS pt, st, coalesce(st <> 'pending', false) AS done FROM h FULL JOIN p ON h.id = p.id)
-SELECT coalesce(hid, pid) AS order_id, CASE WHEN done THEN hrun ELSE coalesce(prun, hrun) END AS run_id, CASE WHEN done THEN hs ELSE coalesce(ps, hs) END AS supplier, CASE WHEN done THEN st ELSE 'pending' END AS status, CASE WHEN done THEN ht ELSE coalesce(pt, ht) END AS total
-FROM j WHERE NOT (pid IS NULL AND hrun = 'now' AND NOT done)""")
+@query(f"""WITH {_PLAN}, known AS (SELECT * FROM p WHERE lower(s) IN (SELECT s FROM d))
+SELECT id AS order_id, run AS run_id, s AS supplier, st AS status, t AS total, c AS created_at FROM h WHERE id NOT IN (SELECT id FROM known) AND NOT (run = 'now' AND st = 'pending' AND lower(s) IN (SELECT s FROM d))
+UNION ALL SELECT k.id, k.run, k.s, coalesce(h.st, 'pending'), k.t, coalesce(h.c, k.c) FROM known k LEFT JOIN h ON h.id = k.id""")
 def recorded_plan(spark, sf):
     o = read(spark, sf, "orders")
     key, s = F.col("o_orderkey").cast("string").alias("order_id"), F.col("o_orderstatus")
     status = F.when(s == "O", "pending").when(s == "F", "received").otherwise("expired")
-    h = o.where("o_orderkey % 3 <> 0").select(key, F.when(F.col("o_custkey") % 2 == 0, "now").otherwise("old").alias("run_id"), F.col("o_orderpriority").alias("supplier"), status.alias("status"), F.col("o_totalprice").alias("total"))
-    p = o.where("o_orderkey % 2 = 0").select(key, F.lit("now").alias("run_id"), F.col("o_orderpriority").alias("supplier"), F.lit("pending").alias("status"), (F.col("o_totalprice") + 1).alias("total"))
-    return ledger.record_plan(h, p, "now")
+    h = o.where("o_orderkey % 3 <> 0").select(key, F.when(F.col("o_custkey") % 2 == 0, "now").otherwise("old").alias("run_id"), F.col("o_orderpriority").alias("supplier"), status.alias("status"), F.col("o_totalprice").alias("total"), F.col("o_orderdate").alias("created_at"))
+    first = F.substring("o_orderpriority", 1, 1)
+    p = o.where(F.col("o_orderkey") % 2 == 0).where(~first.isin("3", "5")).select(key, F.lit("now").alias("run_id"), F.upper("o_orderpriority").alias("supplier"), F.lit("pending").alias("status"), (F.col("o_totalprice") + 1).alias("total"), F.to_timestamp(F.lit("2030-01-01")).cast(o.schema["o_orderdate"].dataType).alias("created_at"))
+    return ledger.record_plan(h, p, "now", o.where(first.isin("1", "2", "3")).select(F.lower("o_orderpriority").alias("supplier")))
 
 
 @query("""WITH s AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'expired' ELSE 'received' END AS st, CASE o_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS yes FROM orders)
-SELECT o_orderkey, CASE WHEN yes THEN 'received' WHEN st = 'expired' THEN 'expired' WHEN NOT yes THEN 'pending' ELSE st END AS answered, CASE WHEN st IN ('pending', 'expired') THEN 'closed' ELSE st END AS closed FROM s""")
+SELECT o_orderkey, CASE WHEN yes THEN 'received' WHEN st = 'expired' THEN 'expired' WHEN NOT yes THEN 'pending' ELSE st END AS answered, 'closed' AS closed FROM s""")
 def order_transitions(spark, sf):
     s, k = F.col("o_orderstatus"), F.col("o_custkey") % 3
     st = F.when(s == "O", "pending").when(s == "F", "expired").otherwise("received")
@@ -157,9 +159,10 @@ def order_transitions(spark, sf):
     return read(spark, sf, "orders").select("o_orderkey", ledger.answered_status(st, yes).alias("answered"), ledger.closed_status(st).alias("closed"))
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS order_id FROM orders WHERE NOT starts_with(CAST(o_orderkey AS VARCHAR), '12')")
+@query("SELECT (o_custkey % 30) || ':' || o_orderkey AS order_id FROM orders WHERE o_custkey % 30 <> 2")
 def removed_compilation(spark, sf):
-    return ledger.without_compilation(read(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("order_id")), "12")
+    ids = F.concat((F.col("o_custkey") % 30).cast("string"), F.lit(":"), F.col("o_orderkey").cast("string"))
+    return ledger.without_compilation(read(spark, sf, "orders").select(ids.alias("order_id")), " 2 ")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderdate > TIMESTAMP '1999-06-01' - INTERVAL 30 DAY AND o_orderdate <= TIMESTAMP '1999-06-01'")
@@ -201,12 +204,17 @@ def parsed_moments(spark, sf):
     return doubles(e.select("event_id", F.date_format(ledger.moment(written), "yyyy-MM-dd HH:mm:ss").alias("at"), price.alias("price")))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 28 + 1 > 28 OR p_size > 40 THEN p_name || ' SCAD. 3/4/77' ELSE p_name END AS text, CASE WHEN p_size <= 40 THEN '2030-04-' || lpad(CAST(p_size % 28 + 1 AS VARCHAR), 2, '0') END AS expires FROM part""")
+@query("""WITH x AS (SELECT p_partkey, p_name, p_size % 4 AS k, CAST(p_size % 28 + 1 AS VARCHAR) AS d, year(current_date) AS y FROM part)
+SELECT p_partkey, p_name || CASE k WHEN 0 THEN '' ELSE ' new' END AS text, CASE k WHEN 1 THEN '<br> Scadenza ' || d || '/4/' || (y + 1) WHEN 2 THEN '<br> Scadenza 3/4/' || (y + 40) WHEN 3 THEN '<br> Scadenza 31/2/' || (y + 1) END AS raw,
+  CASE k WHEN 1 THEN (y + 1) || '-04-' || lpad(d, 2, '0') WHEN 2 THEN (y + 40) || '-04-03' END AS expires, CASE k WHEN 1 THEN true WHEN 0 THEN NULL ELSE false END AS plausible FROM x""")
 def expiry_dates(spark, sf):
-    size = F.col("p_size")
-    text = F.when(size > 40, F.concat("p_name", F.lit(" SCAD. 3/4/77"))).otherwise(F.concat("p_name", F.lit(" SCAD. "), (size % 28 + 1).cast("string"), F.lit("/4/30")))
-    x = read(spark, sf, "part").select("p_partkey", ledger.expiry_of(text, r"SCAD\.?\s*(\d{1,2})/(\d{1,2})/(\d{2,4})", 2026).alias("x"))
-    return x.select("p_partkey", "x.text", F.col("x.expires").cast("string").alias("expires"))
+    k, year = F.col("p_size") % 4, F.year(F.current_date())
+    in_years = lambda n: (year + n).cast("string")
+    date = F.when(k == 1, F.concat((F.col("p_size") % 28 + 1).cast("string"), F.lit("/4/"), in_years(1))).when(k == 2, F.concat(F.lit("3/4/"), in_years(40))).when(k == 3, F.concat(F.lit("31/2/"), in_years(1)))
+    text = F.when(k == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" <br> Scadenza "), date, F.lit(" new")))
+    # the fragment takes the space before it, so what stood behind follows at once
+    x = read(spark, sf, "part").select("p_partkey", ledger.expiry_of(text, r"\s*<br>\s*SCADENZA\s*(\d{1,2})/(\d{1,2})/(\d{2,4})", year).alias("x"))
+    return x.select("p_partkey", "x.text", "x.raw", F.col("x.expires").cast("string").alias("expires"), "x.plausible")
 
 
 @query("""WITH d AS (SELECT p_brand AS supplier, CASE WHEN p_size > 45 THEN p_name END AS name FROM part)
