@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_conditions, queries_intake, queries_ledger, queries_matching, queries_review, queries_sources, queries_state  # noqa: F401
+from . import queries_conditions, queries_intake, queries_judge, queries_ledger, queries_matching, queries_review, queries_sources, queries_state  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
