@@ -40,6 +40,8 @@ THRESHOLD, MIN_CHARS = 2, 20
 BROADCAST_LINES = 400_000
 #: Repeated lines that a task remembers, to give their entries once.
 REMEMBERED = 1_000_000
+#: Lines that are joined to their places apart, at most: those that hold more than this part of the repeated places.
+HOT_LINES = 1000
 NULL_ID = -(1 << 63)
 
 
@@ -288,15 +290,22 @@ def dedup_lines(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS,
     key = draw()
     docs = without(docs, ("n_lines", "n_removed"))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), "text")
-    where = places(keyed, min(exact_chars, min_chars), key)
-    # first place of each line; partial minima before the shuffle keep a hot line small
-    first = where.groupBy("line").agg(F.min(F.struct("doc", "number")).alias("first"), F.count("*").alias("n"))
+    # read twice below, so the texts are not
+    where = table(places(keyed, min(exact_chars, min_chars), key))
+    # counts have partial sums, and no order, so a hot line is a few rows of each task
+    repeated = cut(where.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") > 1))
     classes = cut(components(near_links(keyed, t, min_chars, key)))
-    grouped = first.join(classes.toDF("line", "class"), "line").groupBy("class").agg(F.min("first").alias("class_first"))
-    of_line = classes.toDF("line", "class").join(grouped, "class").select("line", "class_first")
-    first = first.join(of_line, "line", "left").where((F.col("n") > 1) | F.col("class_first").isNotNull())
-    first = cut(first.select("line", F.coalesce("class_first", "first").alias("first")))
-    gone = where.join(first, "line").where((F.col("first.doc") != F.col("doc")) | (F.col("first.number") != F.col("number")))
+    judged = cut(repeated.join(classes.toDF("line", "class"), "line", "full").select("line", F.coalesce("class", "line").alias("class"), F.coalesce("n", F.lit(1)).alias("n")))
+    # lines that more than one of HOT_LINES places hold are few, so they travel to the places; the others meet by a shuffle
+    hot = judged.where(F.col("n") * HOT_LINES > judged.agg(F.sum("n")).first()[0]).select("line", "class")
+    hot = F.broadcast(cut(hot))
+    found = [where.join(hot, "line"), where.join(hot, "line", "left_anti").join(judged.select("line", "class"), "line")]
+    first = cut(found[0].unionByName(found[1]).groupBy("class").agg(F.min(F.struct("doc", "number")).alias("first")))
+    known = [F.broadcast(first.join(hot.select("class").distinct(), "class", "left_semi")), first]
+    gone = None
+    for part, of_class in zip(found, known):
+        later = part.join(of_class, "class").where((F.col("first.doc") != F.col("doc")) | (F.col("first.number") != F.col("number"))).select("doc", "number", "line")
+        gone = later if gone is None else gone.unionByName(later)
     gone = gone.distinct().groupBy("doc").agg(F.collect_list(F.struct("number", "line")).alias("gone"))
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
     joined = docs.select(row, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc")).join(gone, "doc", "left").select("row.*", F.col("gone").alias("__gone"))
