@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from ..session import cut, discard, scratch
+from ..sources.adapters import Counters, Mapping, records
 from ..sources.html_tables import exploded, list_items
+from ..sources.lists import grids
 from ..streaming import orders as streams
 from .registry import query
 from .tables import read
@@ -21,7 +22,7 @@ def _streamed(spark, sf, make, name):
     """The rows of a stream over a table, run to its end."""
     schema = read(spark, sf, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    where = tempfile.mkdtemp(prefix=f"{name}-") if spark.conf.get("spark.checkpoint.dir", None) is None else f"{spark.conf.get('spark.checkpoint.dir')}/{name}-{spark.sparkContext.applicationId}-{id(source)}"
+    where = f"{scratch(spark)}-{name}"
     q = make(source).writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{where}/rows")
@@ -36,3 +37,65 @@ def stream_session_gap(spark, sf):
 @query("SELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts) AS k FROM events) WHERE k = 1")
 def stream_once(spark, sf):
     return _streamed(spark, sf, lambda s: streams.once(s, ["event_id"]).select("event_id", "event_type"), "once")
+
+
+def _layout(supplier: str = "any"):
+    return Mapping(
+        supplier,
+        {"ean": "EAN", "supplier_code": 2, "description": "C", "unit_price_pre": "list price", "discount": 5, "order_multiplier": 6, "availability": 7},
+        header_row=1,
+        data_start=2,
+        filters=[("supplier_code", r"^[0-9]+-[ANR]$")],
+        excludes=[("returned", "supplier_code", "-R$"), ("few", "description", "^few")],
+        italian=True,
+        available_prefix="open",
+        required_headers=("EAN", "description", "list price"),
+        multiplier_pattern=r"x\s*(\d+(?:,\d+)?)",
+    )
+
+
+def _grid(spark, sf):
+    """The price list as cells of a sheet, the header in row 1."""
+    l = read(spark, sf, "lineitem")  # noqa: E741
+    # the smallest table gives the one row of the header
+    header = read(spark, sf, "region").where("r_regionkey = 0").select(F.lit(1).cast("long").alias("source_row"), F.array(*[F.lit(h) for h in ("Ean", "code", "Description", "List-price", "disc", "mult", "state")]).alias("cells"))
+    code = F.concat(F.col("l_orderkey").cast("string"), F.when(F.col("l_linenumber") == 7, "x").otherwise(F.lit("-")), F.col("l_returnflag"))
+    price = F.when(F.col("l_quantity") == 1, "n.d.").otherwise(F.concat(F.floor("l_extendedprice").cast("string"), F.lit(",5")))
+    words = F.when(F.col("l_quantity") < 4, F.concat(F.lit("few "), F.col("l_partkey").cast("string"))).otherwise(F.concat(F.lit("part "), F.col("l_partkey").cast("string")))
+    times = F.when(F.col("l_linenumber") == 2, "each").otherwise(F.concat(F.lit("Ct x "), F.col("l_quantity").cast("int").cast("string"), F.lit(",0")))
+    cells = F.array(F.col("l_partkey").cast("string"), code, words, price, F.col("l_discount").cast("string"), times, F.when(F.col("l_linestatus") == "O", "Open now").otherwise(F.lit("closed")))
+    rows = l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber") + 1).alias("source_row"), cells.alias("cells"))
+    return header.unionByName(rows)
+
+
+@query("""WITH r AS (SELECT l_returnflag, l_linestatus, l_linenumber, l_quantity FROM lineitem), c AS (SELECT count(*) AS "read", count(*) FILTER (WHERE l_linenumber = 7) AS filtered, 0 AS no_product,
+  count(*) FILTER (WHERE l_linenumber <> 7 AND l_returnflag = 'R') AS e1, count(*) FILTER (WHERE l_linenumber <> 7 AND l_returnflag <> 'R' AND l_quantity < 4) AS e2,
+  count(*) FILTER (WHERE l_linenumber <> 7 AND l_returnflag <> 'R' AND l_quantity >= 4) AS p, count(*) FILTER (WHERE l_linenumber <> 7 AND l_returnflag <> 'R' AND l_quantity >= 4 AND l_linenumber = 2) AS u1,
+  count(*) FILTER (WHERE l_linenumber NOT IN (2, 7) AND l_returnflag <> 'R' AND l_quantity >= 4 AND l_linestatus <> 'O') AS u2 FROM r)
+SELECT * FROM (SELECT 'read' AS counter, "read" AS n FROM c UNION ALL SELECT 'filtered', filtered FROM c UNION ALL SELECT 'no_product', no_product FROM c UNION ALL SELECT 'excluded: returned', e1 FROM c UNION ALL SELECT 'excluded: few', e2 FROM c
+  UNION ALL SELECT 'unusable: no description', 0 FROM c UNION ALL SELECT 'unusable: no price', 0 FROM c UNION ALL SELECT 'unusable: no pieces', u1 FROM c UNION ALL SELECT 'unusable: not available', u2 FROM c UNION ALL SELECT 'kept', p - u1 - u2 FROM c)""")
+def reading_counters(spark, sf):
+    """The counters of a reading, filled while its rows are written."""
+    counters = Counters()
+    path = scratch(spark)
+    records(_grid(spark, sf), _layout(), counters).write.parquet(path)
+    discard(spark, path)
+    return spark.createDataFrame(list(counters.values().items()), "counter string, n long")
+
+
+@query("""SELECT CASE WHEN n_nationkey % 12 = 5 THEN 'failed' ELSE 'read' END AS outcome, count(DISTINCT n_nationkey) AS files, CAST(coalesce(sum(CASE WHEN n_nationkey % 12 <> 5 THEN n END), 0) AS BIGINT) AS rows
+FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) ON c_nationkey = n_nationkey WHERE n IS NOT NULL GROUP BY 1""")
+def lists_with_failures(spark, sf):
+    """A list of each nation as a file, some of them broken: all others are read whole."""
+    path = scratch(spark)
+    text = F.concat_ws("\n", F.array_sort(F.collect_list(F.concat_ws(";", F.col("c_custkey").cast("string"), "c_mktsegment"))))
+    lists = read(spark, sf, "customer").groupBy("c_nationkey").agg(text.alias("value"))
+    # a file that starts like a workbook and is none
+    broken = F.when(F.col("c_nationkey") % 12 == 5, F.concat(F.lit("PK\x03\x04"), F.col("value"))).otherwise(F.col("value"))
+    lists.select(broken.alias("value"), "c_nationkey").repartition("c_nationkey").write.partitionBy("c_nationkey").option("lineSep", "\n").text(path)
+    rows, files = grids(spark, path, delimiter=";", glob="part-*")
+    read_rows = rows.groupBy("path").agg(F.count("*").alias("n"))
+    out = files.join(read_rows, "path", "left").groupBy(F.when(F.col("error").isNull(), "read").otherwise("failed").alias("outcome"))
+    out = cut(out.agg(F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")))
+    discard(spark, path)
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
@@ -16,7 +16,10 @@ from ..operators.aggregates import first_label
 class Mapping:
     """columns: field -> column number from 1, letters, or the name of a header. filters and excludes: (field, pattern)
     and (label, field, pattern). Fields: ean, supplier_code, description, unit_price_pre, unit_price_net, discount,
-    pieces_per_carton, order_multiplier, availability, packaging."""
+    pieces_per_carton, order_multiplier, availability, packaging.
+
+    required_headers: names that the header row must hold. multiplier_pattern: its first group is the multiplier in the
+    order_multiplier cell, where that is a text such as "x 1,0"."""
 
     supplier: str
     columns: dict[str, int | str]
@@ -29,6 +32,8 @@ class Mapping:
     filters: list[tuple[str, str]] = field(default_factory=list)
     excludes: list[tuple[str, str, str]] = field(default_factory=list)
     available_prefix: str | None = None
+    required_headers: tuple[str, ...] = ()
+    multiplier_pattern: str | None = None
 
 
 def column_number(declared: int | str, header: list[str | None] | None = None) -> int:
@@ -59,20 +64,55 @@ def start_of_data(grid: DataFrame, mapping: Mapping, marker_column: int) -> int:
     return rows["row"] + mapping.marker_offset
 
 
-def records(grid: DataFrame, mapping: Mapping) -> DataFrame:
+def missing_headers(mapping: Mapping, header: list[str | None]) -> list[str]:
+    plain = lambda s: re.sub(r"[^a-z0-9]+", "", (s or "").lower())
+    there = {plain(h) for h in header}
+    return [h for h in mapping.required_headers if plain(h) not in there]
+
+
+class Counters:
+    """What a reading met, filled by the pass that reads the rows: read, filtered (by the mapping's filters), no_product,
+    kept, excluded by label, and unusable by reason. Known when an action over the records has ended."""
+
+    def __init__(self) -> None:
+        self.before, self.after = Observation(), Observation()
+
+    def observed(self, rows: DataFrame, passed: Column) -> DataFrame:
+        return rows.observe(self.before, F.count("*").alias("read"), F.count_if(~passed).alias("filtered"))
+
+    def ended(self, out: DataFrame, mapping: Mapping, reasons: list[str], product: Column) -> DataFrame:
+        counts = [F.count_if(~product).alias("no_product"), F.count_if(product & F.col("usable")).alias("kept")]
+        for label, *_ in mapping.excludes:
+            counts.append(F.count_if(product & F.col("excluded").eqNullSafe(label)).alias(f"excluded: {label}"))
+        for reason in reasons:
+            counts.append(F.count_if(product & F.col("excluded").isNull() & F.col("unusable_reason").eqNullSafe(reason)).alias(f"unusable: {reason}"))
+        return out.observe(self.after, *counts)
+
+    def values(self) -> dict[str, int]:
+        return {**self.before.get, **self.after.get}
+
+
+def records(grid: DataFrame, mapping: Mapping, counters: Counters | None = None) -> DataFrame:
     """Price-list records of a sheet, with usable and unusable_reason (NULL where usable); excluded rows keep their label
-    in excluded, and rows that are no product are left out."""
+    in excluded, and rows that are no product are left out. A header row without the required headers is an error."""
     header = None
     if mapping.header_row:
         first = grid.where(F.col("source_row") == mapping.header_row).select("cells").first()
         header = list(first["cells"]) if first else []
+        if absent := missing_headers(mapping, header):
+            raise ValueError(f"{mapping.supplier}: the header row {mapping.header_row} lacks {', '.join(absent)}; it has {', '.join(h for h in header if h)}")
     at = {f: column_number(c, header) for f, c in mapping.columns.items()}
     start = start_of_data(grid, mapping, column_number(mapping.start_marker[0], header)) if mapping.start_marker else mapping.data_start
     null = F.lit(None).cast("string")
     value = lambda f: _cell(at[f]) if f in at else null
     rows = grid.where(F.col("source_row") >= start)
+    passed = F.lit(True)
     for name, pattern in mapping.filters:
-        rows = rows.where(F.coalesce(value(name).rlike(f"(?i){pattern}"), F.lit(False)))
+        passed = passed & F.coalesce(value(name).rlike(f"(?i){pattern}"), F.lit(False))
+    rows = (counters.observed(rows, passed) if counters else rows).where(passed)
+    times = value("order_multiplier")
+    if mapping.multiplier_pattern:
+        times = text.blank_to_null(F.regexp_extract(times, f"(?i){mapping.multiplier_pattern}", 1))
     pre, rate = numbers.number(value("unit_price_pre"), mapping.italian), F.coalesce(numbers.discount_rate(numbers.number(value("discount"), False)), F.lit(0).cast(numbers.RATE))
     out = rows.select(
         F.lit(mapping.supplier).alias("supplier"),
@@ -83,15 +123,16 @@ def records(grid: DataFrame, mapping: Mapping) -> DataFrame:
         pre.alias("unit_price_pre"),
         rate.alias("discount_rate"),
         F.coalesce(numbers.number(value("unit_price_net"), mapping.italian), numbers.net(pre, rate)).alias("unit_price_net"),
-        numbers.factor(F.coalesce(numbers.number(value("order_multiplier"), mapping.italian), numbers.number(value("pieces_per_carton"), mapping.italian))).alias("pieces_per_carton"),
+        numbers.factor(F.coalesce(numbers.number(times, mapping.italian), numbers.number(value("pieces_per_carton"), mapping.italian))).alias("pieces_per_carton"),
         value("availability").alias("availability"),
         first_label([(label, F.coalesce(value(name).rlike(f"(?i){pattern}"), F.lit(False))) for label, name, pattern in mapping.excludes]).alias("excluded"),
     )
-    out = out.where(F.coalesce("ean", "description", F.col("unit_price_pre").cast("string"), F.col("unit_price_net").cast("string")).isNotNull())
+    product = F.coalesce("ean", "description", F.col("unit_price_pre").cast("string"), F.col("unit_price_net").cast("string")).isNotNull()
     reasons = [("no description", F.col("description").isNull()), ("no price", ~F.coalesce(F.col("unit_price_net") > 0, F.lit(False)))]
     if mapping.needs_pieces:
         reasons.append(("no pieces", F.col("pieces_per_carton").isNull()))
     if mapping.available_prefix:
         reasons.append(("not available", ~F.coalesce(F.startswith(F.lower("availability"), F.lit(mapping.available_prefix.lower())), F.lit(False))))
     out = out.withColumn("unusable_reason", first_label(reasons))
-    return out.withColumn("usable", F.col("unusable_reason").isNull() & F.col("excluded").isNull())
+    out = out.withColumn("usable", F.col("unusable_reason").isNull() & F.col("excluded").isNull())
+    return (counters.ended(out, mapping, [r for r, _ in reasons], product) if counters else out).where(product)
