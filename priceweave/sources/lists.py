@@ -67,5 +67,5 @@ def grids(spark: SparkSession, path: str, sheet: str | None = None, delimiter: s
 
     read = table(reader.load(path).select("path", "content").mapInArrow(parse, SCHEMA))
     status = read.where("n_rows is not null").select("path", "n_rows", "error")
-    files = listed.join(status.withColumn("__name", _plain(F.col("path"))).drop("path"), "__name", "left").select("path", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.when(F.col("n_rows").isNull(), "unreadable or empty").otherwise(F.col("error")).alias("error"))
+    files = listed.withColumnRenamed("path", "__listed").join(status.withColumn("__name", _plain(F.col("path"))), "__name", "left").select(F.coalesce("path", "__listed").alias("path"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.when(F.col("n_rows").isNull(), "unreadable or empty").otherwise(F.col("error")).alias("error"))
     return read.where("n_rows is null").select("path", "sheet", "source_row", "cells"), files
