@@ -8,6 +8,7 @@ from ..session import cut, discard, scratch
 from ..sources.adapters import Counters, Mapping, records
 from ..sources.html_tables import exploded, list_items
 from ..sources.lists import grids
+from ..sources.paged import TablePages, extraction_report
 from ..streaming import orders as streams
 from .registry import query
 from .tables import read
@@ -99,3 +100,29 @@ def lists_with_failures(spark, sf):
     out = cut(out.agg(F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")))
     discard(spark, path)
     return out
+
+
+def _extracted(spark, sf):
+    """The pages of a site, read as a stream in two runs: the first one is stopped after its first batch."""
+    spark.dataSource.register(TablePages)
+    where = scratch(spark)
+    source = spark.readStream.format("table_pages").option("path", f"{sf}/pages.parquet").option("pageSize", 20).option("pagesPerBatch", 4).load()
+    write = lambda: source.writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/state").start()
+    first = write()
+    while not any(p.numInputRows for p in first.recentProgress) and first.isActive:
+        first.awaitTermination(1)
+    first.stop()
+    second = write()
+    second.processAllAvailable()
+    second.stop()
+    return spark.read.parquet(f"{where}/rows")
+
+
+@query("SELECT page_id, url, page_id // 20 + 1 AS page, max(page_id) OVER () // 20 + 1 AS declared_pages, count(*) OVER () AS declared_items FROM pages")
+def pages_as_a_stream(spark, sf):
+    return _extracted(spark, sf).select("page_id", "url", "page", "declared_pages", "declared_items")
+
+
+@query("SELECT max(page_id) // 20 + 1 AS pages, count(*) AS items, true AS steady, 0 AS missing_pages, 0 AS missing_items, true AS complete FROM pages")
+def extraction_totals(spark, sf):
+    return extraction_report(_extracted(spark, sf))
