@@ -1,4 +1,9 @@
-"""Promotions: what texts and discounts promise, and what an order earns of it."""
+"""Promotions: what texts and discounts promise, and what an order earns of it.
+
+A promotional text is cut into pieces once: numbers, words, signs, spaces. Each piece has a kind of one letter, so the text
+has a line of kinds as long as its list of pieces. What the text promises is read off that line, and the pieces at the same
+places give the numbers and names.
+"""
 
 from __future__ import annotations
 
@@ -10,17 +15,41 @@ from ..functions.text import plain_text
 
 # fixed values: the words of promotional texts; a verb is often misspelt
 VERBS = "ACQUISTANDO|ACQUISTANO|ACQUISTATI|ACQUISTA|ACQUSITANDO|ACQUSITA|COMPRANDO|COMPRA|OGNI"
-GIVEN = "IN OMAGGIO|RICEVI IN OMAGGIO|RICEVI"
-MARKS = "OMAGGIO|GRATIS|OFFERTA|PROMOZIONE|PROMO|SCONTO|RICEVI"
+GIVEN = "IN OMAGGIO|RICEVI"
+MARKS = "OFFERTA|PROMOZIONE|PROMO|SCONTO"
 # fixed values: measures, whose sums are contents and not pieces
 MEASURES = "ML|CL|LT|L|GR|G|KG|MT|M|CM|MM|LAVAGGI|LAV|W"
-_NUMBER = r"\d+(?:[.,]\d+)?"
-_UNIT_WORDS = "|".join(sorted(UNITS, key=len, reverse=True))
-THRESHOLD = rf"\b(?:{VERBS})\s+(?:ALMENO\s+)?({_NUMBER})\s*({_UNIT_WORDS})\b"
-REWARD = rf"\b(?:{GIVEN})\s*:?\s*({_NUMBER})\s*({_UNIT_WORDS})?\b"
-REWARD_TEXT = rf"{REWARD}\s*(?:\([^)]*\)\s*)?(?:OMAGGIO\s*)?(?:DI\s+)?(.+)$"
-INCLUDED = rf"(?<![\d.,])(?<!\b(?:{MEASURES})\s{{0,3}}\.?\s{{0,3}})(\d{{1,4}})\s*\+\s*(\d{{1,4}}+)(?!\d|\s*(?:(?:IN )?OMAGGIO|GRATIS)?\s*(?:=\s*{_NUMBER})?\s*(?:{MEASURES})\b)(?=.*\b(?:GRATIS|OMAGGIO)\b)"
-MARKERS = rf"\b(?:{MARKS}|{VERBS})\b|\b1\s*\+\s*1\b"
+
+PIECES = r"([0-9]+(?:[.,][0-9]+)?|[^\W0-9]+|\s+|[^\w\s])"
+#: Kinds of words: verb, at least, in, gift, get, free, other marks, of; units of orders, measures, what is both.
+_WORDS = {
+    **dict.fromkeys(VERBS.split("|"), "v"),
+    **dict.fromkeys(MARKS.split("|"), "k"),
+    **{"ALMENO": "a", "IN": "i", "OMAGGIO": "o", "RICEVI": "r", "GRATIS": "g", "DI": "d"},
+    **dict.fromkeys(UNITS, "u"),
+    **dict.fromkeys(MEASURES.split("|"), "m"),
+    **dict.fromkeys(set(UNITS) & set(MEASURES.split("|")), "c"),
+}
+#: Kinds of signs that say something; a small number is n, any other N, a space _, a word w, a sign s.
+_SIGNS = {"+": "p", "=": "e", ":": ":", "(": "(", ")": ")", ".": ".", ",": ","}
+_WORD_KIND, _NUMBER_KIND = "[vkaiorgdumcw]", "[nN]"
+_ORDER_UNIT = f"[uc](?!{_NUMBER_KIND})"
+_MEASURE = f"[mc](?!{_NUMBER_KIND})"
+_BEGIN = f"(?<!{_NUMBER_KIND})"
+#: For so many units something is given.
+_THRESHOLD = (f"{_BEGIN}v_(?:a_)?", f"{_NUMBER_KIND}_?{_ORDER_UNIT}")
+#: So many units are given, of what stands behind.
+_REWARD = (f"{_BEGIN}(?:(?:r_)?i_o|r)_?:?_?", f"{_NUMBER_KIND}(?:_?{_ORDER_UNIT}|(?!{_WORD_KIND}))")
+_GIVEN_OF = r"_?(?:\([^)]*\)_?)?(?:o_?)?(?:d_)?"
+#: Pieces and more pieces in a pack; no measure before or behind makes them a content, and something says they are free.
+_INCLUDED = (rf"(?<![.,])(?<!{_BEGIN}[mc]_?\.?_?)", f"n_?p_?n(?!_?(?:(?:i_)?o|g)?_?(?:e_?{_NUMBER_KIND})?_?{_MEASURE})(?=.*{_BEGIN}[og](?!{_NUMBER_KIND}))")
+_MARKED = f"{_BEGIN}[orgkv](?!{_NUMBER_KIND})"
+
+
+def _kind(piece: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for pair in {**_WORDS, **_SIGNS}.items() for x in pair])
+    other = F.when(piece.rlike("^[0-9]{1,4}$"), "n").when(piece.rlike("^[0-9]"), "N").when(piece.rlike(r"^\s"), "_").when(piece.rlike(r"^\w"), "w").otherwise("s")
+    return F.coalesce(F.try_element_at(names, piece), other)
 
 
 def _unit(word: Column) -> Column:
@@ -28,19 +57,33 @@ def _unit(word: Column) -> Column:
     return F.try_element_at(names, word)
 
 
-def _int(c: Column) -> Column:
-    return F.when(c != "", c.try_cast("int"))
+def _place(kinds: Column, before: str, what: str) -> Column:
+    """How many pieces stand before the first place where the two patterns meet; NULL if they never do."""
+    pattern = f"^(.*?{before}){what}"
+    return F.when(kinds.rlike(pattern), F.length(F.regexp_extract(kinds, pattern, 1)))
+
+
+def _counted(pieces: Column, kinds: Column, place: Column) -> tuple[Column, Column]:
+    """(number, unit) at a place: the unit may follow at once or behind a space."""
+    gap = F.when(F.substring(kinds, place + 2, F.lit(1)) == "_", 2).otherwise(1)
+    at = place + gap
+    unit = F.when(F.substring(kinds, at + 1, F.lit(2)).rlike(f"^{_ORDER_UNIT}"), _unit(F.get(pieces, at)))
+    return F.get(pieces, place).try_cast("int"), unit
 
 
 def parse_text(text: Column) -> Column:
     """struct<kind, threshold, threshold_unit, reward, reward_unit, reward_text, certain> of a promotional text; NULL if
     nothing marks one. The first kind that fits counts: THRESHOLD_GIFT, INCLUDED_PACK, REVIEW."""
-    t = plain_text(text)
-    n, unit = _int(F.regexp_extract(t, THRESHOLD, 1)), _unit(F.regexp_extract(t, THRESHOLD, 2))
-    m, reward_unit = _int(F.regexp_extract(t, REWARD, 1)), _unit(F.regexp_extract(t, REWARD, 2))
-    what = F.trim(F.regexp_extract(t, REWARD_TEXT, 3))
+    pieces = F.regexp_extract_all(plain_text(text), F.lit("(?U)" + PIECES))
+    kinds = F.array_join(F.transform(pieces, _kind), "")
+    n, unit = _counted(pieces, kinds, _place(kinds, *_THRESHOLD))
+    m, reward_unit = _counted(pieces, kinds, _place(kinds, *_REWARD))
+    of = _place(kinds, "".join(_REWARD) + _GIVEN_OF, "(?=.)")
+    what = F.trim(F.array_join(F.slice(pieces, of + 1, F.size(pieces)), ""))
     what = F.when(what != "", what)
-    a, b = _int(F.regexp_extract(t, INCLUDED, 1)), _int(F.regexp_extract(t, INCLUDED, 2))
+    pair = _place(kinds, *_INCLUDED)
+    numbers = F.filter(F.slice(pieces, pair + 1, 5), lambda x: x.rlike("^[0-9]"))
+    a, b = F.get(numbers, F.lit(0)).try_cast("int"), F.get(numbers, F.lit(1)).try_cast("int")
     none = F.lit(None)
 
     def made(kind, n, unit, m, reward_unit, what, certain):
@@ -49,7 +92,8 @@ def parse_text(text: Column) -> Column:
     gift = made("THRESHOLD_GIFT", n, unit, m, reward_unit, what, what.isNotNull())
     pack = made("INCLUDED_PACK", a, none, b, none, none, F.lit(True))
     review = made("REVIEW", none, none, none, none, none, F.lit(False))
-    return F.when((n > 0) & (m > 0), gift).when((a > 0) & (b > 0), pack).when(t.rlike(MARKERS), review)
+    one_more = F.array_join(pieces, "").rlike(r"\b1\s*\+\s*1\b")
+    return F.when((n > 0) & (m > 0), gift).when((a > 0) & (b > 0), pack).when(kinds.rlike(_MARKED) | one_more, review)
 
 
 def numeric_discount(rate: Column) -> Column:

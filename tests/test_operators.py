@@ -99,3 +99,27 @@ def test_recognition(spark):
     covered = recognition.coverage(docs, adapters)
     assert values(covered, "adapter_id", "state") == [("full", "KNOWN"), ("near", "NEAR")]
     assert values(recognition.best_adapter(covered), "adapter_id", "state") == [("full", "KNOWN")]
+
+
+def test_promotional_texts(spark):
+    gift = lambda *x: ("THRESHOLD_GIFT", *x)
+    cases = {
+        "Acqusitando almeno 3 cartoni ricevi in omaggio: 2 pz (misti) omaggio di sapone": gift(3, "CARTONS", 2, "PIECES", "SAPONE"),
+        "OGNI 10CT RICEVI 1 espositore": gift(10, "CARTONS", 1, None, "ESPOSITORE"),
+        "OGNI 10 CT2 RICEVI 1 CT di x": ("REVIEW", None, None, None, None, None),
+        "OGNI 0 CT RICEVI 1 CT di x": ("REVIEW", None, None, None, None, None),
+        "3OGNI 2 CT": None,
+        "rasoi 8+2 gratis": ("INCLUDED_PACK", 8, None, 2, None, None),
+        "mt.16+4 gratis": ("REVIEW", None, None, None, None, None),
+        "2,5ML  8+2 gratis": ("INCLUDED_PACK", 8, None, 2, None, None),
+        "500+100 omaggio=600 ml": ("REVIEW", None, None, None, None, None),
+        "500+100 omaggio=600": ("INCLUDED_PACK", 500, None, 100, None, None),
+        "1,5+1 gratis": ("REVIEW", None, None, None, None, None),
+        "1 + 1": ("REVIEW", None, None, None, None, None),
+        "21+1 pezzi": None,
+        "promo": ("REVIEW", None, None, None, None, None),
+        "promozioni": None,
+        "": None,
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", promotions.parse_text(F.col("t")).alias("p"))
+    assert {r["t"]: r["p"] and tuple(r["p"])[:6] for r in df.collect()} == cases
