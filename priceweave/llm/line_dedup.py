@@ -9,7 +9,12 @@ index entry; parity signatures of the letters drop hopeless pairs and banded bit
 others. Then, for keys that have several index entries, entries of different components meet, so the pairs of a group of
 near copies are never listed.
 
-Only hashes, places and signatures of lines are shuffled for this. Equal lines are one line from the start.
+A segment that many different lines share (boilerplate) would have them all meet: keys of over CROWD entries make none.
+Their lines have finer keys instead: of t + 2 segments two are unchanged at least, of t + 3 three, so two or three segments
+together are the key of the next levels, and lines that share one segment and little else no longer meet. Only what is
+crowded on the last level, lines that share more than half of their text in the same places, meets as before.
+
+Only hashes of lines and segments are shuffled for this. Equal lines are one line from the start.
 
 Defined results
 - null or empty text: no lines; kept as it is. Lines shorter than min_chars have no near ones; equal ones go from
@@ -24,6 +29,7 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +48,8 @@ BROADCAST_LINES = 400_000
 REMEMBERED = 1_000_000
 #: Lines that are joined to their places apart, at most: those that hold more than this part of the repeated places.
 HOT_LINES = 1000
+#: Entries of a key from which its lines have finer keys instead, and how many segments these have together at most.
+CROWD, LEVELS = 200, 3
 NULL_ID = -(1 << 63)
 
 
@@ -135,6 +143,31 @@ def keys(lines: Lines, t: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
                 yield less == move == 0, ok, _key(lines.rolling.of(s, s + n[ok]), other[ok], i)
 
 
+def moves(t: int, less: int, together: int) -> list[tuple[int, ...]]:
+    """How far segments that stand behind each other can have moved: each change from one to the next is an edit, and the
+    last one ends up with the difference of the lengths."""
+    cost = lambda m: sum(abs(x - y) for x, y in zip((0, *m), (*m, less)))
+    return [m for m in product(range(-t, t + 1), repeat=together) if cost(m) <= t]
+
+
+def finer_keys(lines: Lines, t: int, together: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """Like keys, of as many segments together, out of t more than that: t edits leave so many unchanged."""
+    length = lines.end - lines.start
+    for less in range(t + 1):
+        other = length - less
+        parts = segments(other, t + together - 1)
+        for chosen in combinations(range(len(parts)), together):
+            for move in moves(t, less, together):
+                begins = [parts[i][0] + m for i, m in zip(chosen, move)]
+                fits = [(b >= 0) & (b + parts[i][1] <= length) for i, b in zip(chosen, begins)]
+                ok = np.flatnonzero(np.logical_and.reduce(fits) & (other > 0))
+                joint = np.zeros(len(ok), np.uint64)
+                for i, b in zip(chosen, begins):
+                    s = lines.start[ok] + b[ok]
+                    joint = mix(joint + lines.rolling.of(s, s + parts[i][1][ok]) + np.uint64(i + 1))
+                yield less == 0 and not any(move), ok, _key(joint, other[ok], 16 * together)
+
+
 def within(a: str, b: str, t: int) -> bool:
     """Whether the edit distance is at most t: bit k of a state stands for the k-th diagonal of the band."""
     if abs(len(a) - len(b)) > t:
@@ -193,7 +226,7 @@ def places(docs: DataFrame, min_chars: int, key: int) -> DataFrame:
 
 
 def entries(docs: DataFrame, t: int, min_chars: int, key: int) -> DataFrame:
-    """key, id, sign, own: the entries of all lines; own ones are the index. A line that a task met repeatedly gives its
+    """key, id, own: the entries of all lines; own ones are the index. A line that a task met repeatedly gives its
     entries once from then on."""
 
     def make():
@@ -208,18 +241,18 @@ def entries(docs: DataFrame, t: int, min_chars: int, key: int) -> DataFrame:
             if len(met) < REMEMBERED:
                 met = np.union1d(met, ids[counts > 1])
             lines.spread()
-            sign, id_ = lines.signature(), lines.id.view(np.int64)
+            id_ = lines.id.view(np.int64)
             for own, rows, of_rows in keys(lines, t):
-                yield of_rows, id_[rows], sign[rows], np.full(len(rows), own)
+                yield of_rows, id_[rows], np.full(len(rows), own)
 
         return entries_of
 
-    return _line_pass(docs, make, "key long, id long, sign long, own boolean", min_chars, key)
+    return _line_pass(docs, make, "key long, id long, own boolean", min_chars, key)
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, min_chars: int, key: int) -> DataFrame:
-    """id, line, line_text of the lines with the ids wanted."""
-    schema = "id long, line binary, line_text string"
+    """id, line, line_text, sign of the lines with the ids wanted."""
+    schema = "id long, line binary, line_text string, sign long"
     sent = None
     if wanted.count() <= BROADCAST_LINES:
         # a checked number of ids
@@ -230,18 +263,24 @@ def _texts(docs: DataFrame, wanted: DataFrame, min_chars: int, key: int) -> Data
             lines.once()
             if sent is not None:
                 lines.pick(np.flatnonzero(np.isin(lines.id, sent.value)))
-            yield lines.id.view(np.int64), lines.names(), lines.content()
+            lines.spread()
+            yield lines.id.view(np.int64), lines.names(), lines.content(), lines.signature()
 
         return texts_of
 
     found = _line_pass(docs, make, schema, min_chars, key)
     found = found if sent is not None else found.join(wanted, "id", "left_semi")
-    return found.groupBy("id", "line").agg(F.min("line_text").alias("line_text"))
+    return found.groupBy("id", "line").agg(F.min("line_text").alias("line_text"), F.min("sign").alias("sign"))
+
+
+def _alike(a: str, b: str, t: int):
+    """Whether signatures allow t edits."""
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= 2 * t
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, t: int) -> DataFrame:
     """a, b (lines) of the pairs (a, b: ids) within t edits."""
-    both = pairs.join(texts.toDF("a", "line_a", "text_a"), "a").join(texts.toDF("b", "line_b", "text_b"), "b")
+    both = pairs.join(texts.toDF("a", "line_a", "text_a", "sign_a"), "a").join(texts.toDF("b", "line_b", "text_b", "sign_b"), "b").where(_alike("sign_a", "sign_b", t))
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -256,31 +295,54 @@ def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
+def _finer(texts: DataFrame, t: int, together: int, key: int) -> DataFrame:
+    """key, id, own of finer_keys of the lines."""
+
+    def make():
+        def finer_of(batch, lines):
+            lines.spread()
+            id_ = lines.id.view(np.int64)
+            for own, rows, of_rows in finer_keys(lines, t, together):
+                yield of_rows, id_[rows], np.full(len(rows), own)
+
+        return finer_of
+
+    return _line_pass(texts.select(F.col("line_text").alias("text")), make, "key long, id long, own boolean", 1, key)
+
+
 def near_links(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS, key: int | None = None) -> DataFrame:
     """a, b (lines): links within t edits that connect what all such links connect."""
     key = draw() if key is None else key
-    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 2 * t
     of_key = Window.partitionBy("key")
-    own = F.when(F.col("own"), F.struct("id", "sign"))
-    dealt = entries(docs, t, min_chars, key).repartition(F.col("key"))
-    dealt = dealt.withColumn("lead", F.min(own).over(of_key)).withColumn("last", F.max(own).over(of_key))
-    many = F.col("lead.id") != F.col("last.id")
-    led = (F.col("id") != F.col("lead.id")) & near("sign", "lead.sign")
-    met = table(dealt.where(many | led).select("key", "id", "sign", "own", F.col("lead.id").alias("lead"), many.alias("many"), led.alias("led")))
-    rest = met.where("many").select("key", "id", "sign", "own").distinct()
-    pairs = cut(_pairs(met.where("led"), "id", "lead"))
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(rest.select("id")).distinct()
-    texts = cut(_texts(docs, cut(wanted), min_chars, key))
-    links = cut(_verified(pairs, texts, t))
-    # keys of several index entries that are of several components still
-    classes = components(links)
-    named = texts.select("id", "line").join(classes.withColumnRenamed("node", "line"), "line", "left").groupBy("id").agg(F.min(F.coalesce("component", "line")).alias("class"))
-    rest = rest.join(named, "id")
-    open_ = rest.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
-    rest = cut(rest.join(open_, "key", "left_semi"))
-    x, y = rest.where("own").toDF(*[f"{c}_a" for c in rest.columns]), rest.toDF(*[f"{c}_b" for c in rest.columns])
-    others = x.join(y, (F.col("key_a") == F.col("key_b")) & (F.col("class_a") != F.col("class_b")) & near("sign_a", "sign_b"))
-    return links.unionByName(_verified(cut(_pairs(others, "id_a", "id_b")), texts, t))
+    own = F.when(F.col("own"), F.col("id"))
+    dealt, links, texts = entries(docs, t, min_chars, key), None, None
+    for together in range(1, LEVELS + 1):
+        dealt = dealt.repartition(F.col("key")).withColumn("lead", F.min(own).over(of_key)).withColumn("last", F.max(own).over(of_key))
+        many, led = F.col("lead") != F.col("last"), F.col("id") != F.col("lead")
+        met = table(dealt.where(many | led).select("key", "id", "own", "lead", many.alias("many"), led.alias("led")))
+        rest = met.where("many").select("key", "id", "own").distinct()
+        pairs = cut(_pairs(met.where("led"), "id", "lead"))
+        if texts is None:
+            wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(rest.select("id")).distinct()
+            texts = cut(_texts(docs, cut(wanted), min_chars, key))
+        found = cut(_verified(pairs, texts, t))
+        links = found if links is None else links.unionByName(found)
+        # keys of several index entries that are of several components still
+        classes = components(links)
+        named = texts.join(classes.withColumnRenamed("node", "line"), "line", "left").groupBy("id").agg(F.min(F.coalesce("component", "line")).alias("class"), F.min("sign").alias("sign"))
+        rest = rest.join(named, "id")
+        open_ = rest.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("entries")).where("low <> high").select("key", (F.col("entries") > CROWD).alias("crowded"))
+        rest = cut(rest.join(open_, "key"))
+        crowded = cut(rest.where("crowded").select("id").distinct()) if together < LEVELS else None
+        more = crowded is not None and crowded.limit(1).count() > 0
+        rest = rest.where("not crowded") if more else rest
+        x, y = rest.where("own").toDF(*[f"{c}_a" for c in rest.columns]), rest.toDF(*[f"{c}_b" for c in rest.columns])
+        others = x.join(y, (F.col("key_a") == F.col("key_b")) & (F.col("class_a") != F.col("class_b")) & _alike("sign_a", "sign_b", t))
+        links = cut(links.unionByName(_verified(cut(_pairs(others, "id_a", "id_b")), texts, t)))
+        if not more:
+            return links
+        dealt = _finer(texts.join(crowded, "id", "left_semi"), t, together + 1, key)
+    return links
 
 
 def dedup_lines(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
