@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.similarity import block_ratio, pack_attributes, pair_score, size_comparison, word_jaccard
+from ..session import cut
+from . import similar
 from .matching import shortlist
 
 
@@ -92,15 +94,17 @@ def shortlists(queue: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
     rank.
 
     queue: qid, supplier, ean, description. rows: supplier, iid, ean, description, price, usable, row_type. Candidates
-    share a word or the code, by equi-joins; sizes are read once a text, before the join."""
+    share a word or the code: those of the code by an equi-join, the k best by words, sizes and blocks by the pruned join,
+    which holds whatever is left of the k behind the rows of the code. Sizes are read once a text."""
     fit = rows.where((F.col("description") != "") & F.coalesce(F.col("price") > 0, F.lit(False)) & F.coalesce("usable", F.lit(True)) & (F.coalesce("row_type", F.lit("")) != "DISPLAY_COMPONENT"))
-    read = lambda df, i, s: df.select("supplier", i, F.trim("ean").alias("ean" + s), text.tokens(F.col("description")).alias("words" + s), text.matching_text(F.col("description")).alias("text" + s), pack_attributes("description").alias("sizes" + s))
-    q, r = read(queue, "qid", "_a"), read(fit, "iid", "_b")
-    word = lambda df, i, s: df.select("supplier", i, F.explode("words" + s).alias("word"))
-    by_word = word(q, "qid", "_a").join(word(r, "iid", "_b"), ["supplier", "word"]).select("supplier", "qid", "iid")
-    code = q.where("ean_a <> ''").join(r, (q["supplier"] == r["supplier"]) & (F.col("ean_a") == F.col("ean_b"))).select(q["supplier"], "qid", "iid")
-    pairs = by_word.unionByName(code).distinct().join(q, ["supplier", "qid"]).join(r, ["supplier", "iid"])
+    described = [text.tokens(F.col("description")).alias("words"), text.matching_text(F.col("description")).alias("text"), pack_attributes("description").alias("sizes")]
+    read = lambda df, key, name: cut(df.select(F.struct("supplier", key).alias(name), F.col("supplier").alias("block"), F.trim("ean").alias("ean"), *described))
+    q, r = read(queue, "qid", "qid"), read(fit, "iid", "iid")
+    best = similar.most_similar(q.drop("ean"), r.drop("ean"), k).select("qid", "iid", "score")
+    sides = [df.where("ean <> ''").select("block", "ean", key, *[F.col(c).alias(c + s) for c in ("words", "text", "sizes")]) for df, key, s in ((q, "qid", "_a"), (r, "iid", "_b"))]
+    own = sides[0].join(sides[1], ["block", "ean"])
     score = pair_score(word_jaccard(F.col("words_a"), F.col("words_b")), F.col("blocks"), size_comparison(F.col("sizes_a"), F.col("sizes_b")))
-    same = F.coalesce((F.col("ean_a") != "") & (F.col("ean_a") == F.col("ean_b")), F.lit(False))
-    scored = pairs.withColumn("blocks", block_ratio("text_a", "text_b")).select("qid", "supplier", "iid", same.alias("same_ean"), score.alias("score"))
+    own = cut(own.withColumn("blocks", block_ratio("text_a", "text_b")).select("qid", "iid", score.alias("score"), F.lit(True).alias("same_ean")))
+    others = best.join(own.select("qid", "iid"), ["qid", "iid"], "left_anti").withColumn("same_ean", F.lit(False))
+    scored = others.unionByName(own).select(F.col("qid.qid").alias("qid"), F.col("qid.supplier").alias("supplier"), F.col("iid.iid").alias("iid"), "same_ean", "score")
     return shortlist(scored, k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,7 +52,35 @@ def separators(rows: DataFrame, by: list[str], order: str, cells: str = "nonempt
     return n.where(F.col(cells).between(1, 2) & (F.col("before") >= 4) & (F.col("behind") >= 4))
 
 
+def _drawn(what: Column, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", what.cast("string"), F.lit(str(seed))))
+
+
 def stratified_pages(df: DataFrame, page: str, k: int, seed: int) -> DataFrame:
-    """One page of each of k equal slices, by a hash of page and seed."""
-    slice_ = F.ntile(k).over(Window.orderBy(page))
-    return df.select(page).distinct().withColumn("slice", slice_).groupBy("slice").agg(F.min_by(page, F.xxhash64(F.col(page), F.lit(seed))).alias(page))
+    """slice (from 0) and one page of each of k equal slices of the numbers 1 to the last page, by a hash of page and seed;
+    slices without pages have none. Grouped minima: no order over all pages."""
+    last = df.agg(F.max(page).alias("__last"))
+    # one row
+    numbered = df.where(F.col(page) >= 1).join(F.broadcast(last))
+    of = F.ceil(F.col(page) * F.least(F.lit(k), F.col("__last")) / F.col("__last")) - 1
+    return numbered.groupBy(of.cast("int").alias("slice")).agg(F.min_by(page, _drawn(F.col(page), seed)).alias(page))
+
+
+def targets(rows: DataFrame, pages: DataFrame, page: str, row: str, seed: int) -> DataFrame:
+    """One row of each of these pages, by a hash of the row's key and seed."""
+    rest = [c for c in rows.columns if c != page]
+    best = rows.join(pages.select(page), page, "left_semi").groupBy(page).agg(F.min_by(F.struct(*rest), _drawn(F.col(row), seed)).alias("__row"))
+    return best.select(page, "__row.*")
+
+
+def spot_check(wanted: DataFrame, read_again: DataFrame, page: str, fields: list[str]) -> DataFrame:
+    """wanted (page and fields) with n_rows (of the page when it was read again), n_equal and outcome: PASS where exactly
+    one row of the page has the same fields, white space aside."""
+    plain = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\s+", " "))
+    key = F.sha2(F.concat_ws("\x1f", *[plain(f) for f in fields]), 256)
+    pages = read_again.join(wanted.select(page).distinct(), page, "left_semi")
+    counts = pages.groupBy(page).agg(F.count("*").alias("n_rows"))
+    equal = pages.groupBy(page, key.alias("__key")).agg(F.count("*").alias("n_equal"))
+    out = wanted.withColumn("__key", key).join(equal, [page, "__key"], "left").join(counts, page, "left").drop("__key")
+    n = F.coalesce("n_equal", F.lit(0))
+    return out.withColumn("n_rows", F.coalesce("n_rows", F.lit(0))).withColumn("n_equal", n).withColumn("outcome", F.when(F.col("n_equal") == 1, "PASS").otherwise("FAIL"))

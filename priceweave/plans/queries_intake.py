@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import intake
 from .registry import doubles, query
-from .tables import SQL_PRICE_LIST, price_list, read
+from .tables import SQL_PRICE_LIST, price_list, read, reorder
 
 
 def _catalogue(spark, sf):
@@ -62,3 +62,12 @@ def end_of_data(spark, sf):
     k = F.col("p_partkey")
     grid = read(spark, sf, "part").select(k.alias("source_row"), F.array(F.lit("x"), F.when(F.col("p_size") > 40, "a"), F.when(k % 100 == 3, "b").otherwise(" ")).alias("cells"))
     return intake.end_of_data(grid, [2, 3], 1)
+
+
+@query()
+def shortlists(spark, sf):
+    """Of each product, asked of its brand's list: the row of its code, then the five best by words, sizes and blocks."""
+    p = reorder(spark, sf)
+    queue = p.select(F.col("source_row").alias("qid"), F.col("brand").alias("supplier"), "ean", "description")
+    rows = p.select(F.col("brand").alias("supplier"), F.col("source_row").alias("iid"), "ean", "description", F.col("last_unit_price").alias("price"), F.lit(True).alias("usable"), F.lit(None).cast("string").alias("row_type"))
+    return intake.shortlists(queue, rows, 5)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fingerprints, numbers, text
-from ..functions.similarity import block_ratio, most_blocks, pack_attributes, pair_score, size_comparison, word_jaccard
-from ..operators import aggregates, matching, offers
+from ..functions.similarity import pack_attributes
+from ..operators import aggregates, matching, offers, similar
 from ..session import cut
 from .registry import doubles, query
 from .tables import SQL_PRICE_LIST, SQL_REORDER, price_list, read, reorder
@@ -34,12 +34,12 @@ _CHEAPEST = """cheapest AS (
 _D = "CAST({0} AS DOUBLE) AS {0}"
 
 
-def _matrix(spark, sf):
+def _matrix(spark, sf, wanted=None):
     prices = price_list(spark, sf)
     nations = read(spark, sf, "nation").select(F.col("n_name").alias("supplier"), "n_nationkey")
     there = read(spark, sf, "supplier").select("s_nationkey").distinct()
     suppliers = nations.join(there, F.col("n_nationkey") == F.col("s_nationkey"), "left_semi").select("supplier")
-    return matching.match_matrix(reorder(spark, sf), prices, suppliers)
+    return matching.match_matrix(reorder(spark, sf) if wanted is None else wanted, prices, suppliers)
 
 
 def _offers(spark, sf):
@@ -67,9 +67,19 @@ def match_audit(spark, sf):
     return aggregates.match_audit(_matrix(spark, sf))
 
 
-@query(f"{_BASE} SELECT source_row FROM matrix GROUP BY source_row HAVING bool_and(status = 'ABSENT')")
+#: Products of the reorder list, and of a catalogue that no supplier of the lists has.
+_WIDER = _BASE.replace("FROM reorder r", "FROM (SELECT source_row, ean FROM reorder UNION ALL SELECT 1000000000 + c_custkey, '9' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') FROM customer) r")
+
+
+def _wider(spark, sf):
+    key = F.col("c_custkey")
+    other = read(spark, sf, "customer").select((key + 1_000_000_000).alias("source_row"), F.concat(F.lit("9"), F.lpad(key.cast("string"), 12, "0")).alias("ean"))
+    return _matrix(spark, sf, reorder(spark, sf).select("source_row", "ean").unionByName(other))
+
+
+@query(f"{_WIDER} SELECT source_row FROM matrix GROUP BY source_row HAVING bool_and(status = 'ABSENT')")
 def missing_everywhere(spark, sf):
-    return aggregates.missing_everywhere(_matrix(spark, sf))
+    return aggregates.missing_everywhere(_wider(spark, sf))
 
 
 @query(f"""WITH {SQL_PRICE_LIST}, c AS (SELECT supplier, ean, count(*) AS n FROM price_list GROUP BY ALL)
@@ -111,7 +121,7 @@ def net_price_projection(spark, sf):
     return doubles(p.select("supplier", "source_row", "ean", "unit_price_net", numbers.order_price(F.col("unit_price_net"), F.col("pieces_per_carton")).alias("order_price")))
 
 
-# edges between products of one brand whose numbers are neighbours of a multiple of seven
+# edges between products of equal brand, name and size
 _EDGES = """edges AS (SELECT lpad(CAST(a.p_partkey AS VARCHAR), 13, '0') AS a, lpad(CAST(b.p_partkey AS VARCHAR), 13, '0') AS b
   FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_name = b.p_name AND a.p_partkey < b.p_partkey AND b.p_size = a.p_size)"""
 _CLASSES = """both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reach AS (
@@ -175,45 +185,36 @@ pairs AS (SELECT q.source_row AS qid, i.source_row AS iid, len(list_intersect(q.
 SELECT qid, iid, CAST(shared AS INT) AS shared, score FROM (SELECT qid, iid, shared, CAST(shared AS DOUBLE) / (total - shared) AS score, row_number() OVER (PARTITION BY qid ORDER BY CAST(shared AS DOUBLE) / (total - shared) DESC, iid) AS k FROM pairs WHERE shared > 0) WHERE k <= 5""")
 def token_jaccard_topk(spark, sf):
     """Of the rows of a product's brand, the five that share most of its words."""
-    w = _described(spark, sf)
-    q = w.select(F.col("source_row").alias("qid"), "brand", F.col("tokens").alias("ta"))
-    i = w.select(F.col("source_row").alias("iid"), "brand", F.col("tokens").alias("tb"))
-    pairs = q.join(i, "brand").where(F.col("qid") != F.col("iid")).withColumn("shared", F.size(F.array_intersect("ta", "tb"))).where("shared > 0")
-    scored = pairs.select("qid", "iid", "shared", (F.col("shared") / (F.size("ta") + F.size("tb") - F.col("shared"))).alias("score"))
-    return offers.rank_within(scored, ["qid"], [F.desc("score"), F.asc("iid")]).where("rank <= 5").select("qid", "iid", "shared", "score")
+    return similar.most_similar_words(*_sides(_described(spark, sf)), 5, apart=True).select("qid", "iid", "shared", F.col("words").alias("score"))
+
+
+def _sides(w):
+    rest = [c for c in w.columns if c not in ("source_row", "brand", "tokens", "description")]
+    side = lambda key: w.select(F.col("source_row").alias(key), F.col("brand").alias("block"), F.col("tokens").alias("words"), *rest)
+    return side("qid"), side("iid")
 
 
 @query(f"""WITH {SQL_REORDER}, {SQL_PRICE_LIST}, s AS (
-  SELECT r.source_row AS qid, p.supplier, p.source_row AS iid, p.ean = r.ean AS same_ean, CAST(p.discount_rate AS DOUBLE) AS score
-  FROM reorder r JOIN price_list p ON p.usable AND substr(p.ean, 1, 12) = substr(r.ean, 1, 12)),
+  SELECT r.source_row AS qid, p.supplier, p.source_row AS iid, true AS same_ean, CAST(p.discount_rate AS DOUBLE) AS score FROM reorder r JOIN price_list p ON p.usable AND p.ean = r.ean
+  UNION ALL SELECT r.source_row, p.supplier, p.source_row, false, CAST(p.discount_rate AS DOUBLE) FROM reorder r JOIN price_list p ON p.usable AND p.ean <> r.ean
+  JOIN reorder t ON t.ean = p.ean AND t.description = r.description),
 k AS (SELECT *, row_number() OVER (PARTITION BY qid, supplier ORDER BY same_ean DESC, score DESC, iid) AS rank, sum(CAST(same_ean AS INT)) OVER (PARTITION BY qid, supplier) AS forced FROM s)
 SELECT qid, supplier, iid, same_ean, score FROM k WHERE rank <= greatest(2, forced)""")
 def ean_forced_shortlist(spark, sf):
-    head = lambda c: F.substring(c, 1, 12)
-    r = reorder(spark, sf).select(F.col("source_row").alias("qid"), F.col("ean").alias("own"))
+    """Rows of a product's code, then rows of other products that are described alike."""
+    r = reorder(spark, sf).select(F.col("source_row").alias("qid"), F.col("ean").alias("own"), "description")
     p = price_list(spark, sf).where("usable").select("supplier", F.col("source_row").alias("iid"), "ean", F.col("discount_rate").cast("double").alias("score"))
-    scored = r.join(p, head(r["own"]) == head(p["ean"])).select("qid", "supplier", "iid", (F.col("own") == F.col("ean")).alias("same_ean"), "score")
-    return matching.shortlist(scored, 2).drop("rank")
+    own = r.join(p, r["own"] == p["ean"]).select("qid", "supplier", "iid", F.lit(True).alias("same_ean"), "score")
+    alike = r.join(r.select(F.col("own").alias("ean"), "description"), "description").where("ean <> own").join(p, "ean").select("qid", "supplier", "iid", F.lit(False).alias("same_ean"), "score")
+    return matching.shortlist(own.unionByName(alike), 2).drop("rank")
 
 
 @query()
 def semantic_score(spark, sf):
-    """Words, matching blocks and pack sizes of the rows of a product's brand that share a word with it; the five best.
-
-    The ratio of matching blocks is computed for few pairs only: first for each product's five best by the native parts,
-    which gives a score that the five best must reach, then for the pairs that could reach it."""
+    """Words, matching blocks and pack sizes of the rows of a product's brand that share a word with it; the five best."""
     w = _described(spark, sf).select("source_row", "brand", "tokens", text.matching_text(F.col("description")).alias("text"), pack_attributes("description").alias("sizes"))
-    w = cut(w)  # each product's sizes are read once
-    side = lambda id_, k: w.select(F.col("source_row").alias(id_), "brand", *[F.col(c).alias(c + k) for c in ("tokens", "text", "sizes")])
-    pairs = side("qid", "_a").join(side("iid", "_b"), "brand").where((F.col("qid") != F.col("iid")) & F.arrays_overlap("tokens_a", "tokens_b"))
-    pairs = pairs.select("qid", "iid", "text_a", "text_b", word_jaccard(F.col("tokens_a"), F.col("tokens_b")).alias("words"), size_comparison(F.col("sizes_a"), F.col("sizes_b")).alias("sizes"))
-    score = lambda blocks: pair_score(F.col("words"), blocks, F.col("sizes"))
-    native = offers.rank_within(pairs.withColumn("low", score(F.lit(0.0))), ["qid"], [F.desc("low"), F.asc("iid")]).where("rank <= 5")
-    reached = native.withColumn("blocks", block_ratio("text_a", "text_b")).groupBy("qid").agg(F.min(score(F.col("blocks"))).alias("reached"), F.count("*").alias("n"))
-    least = F.when(F.col("n") < 5, F.lit(0.0)).otherwise(F.col("reached"))
-    hopeful = pairs.join(reached, "qid").where(score(most_blocks(F.col("text_a"), F.col("text_b"))) >= least)
-    scored = hopeful.withColumn("blocks", block_ratio("text_a", "text_b")).select("qid", "iid", score(F.col("blocks")).alias("score"), F.col("sizes.conflicts").alias("conflicts"))
-    return offers.rank_within(scored, ["qid"], [F.desc("score"), F.asc("iid")]).where("rank <= 5").select("qid", "iid", "score", "conflicts", "rank")
+    # each product's sizes are read once
+    return similar.most_similar(*_sides(cut(w)), 5, apart=True).select("qid", "iid", "score", "conflicts", "rank")
 
 
 @query()
@@ -227,7 +228,11 @@ _DECISIONS = """decisions AS (SELECT source_row, supplier, CASE source_row % 3 W
 shown AS (SELECT source_row, supplier, source_row * 100 + i AS row, 'now' AS case_print, source_row % 13 <> 0 AS identity_ok FROM matrix, range(3) t(i))"""
 
 
-@query(f"""{_BASE}, {_DECISIONS}, j AS (SELECT m.*, d.action, d.chosen_row, d.confidence, CASE WHEN m.status = 'EXACT' OR d.action IS NULL THEN NULL WHEN d.case_print IS NULL THEN 'NO_FINGERPRINT' WHEN d.case_print <> 'now' THEN 'OTHER_RUN'
+#: Each part computed once: joined to itself where it is used, the matrix was a plan of many copies.
+_ONCE = f"{_BASE}, {_DECISIONS}".replace(" AS (\n", " AS MATERIALIZED (\n").replace("decisions AS (SELECT", "decisions AS MATERIALIZED (SELECT").replace("shown AS (SELECT", "shown AS MATERIALIZED (SELECT")
+
+
+@query(f"""{_ONCE}, j AS MATERIALIZED (SELECT m.*, d.action, d.chosen_row, d.confidence, CASE WHEN m.status = 'EXACT' OR d.action IS NULL THEN NULL WHEN d.case_print IS NULL THEN 'NO_FINGERPRINT' WHEN d.case_print <> 'now' THEN 'OTHER_RUN'
     WHEN d.action = 'ACCEPT' AND d.chosen_row - m.source_row * 100 NOT IN (0, 1, 2) THEN 'ROW_NOT_SHOWN' WHEN d.action = 'ACCEPT' AND m.source_row % 13 = 0 THEN 'LIST_CHANGED' END AS cause
   FROM matrix m LEFT JOIN decisions d USING (source_row, supplier)),
 o AS (SELECT *, action IS NOT NULL AND cause IS NULL AS fits FROM j)
@@ -323,10 +328,10 @@ def contested_rows(spark, sf):
     return offers.contested_rows(lines)
 
 
-@query(f"""{_BASE}, s AS (SELECT source_row, n_usable > 0 AS usable, status, source_row % 50 = 0 AS rejected FROM matrix)
+@query(f"""{_WIDER}, s AS (SELECT source_row, n_usable > 0 AS usable, status, source_row % 50 = 0 AS rejected FROM matrix)
 SELECT source_row, CASE WHEN bool_or(rejected) THEN 'rejected' WHEN bool_and(status = 'ABSENT') THEN 'not listed' ELSE 'unavailable' END AS reason FROM s GROUP BY source_row HAVING NOT bool_or(usable)""")
 def to_source_list(spark, sf):
-    m = _matrix(spark, sf).select("source_row", (F.col("n_usable") > 0).alias("usable"), "status", (F.col("source_row") % 50 == 0).alias("rejected"))
+    m = _wider(spark, sf).select("source_row", (F.col("n_usable") > 0).alias("usable"), "status", (F.col("source_row") % 50 == 0).alias("rejected"))
     return aggregates.why_missing(m)
 
 

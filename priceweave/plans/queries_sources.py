@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from ..session import cut, discard, scratch
 from ..sources.adapters import Counters, Mapping, records
+from ..sources.delivery import DeliverySource
 from ..sources.html_tables import exploded, list_items
 from ..sources.lists import grids
 from ..sources.paged import TablePages, extraction_report
 from ..streaming import orders as streams
+from ..streaming.progress import ProgressLog
 from .registry import query
 from .tables import read
 
@@ -29,7 +31,9 @@ def _streamed(spark, sf, make, name):
     return spark.read.parquet(f"{where}/rows")
 
 
-@query()
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh, event_id FROM events),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g), r AS (SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 6 HOUR AS ended, count(*) AS n FROM s GROUP BY user_id, k)
+SELECT user_id, strftime(started, '%Y-%m-%d %H:%M:%S') AS started, n FROM r WHERE ended <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def stream_session_gap(spark, sf):
     out = _streamed(spark, sf, lambda s: streams.sessions(s), "sessions")
     return out.select("user_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "n")
@@ -102,8 +106,9 @@ def lists_with_failures(spark, sf):
     return out
 
 
-def _extracted(spark, sf):
-    """The pages of a site, read as a stream in two runs: the first one is stopped after its first batch."""
+def _extracted(spark, sf, runs=None):
+    """The pages of a site, read as a stream in two runs: the first one is stopped after its first batch. runs gets their
+    ids."""
     spark.dataSource.register(TablePages)
     where = scratch(spark)
     source = spark.readStream.format("table_pages").option("path", f"{sf}/pages.parquet").option("pageSize", 20).option("pagesPerBatch", 4).load()
@@ -115,6 +120,8 @@ def _extracted(spark, sf):
     second = write()
     second.processAllAvailable()
     second.stop()
+    if runs is not None:
+        runs += [str(first.runId), str(second.runId)]
     return spark.read.parquet(f"{where}/rows")
 
 
@@ -126,3 +133,32 @@ def pages_as_a_stream(spark, sf):
 @query("SELECT max(page_id) // 20 + 1 AS pages, count(*) AS items, true AS steady, 0 AS missing_pages, 0 AS missing_items, true AS complete FROM pages")
 def extraction_totals(spark, sf):
     return extraction_report(_extracted(spark, sf))
+
+
+@query("""WITH s AS (SELECT c_custkey, c_name, c_mktsegment, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL)
+SELECT lpad(CAST(c_custkey AS VARCHAR), 13, '0') AS ean, c_name || ', "' || c_mktsegment || '"' AS description, CASE WHEN n = 0 THEN 'not listed' ELSE 'unavailable' END AS reason FROM s WHERE n < 8""")
+def delivered_sheet(spark, sf):
+    """What is to be sourced elsewhere, delivered as files and read back."""
+    spark.dataSource.register(DeliverySource)
+    orders = read(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    c = read(spark, sf, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < 8")
+    sheet = c.select(F.lpad(F.col("c_custkey").cast("string"), 13, "0").alias("ean"), F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"')).alias("description"), F.when(F.col("n") == 0, "not listed").otherwise("unavailable").alias("reason"))
+    path = scratch(spark)
+    sheet.write.format("delivery").mode("overwrite").option("path", path).save()
+    out = cut(spark.read.option("header", True).option("escape", '"').schema(sheet.schema).csv(f"{path}/*.csv"))
+    discard(spark, path)
+    return out
+
+
+@query("SELECT page_id // 20 // 4 AS batch, count(*) AS rows FROM pages GROUP BY 1")
+def progress_of_a_stream(spark, sf):
+    """The rows of each batch, as a listener was told of them while the pages were read."""
+    log, runs = ProgressLog(spark), []
+    spark.streams.addListener(log)
+    try:
+        _extracted(spark, sf, runs)
+        for run in runs:
+            log.wait(run)
+    finally:
+        spark.streams.removeListener(log)
+    return log.rows().where(F.col("run").isin(runs)).select("batch", "rows")

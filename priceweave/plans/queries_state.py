@@ -150,9 +150,29 @@ def dedup_first_occurrence(spark, sf):
     return reconcile.first_occurrence(p, ["p_name", "p_brand"], "p_partkey").select("p_partkey", F.lower("p_name").alias("name"), F.lower("p_brand").alias("brand"))
 
 
-@query()
+_SLICES = """p AS (SELECT page_id + 1 AS page, url, html FROM pages), n AS (SELECT max(page) AS last FROM p),
+s AS (SELECT CAST(ceil(page * least(10, last) / last) - 1 AS INTEGER) AS slice, arg_min(page, md5(page || ':7')) AS page FROM p, n GROUP BY 1)"""
+
+
+@query(f"WITH {_SLICES} SELECT slice, page FROM s")
 def stratified_sample(spark, sf):
-    return reconcile.stratified_pages(read(spark, sf, "pages"), "page_id", 10, 7)
+    return reconcile.stratified_pages(read(spark, sf, "pages").select((F.col("page_id") + 1).alias("page")), "page", 10, 7)
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_custkey // 10 + 1 AS page, o_orderpriority AS name, o_totalprice AS price FROM orders), n AS (SELECT max(page) AS last FROM r),
+s AS (SELECT ceil(page * least(200, last) / last) AS slice, arg_min(page, md5(page || ':5')) AS page FROM r, n GROUP BY 1),
+t AS (SELECT page, arg_min(o_orderkey, md5(o_orderkey || ':5')) AS o_orderkey FROM r WHERE page IN (SELECT page FROM s) GROUP BY page),
+again AS (SELECT page, CASE WHEN o_orderkey % 7 = 0 THEN 'changed' ELSE name END AS name, price FROM r WHERE o_orderkey % 11 <> 0 UNION ALL SELECT page, name, price FROM r WHERE o_orderkey % 5 = 0),
+e AS (SELECT t.page, t.o_orderkey, r.name, r.price FROM t JOIN r USING (o_orderkey))
+SELECT e.page, e.o_orderkey, count(a.page) AS n_rows, count(*) FILTER (WHERE a.name = e.name AND a.price = e.price) AS n_equal, CASE WHEN count(*) FILTER (WHERE a.name = e.name AND a.price = e.price) = 1 THEN 'PASS' ELSE 'FAIL' END AS outcome
+FROM e LEFT JOIN again a ON a.page = e.page GROUP BY e.page, e.o_orderkey""")
+def spot_checks(spark, sf):
+    """A row of a page of each slice against the page as it is when it is read again: some rows changed, gone or twice."""
+    o = read(spark, sf, "orders").select("o_orderkey", (F.floor(F.col("o_custkey") / 10) + 1).alias("page"), F.col("o_orderpriority").alias("name"), F.col("o_totalprice").alias("price"))
+    wanted = reconcile.targets(o, reconcile.stratified_pages(o, "page", 200, 5), "page", "o_orderkey", 5)
+    key = F.col("o_orderkey")
+    again = o.where(key % 11 != 0).withColumn("name", F.when(key % 7 == 0, " changed ").otherwise(F.concat(F.lit("  "), "name"))).unionByName(o.where(key % 5 == 0))
+    return reconcile.spot_check(wanted, again, "page", ["name", "price"]).select("page", "o_orderkey", "n_rows", "n_equal", "outcome")
 
 
 @query("""SELECT count(*) AS everything, count(*) FILTER (WHERE o_orderstatus = 'O') AS pending, count(*) FILTER (WHERE o_orderstatus = 'F') AS ordered, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (WHERE o_totalprice > 100000) AS large FROM orders""")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -52,6 +52,34 @@ def column_number(declared: int | str, header: list[str | None] | None = None) -
     return found[0]
 
 
+#: Fields that a mapping can name.
+FIELDS = ("ean", "supplier_code", "description", "unit_price_pre", "unit_price_net", "discount", "pieces_per_carton", "order_multiplier", "availability", "packaging")
+
+
+def with_choices(mapping: Mapping, choices: dict[str, int | str | None], header: list[str | None] | None = None) -> Mapping:
+    """The mapping with a user's columns over its own: field -> column, or None for a field that the list does not have.
+
+    A column is a number, letters, or a name that one header of the list reads like. Unknown fields, columns that cannot be
+    found and columns that two fields would take are errors, all named at once; nothing is guessed."""
+    wrong = [f"{f}: no such field" for f in choices if f not in FIELDS]
+    columns: dict[str, int] = {}
+    for f, c in {**mapping.columns, **choices}.items():
+        if f in FIELDS and c is not None:
+            try:
+                columns[f] = column_number(c, header)
+            except ValueError as e:
+                wrong.append(f"{f}: {e}")
+    taken: dict[int, list[str]] = {}
+    for f, n in columns.items():
+        taken.setdefault(n, []).append(f)
+    wrong += [f"column {n}: {' and '.join(fs)}" for n, fs in sorted(taken.items()) if len(fs) > 1 and any(f in choices for f in fs)]
+    if header is not None:
+        wrong += [f"{f}: column {n} of {len(header)}" for f, n in columns.items() if not 1 <= n <= len(header)]
+    if wrong:
+        raise ValueError(f"{mapping.supplier}: " + "; ".join(wrong))
+    return replace(mapping, columns=columns)
+
+
 def _cell(n: int) -> Column:
     return text.blank_to_null(F.get("cells", F.lit(n - 1)))
 

@@ -5,7 +5,7 @@ import zipfile
 
 import pytest
 
-from priceweave.sources.adapters import Counters, Mapping, records
+from priceweave.sources.adapters import Counters, Mapping, records, with_choices
 from priceweave.sources.lists import grids
 
 
@@ -57,3 +57,14 @@ def test_multiplier_in_a_text(spark):
     mapping = Mapping("s", {"description": 1, "unit_price_net": 2, "order_multiplier": 3}, italian=True, multiplier_pattern=r"x\s*([\d.]+(?:,\d+)?)")
     got = {r["description"]: (r["pieces_per_carton"], r["unusable_reason"]) for r in records(grid, mapping).collect()}
     assert float(got["a"][0]) == 1012 and got["b"] == (None, "no pieces")
+
+
+def test_columns_of_a_user_go_over_the_declared_ones():
+    header = ["Code", "What it is", "Price", "Price list", None, "Box"]
+    mapping = Mapping("s", {"supplier_code": 1, "description": "B", "unit_price_net": "price", "discount": 5})
+    got = with_choices(mapping, {"unit_price_net": "PRICE-LIST", "pieces_per_carton": 6, "discount": None}, header)
+    assert got.columns == {"supplier_code": 1, "description": 2, "unit_price_net": 4, "pieces_per_carton": 6} and mapping.columns["discount"] == 5
+    with pytest.raises(ValueError) as e:
+        with_choices(mapping, {"price": 1, "ean": "bar code", "packaging": 2, "pieces_per_carton": 9}, header)
+    said = str(e.value)
+    assert "price: no such field" in said and "ean: 0 columns" in said and "column 2: description and packaging" in said and "column 9 of 6" in said
