@@ -48,8 +48,9 @@ BROADCAST_LINES = 400_000
 REMEMBERED = 1_000_000
 #: Lines that are joined to their places apart, at most: those that hold more than this part of the repeated places.
 HOT_LINES = 1000
-#: Entries of a key from which its lines have finer keys instead, and how many segments these have together at most.
-CROWD, LEVELS = 200, 3
+#: Entries of a key from which its lines have finer keys instead (some hundred a line: fewer entries meet at less cost), and
+#: how many segments these have together at most.
+CROWD, LEVELS = 4000, 3
 NULL_ID = -(1 << 63)
 
 
