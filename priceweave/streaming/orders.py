@@ -66,6 +66,31 @@ def expiring(events: DataFrame, days: int = 60, late: str = "1 day") -> DataFram
     return keyed.transformWithStateInPandas(PendingExpiry(days), "key long, outcome string, at timestamp", "Append", "EventTime")
 
 
+def ask_again(answers: DataFrame, days: int = 7, late: str = "1 hour") -> DataFrame:
+    """key, due: a question that was answered with no is due again so many days later, unless another answer came since.
+
+    answers: key, ts, answer (no, yes, or asked where the question was put again). A key's state is its newest answer; it
+    goes when its time is up, so the state holds the last days' keys only."""
+    span = days * 86_400_000
+
+    def step(key, batches, state):
+        if state.hasTimedOut:
+            at, waits = state.get
+            state.remove()
+            if waits:
+                yield pd.DataFrame({"key": [key[0]], "due": [pd.Timestamp(at + span, unit="ms")]})
+            return
+        newest = pd.concat(list(batches)).sort_values("ts").iloc[-1]
+        at = int(newest["ts"].timestamp() * 1000)
+        if not state.exists or at >= state.get[0]:
+            state.update((at, bool(newest["answer"] == "no")))
+        # an answer that is older than the watermark by its whole time is due at once
+        state.setTimeoutTimestamp(max(state.get[0] + span, state.getCurrentWatermarkMs() + 1))
+
+    keyed = answers.withWatermark("ts", late).groupBy("key")
+    return keyed.applyInPandasWithState(step, "key long, due timestamp", "at long, waits boolean", "append", "EventTimeTimeout")
+
+
 def versioned_sink(path: str, keys: list[str], version: str):
     """A foreachBatch function that keeps the greatest version of each key in a Parquet table, one folder for each
     batch; replays of a batch overwrite their own folder, and readers take the newest one."""

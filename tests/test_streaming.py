@@ -59,3 +59,23 @@ def test_sessions_close_after_silence(spark, tmp_path):
     q = orders.sessions(stream).writeStream.format("memory").queryName("runs").outputMode("append").start()
     got = sorted((r["user_id"], r["n"]) for r in drain(q, spark, "runs"))
     assert (1, 2) in got
+
+
+def test_questions_are_asked_again_after_a_week(spark, tmp_path):
+    day = lambda d, h=0: datetime.datetime(2024, 1, d, h)
+
+    def put(number, rows):
+        spark.createDataFrame(rows, "key long, ts timestamp, answer string").coalesce(1).write.parquet(str(tmp_path / f"in/{number}"))
+
+    put(0, [(1, day(1), "no"), (2, day(1), "no"), (4, day(1), "yes"), (5, day(1), "no"), (5, day(1, 1), "asked")])
+    stream = spark.readStream.schema("key long, ts timestamp, answer string").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = orders.ask_again(stream).writeStream.format("memory").queryName("due").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").start()
+    q.processAllAvailable()
+    put(1, [(2, day(3), "yes"), (3, day(5), "no")])
+    q.processAllAvailable()
+    put(2, [(9, day(9), "yes")])
+    q.processAllAvailable()
+    assert [(r["key"], r["due"]) for r in spark.sql("SELECT * FROM due").collect()] == [(1, day(8))]
+    put(3, [(9, day(20), "yes")])
+    got = {(r["key"], r["due"]) for r in drain(q, spark, "due")}
+    assert got == {(1, day(8)), (3, day(12))}
