@@ -104,15 +104,15 @@ def _of_places(key: int, n: int) -> np.ndarray:
     return have
 
 
-def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, key: int = 0, streams: int = 1) -> list[np.ndarray]:
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, key: int = 0, streams: int = 1, first_stream: int = 0) -> list[np.ndarray]:
     """64-bit hashes of each span of these bytes; those of different streams are independent."""
     if not len(start):
-        return [np.zeros(0, np.uint64) for _ in range(streams)]
+        return [np.zeros(0, np.uint64) for _ in range(first_stream, first_stream + streams)]
     first, eights, number = _eights(raw, start, end)
     most = int(number.max()) + 2
     sizes = (end - start).astype(np.uint64)
     out = []
-    for stream in range(streams):
+    for stream in range(first_stream, first_stream + streams):
         places = _of_places((key + stream * 0x9FB21C651E98DF25) % (1 << 63), most)
         # place 0 is the length's
         out.append(mix(np.add.reduceat(mix(eights + places[number + 1]), first) + mix(sizes + places[0])))

@@ -72,7 +72,8 @@ class Lines:
         else:
             keep = np.flatnonzero(end > start)
         self.text, self.number, self.first_byte, self.end_byte = text[keep], number[keep], start[keep], end[keep]
-        self.id, self.check = span_hashes(self.raw, self.first_byte, self.end_byte, key, 2)
+        self.key = key
+        self.id = span_hashes(self.raw, self.first_byte, self.end_byte, key)[0]
 
     def __len__(self) -> int:
         return len(self.id)
@@ -82,7 +83,7 @@ class Lines:
         return np.r_[0, np.cumsum((self.raw & 0xC0) != 0x80)]
 
     def pick(self, rows: np.ndarray) -> None:
-        for name in ("text", "number", "first_byte", "end_byte", "id", "check"):
+        for name in ("text", "number", "first_byte", "end_byte", "id"):
             setattr(self, name, getattr(self, name)[rows])
 
     def once(self) -> None:
@@ -91,7 +92,8 @@ class Lines:
 
     def names(self) -> pa.Array:
         """128 bits that tell each line."""
-        both = np.stack([self.id, self.check], axis=1).astype(">u8").tobytes()
+        check = span_hashes(self.raw, self.first_byte, self.end_byte, self.key, first_stream=1)[0]
+        both = np.stack([self.id, check], axis=1).astype(">u8").tobytes()
         return pa.Array.from_buffers(pa.binary(16), len(self.id), [None, pa.py_buffer(both)]).cast(pa.binary())
 
     def content(self) -> list[str]:
@@ -264,8 +266,11 @@ def _texts(docs: DataFrame, wanted: DataFrame, min_chars: int, key: int) -> Data
             lines.once()
             if sent is not None:
                 lines.pick(np.flatnonzero(np.isin(lines.id, sent.value)))
-            lines.spread()
-            yield lines.id.view(np.int64), lines.names(), lines.content(), lines.signature()
+            # the few lines that are wanted are spread, not the texts around them
+            content = lines.content()
+            few = Lines(pa.array(content, pa.string()), 1, key)
+            few.spread()
+            yield lines.id.view(np.int64), lines.names(), content, few.signature()
 
         return texts_of
 
