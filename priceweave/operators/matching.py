@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .graph import components
 
 #: Suppliers that may be sent to every task; a supplier list beyond this is joined without a hint.
@@ -96,6 +97,33 @@ def shortlist(scored: DataFrame, k: int = 5) -> DataFrame:
     return ranked.where(F.col("rank") <= F.greatest(F.lit(k), F.col("forced"))).drop("forced")
 
 
+def best_by_word(items: DataFrame, words: DataFrame, k: int) -> DataFrame:
+    """word, supplier, iid, ean, score: of the rows of a word and supplier, those that can be among the k best of a product.
+
+    A product takes no row of its own code here, so k rows of a code and 2k in all hold the k best of any product. items:
+    supplier, iid, ean, score; words: ean, tokens."""
+    order = [F.desc("score"), F.asc("iid")]
+    of_code = Window.partitionBy("supplier", "ean").orderBy(*order)
+    of_word = Window.partitionBy("word", "supplier").orderBy(*order)
+    few = items.withColumn("__of", F.row_number().over(of_code)).where(F.col("__of") <= k).drop("__of")
+    by_word = few.join(words.select("ean", F.explode(F.array_distinct("tokens")).alias("word")).distinct(), "ean")
+    return by_word.withColumn("__at", F.row_number().over(of_word)).where(F.col("__at") <= 2 * k).select("word", "supplier", "iid", "ean", "score")
+
+
+def forced_shortlist(products: DataFrame, items: DataFrame, words: DataFrame, k: int = 5) -> DataFrame:
+    """shortlist of all rows of a product's code and all rows that share a word with it, by a score of the row alone.
+
+    products: qid, ean, tokens; items: supplier, iid, ean, score; words: ean, tokens. Words meet their best rows only."""
+    own = products.select("qid", "ean").join(items, "ean").select("qid", "supplier", "iid", F.lit(True).alias("same_ean"), "score")
+    asked = products.select("qid", F.col("ean").alias("__own"), F.explode(F.array_distinct("tokens")).alias("word"))
+    best = cut(best_by_word(items, words, k))
+    # words are few as a rule; then a product's candidates stay in its task. Grouped: a row that shares several words is one
+    alike = asked.repartition("qid").join(small(best), "word").where(F.col("ean") != F.col("__own")).groupBy("qid", "supplier", "iid").agg(F.first("score").alias("score"))
+    near = Window.partitionBy("qid", "supplier").orderBy(F.desc("score"), "iid")
+    alike = alike.withColumn("__at", F.row_number().over(near)).where(F.col("__at") <= k)
+    return shortlist(own.unionByName(alike.select("qid", "supplier", "iid", F.lit(False).alias("same_ean"), "score")), k)
+
+
 def resolve(matrix: DataFrame, decisions: DataFrame, shown: DataFrame) -> DataFrame:
     """The outcome of every pair: exact matches first, then decisions that still fit what was shown.
 

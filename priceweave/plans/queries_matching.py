@@ -194,19 +194,18 @@ def _sides(w):
     return side("qid"), side("iid")
 
 
-@query(f"""WITH {SQL_REORDER}, {SQL_PRICE_LIST}, s AS (
-  SELECT r.source_row AS qid, p.supplier, p.source_row AS iid, true AS same_ean, CAST(p.discount_rate AS DOUBLE) AS score FROM reorder r JOIN price_list p ON p.usable AND p.ean = r.ean
-  UNION ALL SELECT r.source_row, p.supplier, p.source_row, false, CAST(p.discount_rate AS DOUBLE) FROM reorder r JOIN price_list p ON p.usable AND p.ean <> r.ean
-  JOIN reorder t ON t.ean = p.ean AND t.description = r.description),
+@query(f"""WITH {SQL_REORDER}, {SQL_PRICE_LIST}, w AS (SELECT source_row, ean, {_WORDS.format('description')} AS tokens FROM reorder),
+words AS (SELECT source_row, ean, unnest(tokens) AS word FROM w),
+alike AS (SELECT DISTINCT q.source_row AS qid, i.ean FROM words q JOIN words i ON i.word = q.word AND i.ean <> q.ean),
+s AS (SELECT r.source_row AS qid, p.supplier, p.source_row AS iid, true AS same_ean, CAST(p.discount_rate AS DOUBLE) AS score FROM reorder r JOIN price_list p ON p.usable AND p.ean = r.ean
+  UNION ALL SELECT a.qid, p.supplier, p.source_row, false, CAST(p.discount_rate AS DOUBLE) FROM alike a JOIN price_list p ON p.usable AND p.ean = a.ean),
 k AS (SELECT *, row_number() OVER (PARTITION BY qid, supplier ORDER BY same_ean DESC, score DESC, iid) AS rank, sum(CAST(same_ean AS INT)) OVER (PARTITION BY qid, supplier) AS forced FROM s)
 SELECT qid, supplier, iid, same_ean, score FROM k WHERE rank <= greatest(2, forced)""")
 def ean_forced_shortlist(spark, sf):
-    """Rows of a product's code, then rows of other products that are described alike."""
-    r = reorder(spark, sf).select(F.col("source_row").alias("qid"), F.col("ean").alias("own"), "description")
+    """Rows of a product's code, then all rows that share a word with its description."""
+    r = _described(spark, sf).join(reorder(spark, sf).select("source_row", "ean"), "source_row").select(F.col("source_row").alias("qid"), "ean", "tokens")
     p = price_list(spark, sf).where("usable").select("supplier", F.col("source_row").alias("iid"), "ean", F.col("discount_rate").cast("double").alias("score"))
-    own = r.join(p, r["own"] == p["ean"]).select("qid", "supplier", "iid", F.lit(True).alias("same_ean"), "score")
-    alike = r.join(r.select(F.col("own").alias("ean"), "description"), "description").where("ean <> own").join(p, "ean").select("qid", "supplier", "iid", F.lit(False).alias("same_ean"), "score")
-    return matching.shortlist(own.unionByName(alike), 2).drop("rank")
+    return matching.forced_shortlist(r, p, r.select("ean", "tokens"), 2).drop("rank")
 
 
 @query()
