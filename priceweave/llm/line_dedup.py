@@ -10,7 +10,10 @@ others. Then, for keys that have several index entries, entries of different com
 near copies are never listed.
 
 A segment that many different lines share (boilerplate) would have them all meet: keys of over CROWD entries make none.
-Their lines have finer keys instead: of t + 2 segments two are unchanged at least, of t + 3 three, so two or three segments
+Keys of over MEET entries, as those of many near copies of one line, that share all but one word each: there t + 1 pieces
+of a line that do not overlap are its index entries, the rarest ones by a table of counts, and all pieces of the others
+are the probes. Any such pieces do, as t edits leave one unchanged and move it by t at most; rare ones meet few.
+Lines that are crowded even there have finer keys: of t + 2 segments two are unchanged at least, of t + 3 three, so two or three segments
 together are the key of the next levels, and lines that share one segment and little else no longer meet. Only what is
 crowded on the last level, lines that share more than half of their text in the same places, meets as before.
 
@@ -51,6 +54,9 @@ HOT_LINES = 1000
 #: Entries of a key from which its lines have finer keys instead (some hundred a line: fewer entries meet at less cost), and
 #: how many segments these have together at most.
 CROWD, LEVELS = 4000, 3
+#: Entries of a key from which its lines have their rarest pieces as keys, the pieces' lengths (short ones count with their
+#: place), and the size of the table of counts that tells rare ones.
+MEET, PIECES, SKETCH = 100, (2, 6), 1 << 20
 NULL_ID = -(1 << 63)
 
 
@@ -171,6 +177,72 @@ def finer_keys(lines: Lines, t: int, together: int) -> Iterator[tuple[bool, np.n
                 yield less == 0 and not any(move), ok, _key(joint, other[ok], 16 * together)
 
 
+def _windows(lines: Lines, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, place, hash) of all pieces of this width."""
+    count = np.maximum(lines.end - lines.start - width + 1, 0)
+    row = np.repeat(np.arange(len(count)), count)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    first = lines.start[row] + place
+    return row, place, lines.rolling.of(first, first + width)
+
+
+def _piece_keys(width: int, place: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return _key(hashes, place if width == PIECES[0] else np.zeros_like(place), 100 + width)
+
+
+def piece_counts(lines: Lines) -> np.ndarray:
+    """How often each cell of the table has a piece."""
+    counts = np.zeros(SKETCH, np.int64)
+    for width in PIECES:
+        _, place, hashes = _windows(lines, width)
+        counts += np.bincount(_piece_keys(width, place, hashes) & (SKETCH - 1), minlength=SKETCH)
+    return counts
+
+
+def piece_keys(lines: Lines, t: int, counts: np.ndarray) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """Like keys: t + 1 disjoint pieces of a line, the rarest first, are in the index, its pieces at all places that t edits
+    allow are probes. Lines have 7t + 2 code points at least, so there is room for them."""
+    often, own = [], []
+    for width in PIECES:
+        row, place, hashes = _windows(lines, width)
+        total = np.zeros(len(row), np.int64)
+        for move in range(-t, t + 1) if width == PIECES[0] else (0,):
+            key = _piece_keys(width, place + move, hashes)
+            total += counts[key & (SKETCH - 1)]
+            if move:
+                yield False, row, key
+        often.append((total, np.searchsorted(row, np.arange(len(lines) + 1))))
+        own.append((row, key if width != PIECES[0] else _piece_keys(width, place, hashes)))
+    chosen = [np.zeros(len(row), bool) for row, _ in own]
+    for i, n in enumerate((lines.end - lines.start).tolist()):
+        for first, k in rarest([total[at[i] : at[i + 1]] for total, at in often], n, t + 1):
+            chosen[k][often[k][1][i] + first] = True
+    for (row, key), there in zip(own, chosen):
+        yield True, row[there], key[there]
+        yield False, row[~there], key[~there]
+
+
+def rarest(costs: list[np.ndarray], n: int, pieces: int) -> list[tuple[int, int]]:
+    """(place, which width) of so many disjoint pieces of a line of n that cost the least together. costs: by width and place."""
+    least, steps = np.zeros(n + 1), []
+    for _ in range(pieces):
+        ending, which = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
+        for k, (width, cost) in enumerate(zip(PIECES, costs)):
+            if n >= width:
+                new = least[: n - width + 1] + cost
+                better = new < ending[width:]
+                ending[width:][better], which[width:][better] = new[better], k
+        steps.append((ending, which))
+        least = np.minimum.accumulate(ending)
+    out, end = [], n
+    for ending, which in reversed(steps):
+        at = int(np.argmin(ending[: end + 1]))
+        k = int(which[at])
+        end = at - PIECES[k]
+        out.append((end, k))
+    return out
+
+
 def within(a: str, b: str, t: int) -> bool:
     """Whether the edit distance is at most t: bit k of a state stands for the k-th diagonal of the band."""
     if abs(len(a) - len(b)) > t:
@@ -316,9 +388,41 @@ def _finer(texts: DataFrame, t: int, together: int, key: int) -> DataFrame:
     return _line_pass(texts.select(F.col("line_text").alias("text")), make, "key long, id long, own boolean", 1, key)
 
 
+def _rare(texts: DataFrame, t: int, key: int) -> DataFrame:
+    """key, id, own of piece_keys of the lines."""
+    texts = texts.select(F.col("line_text").alias("text"))
+
+    def count():
+        def cells(batch, lines):
+            lines.spread()
+            counts = piece_counts(lines)
+            at = np.flatnonzero(counts)
+            yield at, counts[at]
+
+        return cells
+
+    # a table of a fixed size
+    found = _line_pass(texts, count, "cell long, n long", 1, key).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SKETCH, np.int64)
+    counts[found["cell"].to_numpy()] = found["n"].to_numpy()
+    sent = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def make():
+        def rare_of(batch, lines):
+            lines.spread()
+            id_ = lines.id.view(np.int64)
+            for own, rows, of_rows in piece_keys(lines, t, sent.value):
+                yield of_rows, id_[rows], np.full(len(rows), own)
+
+        return rare_of
+
+    return _line_pass(texts, make, "key long, id long, own boolean", 1, key)
+
+
 def near_links(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS, key: int | None = None) -> DataFrame:
     """a, b (lines): links within t edits that connect what all such links connect."""
     key = draw() if key is None else key
+    pieces = min_chars >= (PIECES[-1] + 1) * t + PIECES[0]
     of_key = Window.partitionBy("key")
     own = F.when(F.col("own"), F.col("id"))
     dealt, links, texts = entries(docs, t, min_chars, key), None, None
@@ -337,7 +441,7 @@ def near_links(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS,
         classes = components(links)
         named = texts.join(classes.withColumnRenamed("node", "line"), "line", "left").groupBy("id").agg(F.min(F.coalesce("component", "line")).alias("class"), F.min("sign").alias("sign"))
         rest = rest.join(named, "id")
-        open_ = rest.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("entries")).where("low <> high").select("key", (F.col("entries") > CROWD).alias("crowded"))
+        open_ = rest.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("entries")).where("low <> high").select("key", (F.col("entries") > (min(MEET, CROWD) if together == 1 and pieces else CROWD)).alias("crowded"))
         rest = cut(rest.join(open_, "key"))
         crowded = cut(rest.where("crowded").select("id").distinct()) if together < LEVELS else None
         more = crowded is not None and crowded.limit(1).count() > 0
@@ -347,7 +451,8 @@ def near_links(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS,
         links = cut(links.unionByName(_verified(cut(_pairs(others, "id_a", "id_b")), texts, t)))
         if not more:
             return links
-        dealt = _finer(texts.join(crowded, "id", "left_semi"), t, together + 1, key)
+        lines = texts.join(crowded, "id", "left_semi")
+        dealt = _rare(cut(lines), t, key) if together == 1 and pieces else _finer(lines, t, together + 1, key)
     return links
 
 
