@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .boosted import BoostedTrees, fit
-from .common import cut, read, shielded, slices, utf8, without
+from .common import SLICE_BYTES, cut, read, shielded, slices, utf8, without
 
 #: The bound of the labelled sample that the classifier is fitted on.
 SAMPLE_ROWS = 8000
@@ -138,7 +138,8 @@ def fit_model(docs: DataFrame, labels: DataFrame) -> Model:
     rows = cut(rows.groupBy("text").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_ROWS))
 
     def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        # few texts at a time: their terms are many times their size
+        for batch in slices(batches, 500, SLICE_BYTES // 2):
             n, bad = Counter(), Counter()
             for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
                 found = terms(set(_WORD.findall((text or "").lower())), BEGINNINGS)
@@ -172,14 +173,14 @@ JUDGED = ("quality", "toxic", "site_quality", "site_toxic", "keep")
 EVIDENCE = [("quality_logit", pa.float64(), T.DoubleType()), ("toxic_logit", pa.float64(), T.DoubleType())]
 
 
-def with_evidence(docs: DataFrame, model: Model) -> DataFrame:
-    """docs' columns and the classifier's log-odds."""
+def with_evidence(docs: DataFrame, model: Model, text: Callable[[pa.RecordBatch], pa.Array] = lambda b: b["text"]) -> DataFrame:
+    """docs' columns and the classifier's log-odds. text: where a batch has the texts."""
     names = docs.columns
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            quality, toxic = sent.value.logits(batch["text"])
+        for batch in slices(batches, byte_limit=SLICE_BYTES):
+            quality, toxic = sent.value.logits(text(batch))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(quality), pa.array(toxic)], names=[*names, "quality_logit", "toxic_logit"])
 
     return docs.mapInArrow(judge, T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, _, t in EVIDENCE)]))
@@ -251,9 +252,10 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     site = [F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path")]
     sites = cut(site_posteriors(with_evidence(docs.select("text", *site), model).drop("text")))
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
-    inner = docs.select(row, F.col("text").alias("text"), *site)
+    # the texts go to the tasks and back once, within their rows
+    inner = docs.select(row, *site)
     small = sites.count() <= BROADCAST_PATHS
-    judged = with_evidence(inner.join(F.broadcast(sites) if small else sites, ["host", "path"], "left"), model)
+    judged = with_evidence(inner.join(F.broadcast(sites) if small else sites, ["host", "path"], "left"), model, lambda b: b["row"].field("text"))
     found = {}
     for k in ("quality", "toxic"):
         site_mean = leave_one_out(k, _probability(F.col(f"{k}_logit")))
