@@ -16,6 +16,7 @@ Defined results
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 VOCABULARY = "byte_bpe_50k.json"
 #: Words whose ids a worker keeps at most.
 CACHE_WORDS = 300_000
+#: How a byte-level vocabulary writes a space, and the end of the letters that every version of Unicode's tables has.
+SPACE, LETTERS_END = "\u0120", "\u0530"
 #: Pieces that one ranking group of a length has on average at most.
 BUCKET_PIECES = 50_000
 
@@ -47,23 +50,43 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer_path, self.pattern = path, pattern
         self.words = regex.compile(pattern).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.starts = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.starts[[i for t, i in vocabulary.items() if t[0] == SPACE]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Words of a space and letters are encoded as one text: each starts with its only token that begins with a space."""
+        plain = [w for w in words if w[0] == " " and w[1:].isalpha() and (w.isascii() or max(w) < LETTERS_END)]
+        done: set[str] = set()
+        for i in range(0, len(plain), 5_000):
+            part = plain[i : i + 5_000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            first = np.flatnonzero(self.starts[ids])
+            if len(first) == len(part) and first[0] == 0:
+                data, at = ids.tobytes(), [*(4 * first).tolist(), 4 * len(ids)]
+                self.cache.update(zip(part, [data[a:b] for a, b in zip(at, at[1:])]))
+                done.update(part)
+        rest = [w for w in words if w not in done]
+        for i in range(0, len(rest), 50_000):
+            part = rest[i : i + 50_000]
+            self.cache.update(zip(part, self._ids(part)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [any(s in t for s in self.special) for t in texts]
         words = [None if w else self.words(t) for t, w in zip(texts, whole)]
-        missing = list(set().union(*(w for w in words if w)).difference(self.cache))
+        needed = set().union(*(w for w in words if w))
+        missing = list(needed.difference(self.cache))
         if len(self.cache) + len(missing) > CACHE_WORDS:
-            self.cache = {}
-            missing = list(set().union(*(w for w in words if w)))
-        for i in range(0, len(missing), 50_000):
-            part = missing[i : i + 50_000]
-            self.cache.update(zip(part, self._ids(part)))
+            # what these texts need is kept
+            self.cache = {w: self.cache[w] for w in needed.intersection(self.cache)}
+        self._learn(missing)
         get = self.cache.__getitem__
         return [self._ids([t])[0] if w is None else b"".join(map(get, w)) for t, w in zip(texts, words)]
 
