@@ -36,6 +36,7 @@ from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,10 +68,14 @@ class Lines:
         raw, offsets = utf8(column)
         n = len(offsets) - 1
         self.raw = np.full(len(raw) + n, 10, np.uint8)
-        self.raw[np.arange(len(raw)) + np.repeat(np.arange(n), np.diff(offsets))] = raw
+        self.text_end = offsets[1:] + np.arange(n)
+        inside = np.ones(len(self.raw), bool)
+        inside[self.text_end] = False
+        self.raw[inside] = raw
+        self.before = None
         end = np.flatnonzero(self.raw == 10)
         start = np.r_[0, end[:-1] + 1] if n else end
-        text = np.searchsorted(offsets[1:] + np.arange(n), end)
+        text = np.searchsorted(self.text_end, end)
         number = np.arange(len(end)) - np.searchsorted(text, text)
         if min_chars > 1:
             before = self.code_points()
@@ -86,7 +91,10 @@ class Lines:
 
     def code_points(self) -> np.ndarray:
         """How many start before each byte: all bytes but those that continue one."""
-        return np.r_[0, np.cumsum((self.raw & 0xC0) != 0x80)]
+        if self.before is None:
+            self.before = np.zeros(len(self.raw) + 1, np.int64)
+            np.cumsum((self.raw & 0xC0) != 0x80, out=self.before[1:])
+        return self.before
 
     def pick(self, rows: np.ndarray) -> None:
         for name in ("text", "number", "first_byte", "end_byte", "id"):
@@ -98,10 +106,29 @@ class Lines:
 
     def names(self) -> pa.Array:
         """128 bits that tell each line."""
-        check = span_hashes(self.raw, self.first_byte, self.end_byte, self.key, first_stream=1)[0]
-        both = np.stack([self.id, check], axis=1).astype(">u8").tobytes()
+        both = self.names_of(np.arange(len(self.id))).tobytes()
         return pa.Array.from_buffers(pa.binary(16), len(self.id), [None, pa.py_buffer(both)]).cast(pa.binary())
 
+    def names_of(self, rows: np.ndarray) -> np.ndarray:
+        """The same of some lines, as two numbers each."""
+        check = span_hashes(self.raw, self.first_byte[rows], self.end_byte[rows], self.key, first_stream=1)[0]
+        return np.stack([self.id[rows], check], axis=1).astype(">u8")
+
+    def without(self, rows: np.ndarray) -> pa.Array:
+        """The texts without these lines, the others joined by an end of line."""
+        step = np.zeros(len(self.raw) + 1, np.int8)
+        step[self.first_byte[rows]] += 1
+        step[self.end_byte[rows] + 1] -= 1
+        stay = np.cumsum(step[:-1], dtype=np.int8) == 0
+        kept = np.flatnonzero(stay)
+        upto = np.searchsorted(kept, self.text_end, "right")
+        some = np.diff(upto, prepend=0) > 0
+        # the end behind the last line that stays
+        stay[kept[upto[some] - 1]] = False
+        offsets = np.zeros(len(upto) + 1, np.int64)
+        np.cumsum(np.diff(upto, prepend=0) - some, out=offsets[1:])
+        return pa.Array.from_buffers(pa.large_string(), len(upto), [None, pa.py_buffer(offsets), pa.py_buffer(self.raw[stay])])
+
     def content(self) -> list[str]:
         data = self.raw.tobytes()
         return [data[s:e].decode("utf-8", "replace") for s, e in zip(self.first_byte.tolist(), self.end_byte.tolist())]
@@ -120,6 +147,13 @@ class Lines:
         return (prefix[self.end] ^ prefix[self.start]).view(np.int64)
 
 
+def among(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the ids are known, a sorted array."""
+    if not len(known):
+        return np.zeros(len(ids), bool)
+    return known[np.minimum(np.searchsorted(known, ids), len(known) - 1)] == ids
+
+
 def segments(length: np.ndarray, t: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """(start, length) of each of the t + 1 segments of lines of these lengths, the longer ones last."""
     size, longer = length // (t + 1), length % (t + 1)
@@ -140,12 +174,14 @@ def keys(lines: Lines, t: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
 
     A probe of a line looks for partners of its length or up to t less. Segment i of a partner can have moved by i at
     most when i edits at most come before it, and by the rest when they come behind it. The probe of a line's own length
-    and no move is its entry in the index."""
+    and no move is its entry in the index. Up to t = 3, lines of one length have an insertion and a deletion at most, so
+    segments of the one move forward only and those of the other back only; one of each line's is unchanged, and the
+    probes that look back find it."""
     length = lines.end - lines.start
     for less in range(t + 1):
         other = length - less
         for i, (at, n) in enumerate(segments(other, t)):
-            for move in range(max(-i, less - (t - i)), min(i, less + (t - i)) + 1):
+            for move in range(max(-i, less - (t - i)), min(i, less + (t - i), 0 if less == 0 and t < 4 else i) + 1):
                 begin = at + move
                 ok = np.flatnonzero((begin >= 0) & (begin + n <= length) & (other > 0))
                 s = lines.start[ok] + begin[ok]
@@ -312,7 +348,7 @@ def entries(docs: DataFrame, t: int, min_chars: int, key: int) -> DataFrame:
             ids, counts = np.unique(lines.id, return_counts=True)
             lines.once()
             if len(met):
-                lines.pick(np.flatnonzero(~np.isin(lines.id, met)))
+                lines.pick(np.flatnonzero(~among(lines.id, met)))
             if len(met) < REMEMBERED:
                 met = np.union1d(met, ids[counts > 1])
             lines.spread()
@@ -331,13 +367,13 @@ def _texts(docs: DataFrame, wanted: DataFrame, min_chars: int, key: int) -> Data
     sent = None
     if wanted.count() <= BROADCAST_LINES:
         # a checked number of ids
-        sent = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["id"].to_numpy()).view(np.uint64))
+        sent = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["id"].to_numpy().view(np.uint64)))
 
     def make():
         def texts_of(batch, lines):
-            lines.once()
             if sent is not None:
-                lines.pick(np.flatnonzero(np.isin(lines.id, sent.value)))
+                lines.pick(np.flatnonzero(among(lines.id, sent.value)))
+            lines.once()
             # the few lines that are wanted are spread, not the texts around them
             content = lines.content()
             few = Lines(pa.array(content, pa.string()), 1, key)
@@ -487,19 +523,28 @@ def dedup_lines(docs: DataFrame, t: int = THRESHOLD, min_chars: int = MIN_CHARS,
 
     def rebuild(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4000, 8 << 20):
-            texts = batch["text"].to_pylist()
-            gone_of = batch["__gone"].to_pylist()
-            total = [t.count("\n") + 1 if t else 0 for t in texts]
-            removed = [0] * len(texts)
-            hit = [i for i, t in enumerate(texts) if t and gone_of[i]]
-            there = Lines(batch["text"].take(pa.array(hit, pa.int64())), min(exact_chars, min_chars), key)
-            known = dict(zip(zip(there.text.tolist(), there.number.tolist()), there.names().to_pylist()))
-            for place, i in enumerate(hit):
-                drop = {g["number"] for g in gone_of[i] if known.get((place, g["number"])) == g["line"]}
-                removed[i] = len(drop)
-                texts[i] = "\n".join([x for k, x in enumerate(texts[i].split("\n")) if k not in drop])
+            texts, gone = batch["text"], batch["__gone"]
+            length = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+            total = np.where(length > 0, pc.count_substring(texts, "\n").fill_null(0).to_numpy(zero_copy_only=False) + 1, 0)
+            removed = np.zeros(len(texts), np.int64)
             columns = [batch[c] for c in names]
-            columns[at] = pa.array(texts, batch["text"].type)
+            hit = np.flatnonzero((length > 0) & (pc.list_value_length(gone).fill_null(0).to_numpy(zero_copy_only=False) > 0))
+            if len(hit):
+                there = Lines(texts.take(pa.array(hit)), min(exact_chars, min_chars), key)
+                of_hit = gone.take(pa.array(hit))
+                items, of_text = of_hit.flatten(), pc.list_parent_indices(of_hit).to_numpy()
+                number, line = items.field("number").to_numpy(), utf8(items.field("line"))[0].reshape(-1, 16)
+                # lines are in the order of texts and numbers; rows of one id hold different texts, so names are compared
+                span = max(int(there.number.max(initial=0)), int(number.max())) + 1
+                place, wanted = there.text * span + there.number, of_text * span + number
+                found = np.flatnonzero(among(wanted, place))
+                rows = np.searchsorted(place, wanted[found])
+                same = (there.names_of(rows) == line[found].copy().view(">u8")).all(axis=1)
+                rows = rows[same]
+                removed[hit] = np.bincount(there.text[rows], minlength=len(hit))
+                order = np.arange(len(texts))
+                order[hit] = len(texts) + np.arange(len(hit))
+                columns[at] = pa.concat_arrays([texts, there.without(rows).cast(texts.type)]).take(pa.array(order))
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "n_lines", "n_removed"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
