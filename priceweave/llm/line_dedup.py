@@ -138,6 +138,7 @@ class Lines:
         self.points = np.frombuffer(self.raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
         before = self.code_points()
         self.start, self.end = before[self.first_byte], before[self.end_byte]
+        self.before = None
         self.rolling = Rolling(self.points)
 
     def signature(self) -> np.ndarray:
