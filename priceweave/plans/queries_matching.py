@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import fingerprints, numbers, text
 from ..functions.similarity import pack_attributes
 from ..operators import aggregates, matching, offers, similar
-from ..session import cut
 from .registry import doubles, query
 from .tables import SQL_PRICE_LIST, SQL_REORDER, price_list, read, reorder
 
@@ -211,9 +210,10 @@ def ean_forced_shortlist(spark, sf):
 @query()
 def semantic_score(spark, sf):
     """Words, matching blocks and pack sizes of the rows of a product's brand that share a word with it; the five best."""
-    w = _described(spark, sf).select("source_row", "brand", "tokens", text.matching_text(F.col("description")).alias("text"), pack_attributes("description").alias("sizes"))
-    # each product's sizes are read once
-    return similar.most_similar(*_sides(cut(w)), 5, apart=True).select("qid", "iid", "score", "conflicts", "rank")
+    # each description is read once
+    made = {"tokens": text.tokens(F.col("__text")), "text": text.matching_text(F.col("__text")), "sizes": pack_attributes("__text")}
+    w = similar.of_texts(reorder(spark, sf).select("source_row", "description", "brand"), "description", made)
+    return similar.most_similar(*_sides(w), 5, apart=True).select("qid", "iid", "score", "conflicts", "rank")
 
 
 @query()
