@@ -97,8 +97,8 @@ def shortlists(queue: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
     share a word or the code: those of the code by an equi-join, the k best by words, sizes and blocks by the pruned join,
     which holds whatever is left of the k behind the rows of the code. Sizes are read once a text."""
     fit = rows.where((F.col("description") != "") & F.coalesce(F.col("price") > 0, F.lit(False)) & F.coalesce("usable", F.lit(True)) & (F.coalesce("row_type", F.lit("")) != "DISPLAY_COMPONENT"))
-    described = [text.tokens(F.col("description")).alias("words"), text.matching_text(F.col("description")).alias("text"), pack_attributes("description").alias("sizes")]
-    read = lambda df, key, name: cut(df.select(F.struct("supplier", key).alias(name), F.col("supplier").alias("block"), F.trim("ean").alias("ean"), *described))
+    made = {"words": text.tokens(F.col("__text")), "text": text.matching_text(F.col("__text")), "sizes": pack_attributes("__text")}
+    read = lambda df, key, name: similar.of_texts(df.select(F.struct("supplier", key).alias(name), F.col("supplier").alias("block"), F.trim("ean").alias("ean"), "description"), "description", made).drop("description")
     q, r = read(queue, "qid", "qid"), read(fit, "iid", "iid")
     best = similar.most_similar(q.drop("ean"), r.drop("ean"), k).select("qid", "iid", "score")
     sides = [df.where("ean <> ''").select("block", "ean", key, *[F.col(c).alias(c + s) for c in ("words", "text", "sizes")]) for df, key, s in ((q, "qid", "_a"), (r, "iid", "_b"))]
