@@ -97,31 +97,56 @@ def shortlist(scored: DataFrame, k: int = 5) -> DataFrame:
     return ranked.where(F.col("rank") <= F.greatest(F.lit(k), F.col("forced"))).drop("forced")
 
 
+def _set(tokens: Column) -> Column:
+    """The words of a text as one value, in whatever order they come."""
+    return F.concat_ws("\x1f", F.array_sort(F.array_distinct(tokens)))
+
+
 def best_by_word(items: DataFrame, words: DataFrame, k: int) -> DataFrame:
-    """word, supplier, iid, ean, score: of the rows of a word and supplier, those that can be among the k best of a product.
+    """word, supplier, place, iid, ean, score: of the rows of a word and supplier those that can be among the k best of a
+    product. place: of a row among those of its supplier that are left, the best first.
 
-    A product takes no row of its own code here, so k rows of a code and 2k in all hold the k best of any product. items:
-    supplier, iid, ean, score; words: ean, tokens."""
+    A product takes no row of its own code here, so k rows of a code and 2k in all hold the k best of any product. They
+    are taken by code, then by set of words, then by word. items: supplier, iid, ean, score; words: ean, tokens."""
     order = [F.desc("score"), F.asc("iid")]
-    of_code = Window.partitionBy("supplier", "ean").orderBy(*order)
-    of_word = Window.partitionBy("word", "supplier").orderBy(*order)
-    few = items.withColumn("__of", F.row_number().over(of_code)).where(F.col("__of") <= k).drop("__of")
-    by_word = few.join(words.select("ean", F.explode(F.array_distinct("tokens")).alias("word")).distinct(), "ean")
-    return by_word.withColumn("__at", F.row_number().over(of_word)).where(F.col("__at") <= 2 * k).select("word", "supplier", "iid", "ean", "score")
+    first = lambda *of: F.row_number().over(Window.partitionBy(*of).orderBy(*order))
+    few = items.withColumn("of", first("supplier", "ean")).where(F.col("of") <= k)
+    sets = words.select("ean", _set(F.col("tokens")).alias("set")).where("set <> ''").distinct()
+    of_set = few.join(sets, "ean").withColumn("at", first("supplier", "set")).where(F.col("at") <= 2 * k)
+    by_word = of_set.select(F.explode(F.split("set", "\x1f")).alias("word"), "supplier", "iid", "ean", "of", "score").distinct()
+    by_word = by_word.withColumn("at", first("word", "supplier")).where(F.col("at") <= 2 * k)
+    place = F.dense_rank().over(Window.partitionBy("supplier").orderBy(*order, "ean", "of"))
+    return by_word.select("word", "supplier", place.alias("place"), "iid", "ean", "score")
+
+
+def _best_of_set(sets: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """set, best: of each supplier the rows of the words of a set that can be among the k best of a product, the best first."""
+    asked = sets.select("set").distinct().where("set <> ''").repartition("set").select("set", F.explode(F.split("set", "\x1f")).alias("word"))
+    # words are few as a rule; then a set's rows stay in its task
+    places = best.groupBy("word", "supplier").agg(F.collect_list("place").alias("places"))
+    found = asked.join(small(places), "word").groupBy("set", "supplier").agg(F.flatten(F.collect_list("places")).alias("places"))
+    found = found.select("set", "supplier", F.explode(F.slice(F.sort_array(F.array_distinct("places")), 1, 2 * k)).alias("place"))
+    rows = found.join(small(best.drop("word").distinct()), ["supplier", "place"])
+    rows = rows.groupBy("set", "supplier").agg(F.sort_array(F.collect_list(F.struct("place", "iid", "ean", "score"))).alias("rows"))
+    return rows.groupBy("set").agg(F.collect_list(F.struct("supplier", "rows")).alias("best"))
 
 
 def forced_shortlist(products: DataFrame, items: DataFrame, words: DataFrame, k: int = 5) -> DataFrame:
     """shortlist of all rows of a product's code and all rows that share a word with it, by a score of the row alone.
 
-    products: qid, ean, tokens; items: supplier, iid, ean, score; words: ean, tokens. Words meet their best rows only."""
+    products: qid (once each), ean, tokens; items: supplier, iid, ean, score; words: ean, tokens. Words meet their best rows
+    only, and products of the same words share them; rows of a code are counted, not ranked, as all of them stay."""
     own = products.select("qid", "ean").join(items, "ean").select("qid", "supplier", "iid", F.lit(True).alias("same_ean"), "score")
-    asked = products.select("qid", F.col("ean").alias("__own"), F.explode(F.array_distinct("tokens")).alias("word"))
-    best = cut(best_by_word(items, words, k))
-    # words are few as a rule; then a product's candidates stay in its task. Grouped: a row that shares several words is one
-    alike = asked.repartition("qid").join(small(best), "word").where(F.col("ean") != F.col("__own")).groupBy("qid", "supplier", "iid").agg(F.first("score").alias("score"))
-    near = Window.partitionBy("qid", "supplier").orderBy(F.desc("score"), "iid")
-    alike = alike.withColumn("__at", F.row_number().over(near)).where(F.col("__at") <= k)
-    return shortlist(own.unionByName(alike.select("qid", "supplier", "iid", F.lit(False).alias("same_ean"), "score")), k)
+    counted = items.groupBy("ean", "supplier").agg(F.count("*").alias("n")).where("supplier is not null")
+    counted = counted.groupBy("ean").agg(F.map_from_entries(F.collect_list(F.struct("supplier", "n"))).alias("n_own"))
+    asked = products.select("qid", "ean", _set(F.col("tokens")).alias("set"))
+    best = _best_of_set(asked, cut(best_by_word(items, words, k)), k)
+    alike = asked.join(counted, "ean", "left").join(best, "set").select("qid", "ean", "n_own", F.explode("best").alias("of"))
+    left = F.greatest(F.lit(k) - F.coalesce(F.col("n_own")[F.col("of.supplier")], F.lit(0)), F.lit(0)).cast("int")
+    others = F.slice(F.filter("of.rows", lambda x: x["ean"] != F.col("ean")), F.lit(1), left)
+    alike = alike.select("qid", "of.supplier", F.explode(others).alias("row")).select("qid", "supplier", "row.iid", F.lit(False).alias("same_ean"), "row.score")
+    rank = F.row_number().over(Window.partitionBy("qid", "supplier").orderBy(F.desc("same_ean"), F.desc("score"), "iid"))
+    return own.unionByName(alike).withColumn("rank", rank)
 
 
 def resolve(matrix: DataFrame, decisions: DataFrame, shown: DataFrame) -> DataFrame:

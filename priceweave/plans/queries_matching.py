@@ -202,7 +202,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY qid, supplier ORDER BY same_ean
 SELECT qid, supplier, iid, same_ean, score FROM k WHERE rank <= greatest(2, forced)""")
 def ean_forced_shortlist(spark, sf):
     """Rows of a product's code, then all rows that share a word with its description."""
-    r = _described(spark, sf).join(reorder(spark, sf).select("source_row", "ean"), "source_row").select(F.col("source_row").alias("qid"), "ean", "tokens")
+    r = similar.of_texts(reorder(spark, sf).select(F.col("source_row").alias("qid"), "ean", "description"), "description", {"tokens": text.tokens(F.col("__text"))}).drop("description")
     p = price_list(spark, sf).where("usable").select("supplier", F.col("source_row").alias("iid"), "ean", F.col("discount_rate").cast("double").alias("score"))
     return matching.forced_shortlist(r, p, r.select("ean", "tokens"), 2).drop("rank")
 

@@ -40,3 +40,13 @@ def test_rows_that_share_a_word_are_candidates(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
     got = {(r["qid"], r["iid"], r["same_ean"]) for r in catalogue.queries()["ean_forced_shortlist"](spark, str(tmp_path)).collect()}
     assert got == {(1, 11, False), (2, 11, True), (900, 21, True)}
+
+
+def test_rows_of_one_number_and_different_codes_are_each_a_candidate(spark):
+    p = spark.createDataFrame([(1, "e1", ["blue"]), (2, "e2", ["blue"]), (3, "e3", ["blue", "saw"]), (4, "e4", [])], "qid long, ean string, tokens array<string>")
+    items = [("x", 11, "e2", 0.5), ("x", 11, "e3", 0.5), ("x", 12, "e3", 0.4), ("y", 13, "e4", 0.1), ("x", 14, "e1", None)]
+    rows = spark.createDataFrame(items, "supplier string, iid long, ean string, score double")
+    got = sorted((r["qid"], r["supplier"], r["iid"], r["same_ean"]) for r in matching.forced_shortlist(p, rows, p.select("ean", "tokens"), 2).collect())
+    assert got == [(1, "x", 11, False), (1, "x", 14, True), (2, "x", 11, False), (2, "x", 11, True), (3, "x", 11, True), (3, "x", 12, True), (4, "y", 13, True)]
+    got = [r["iid"] for r in matching.forced_shortlist(p, rows.where("ean <> 'e1'"), p.select("ean", "tokens"), 2).where("qid = 1").collect()]
+    assert got == [11, 11]
