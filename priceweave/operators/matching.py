@@ -45,14 +45,18 @@ def equivalence_classes(edges: DataFrame) -> DataFrame:
 
 
 def with_equivalences(reorder: DataFrame, prices: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidates per product and supplier, by the code itself and by equal codes: source_row, supplier, n_exact, n_via, status."""
-    counted = candidates_by_code(prices)
-    own = reorder.select("source_row", "ean").join(counted, "ean").select("source_row", "supplier", "n", "n_usable", F.lit(0).alias("via"))
-    mine = reorder.select("source_row", "ean").join(classes, F.col("ean") == F.col("code")).drop("code")
-    others = mine.join(classes, "class").where(F.col("code") != F.col("ean")).select("source_row", F.col("code").alias("ean"))
-    via = others.join(counted, "ean").select("source_row", "supplier", "n", "n_usable", F.lit(1).alias("via"))
-    both = own.unionByName(via).groupBy("source_row", "supplier").agg(F.sum("n").alias("n"), F.sum("n_usable").alias("n_usable"), F.sum(F.when(F.col("via") == 0, F.col("n")).otherwise(0)).alias("n_exact"), F.sum(F.when(F.col("via") == 1, F.col("n")).otherwise(0)).alias("n_via"))
-    return both.select("source_row", "supplier", "n_exact", "n_via", status_of(F.col("n"), F.col("n_usable")).alias("status"))
+    """Candidates per product and supplier, by the code itself and by equal codes: source_row, supplier, n_exact, n_via, status.
+
+    Codes of a class don't meet: what the others have is what the class has, less what the code has. classes: code (once
+    each), class."""
+    counted = candidates_by_code(prices).select("supplier", "ean", "n", "n_usable")
+    products = reorder.select("source_row", "ean").join(classes.select(F.col("code").alias("ean"), "class"), "ean", "left")
+    whole = counted.join(classes.select(F.col("code").alias("ean"), "class"), "ean").groupBy("class", "supplier").agg(F.sum("n").alias("n"), F.sum("n_usable").alias("n_usable"))
+    via = F.col("class").isNotNull()
+    own = products.join(counted, "ean").select("source_row", "supplier", "n", F.when(via, -F.col("n")).otherwise(0).alias("n_via"), F.when(via, 0).otherwise(F.col("n_usable")).alias("n_usable"))
+    all_ = products.join(whole, "class").select("source_row", "supplier", F.lit(0).alias("n"), F.col("n").alias("n_via"), "n_usable")
+    both = own.unionByName(all_).groupBy("source_row", "supplier").agg(F.sum("n").alias("n_exact"), F.sum("n_via").alias("n_via"), F.sum("n_usable").alias("n_usable"))
+    return both.select("source_row", "supplier", "n_exact", "n_via", status_of(F.col("n_exact") + F.col("n_via"), F.col("n_usable")).alias("status"))
 
 
 def unique_catalogue(prices: DataFrame) -> DataFrame:

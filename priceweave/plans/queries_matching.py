@@ -130,9 +130,11 @@ classes AS (SELECT code, min(other) AS class FROM reach GROUP BY code)"""
 
 def _classes(spark, sf):
     p = read(spark, sf, "part").select("p_partkey", "p_brand", "p_name", "p_size")
-    q = p.toDF("other", "brand", "name", "size")
+    same = ["p_brand", "p_name", "p_size"]
+    # an edge to the first of its equals for each product says as much as all pairs
+    first = p.groupBy(*same).agg(F.min("p_partkey").alias("first"))
     ean = lambda c: F.lpad(F.col(c).cast("string"), 13, "0")
-    edges = p.join(q, (p["p_brand"] == q["brand"]) & (p["p_name"] == q["name"]) & (p["p_size"] == q["size"]) & (p["p_partkey"] < q["other"])).select(ean("p_partkey").alias("a"), ean("other").alias("b"))
+    edges = p.join(first, same).where(F.col("p_partkey") > F.col("first")).select(ean("first").alias("a"), ean("p_partkey").alias("b"))
     return matching.equivalence_classes(edges)
 
 
